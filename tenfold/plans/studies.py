@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tenfold.functions.recode import EDUCATION_REFERENCE, factor_levels, recode
 from tenfold.models.fitting import Results, fit_linear
+from tenfold.models.glmm import fit_logistic, fit_null
 from tenfold.models.ols import nested_f, ols_tables
 from tenfold.models.spec import Design, ModelSpec
 from tenfold.plans.jobs import COUNTRY_COVARIATES, pv_names
@@ -116,3 +117,12 @@ def earnings_null_model(study: DataFrame, **options) -> Results:
 def term_labels(spark, family: str) -> DataFrame:
     labels = {**TERM_LABELS, "PV": SCORE_LABELS[family]}
     return spark.createDataFrame(list(labels.items()), "term string, label string")
+
+
+def employment_models(clean: DataFrame, family: str, specs: list[ModelSpec] | None = None, **options) -> Results:
+    df = employment_frame(clean)
+    return fit_logistic(df, study_design(df, "Employed", family), specs or logistic_specs(family), **options)
+
+
+def employment_null_model(clean: DataFrame) -> DataFrame:
+    return fit_null(employment_frame(clean), "Employed", "Country")
