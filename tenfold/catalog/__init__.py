@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from tenfold.catalog import base, descriptive, relational  # noqa: F401
+    from tenfold.catalog import base, descriptive, models, relational  # noqa: F401
 
     return base
 

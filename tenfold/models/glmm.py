@@ -14,6 +14,7 @@ number of passes is that of the slowest fit, not the sum over fits.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
@@ -27,10 +28,10 @@ from tenfold.models.fitting import RESULT_SCHEMA, Results, _row, fit_rows, resul
 from tenfold.models.moments import design_rows
 from tenfold.models.spec import PV, Design, ModelSpec
 from tenfold.operators.joins import lookup_join
-from tenfold.session import scratch_path
+from tenfold.session import scratch_path, ship_package
 
 MAX_GROUPS = 100_000
-SUMS_PER_PASS = 40_000_000  # doubles that may reach the driver in one pass
+SUMS_PER_PASS = 40_000_000  # doubles formed per task and pass; more fits go in further waves
 MAX_PASSES = 60
 
 
@@ -75,9 +76,11 @@ def coded_rows(df: DataFrame, design: Design) -> tuple[DataFrame, list[str], np.
         *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate([*design.discrete, *design.continuous])],
         *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(design.pv)],
     )
-    workers = spark.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() < workers:
-        table = table.repartition(workers)
+    # Few groups per task keep the partial sums of every later pass few; the
+    # second key lets a hot group spread over many tasks.
+    parts = max(spark.sparkContext.defaultParallelism, table.rdd.getNumPartitions())
+    spread = ["g", "p0"] if design.pv else ["g"]
+    table = table.repartitionByRange(parts, *spread)
     path = scratch_path(spark, "coded")
     table.sortWithinPartitions("g").write.parquet(path)
     return spark.read.parquet(path), groups, level
@@ -93,17 +96,17 @@ def _matrix(pdf: pd.DataFrame, design: Design) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def pass_sums(table: DataFrame, design: Design, requests: dict) -> pd.DataFrame:
+def pass_sums(table: DataFrame, design: Design, requests: dict):
     """Per fit and group: weighted Gram (upper triangle), score, leverage vector, deviance.
 
     ``requests`` maps a draw to ``(fit ids, coefficients (F, J, k), leverage weights (F, J, pairs))``.
     Each task forms partial sums per group with matrix products over its
-    batches; Spark adds the partial sums.
+    batches.  The table is range-partitioned by group, so a fit has about one
+    partial row per group and task.
     """
     k = len(design.row_columns()) + 1
     pairs = list(combinations_with_replacement(range(k), 2))
     left, right = [a for a, _ in pairs], [b for _, b in pairs]
-    width = len(pairs) + 2 * k + 1
     held = table.sparkSession.sparkContext.broadcast(requests)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,13 +119,9 @@ def pass_sums(table: DataFrame, design: Design, requests: dict) -> pd.DataFrame:
                 for pv, block in by_pv.items():
                     ids += list(asked[pv][0])
                     gs += [g] * len(asked[pv][0])
-                    blocks.append(block)
+                    blocks += [row.tobytes() for row in block]
             sums.clear()
-            data = np.concatenate(blocks) if blocks else np.zeros((0, width))
-            frame = pd.DataFrame(data, columns=[f"s{i}" for i in range(width)])
-            frame.insert(0, "g", np.array(gs, dtype=np.int32))
-            frame.insert(0, "fit", np.array(ids, dtype=np.int32))
-            return frame
+            return pd.DataFrame({"fit": np.array(ids, dtype=np.int32), "g": np.array(gs, dtype=np.int32), "block": blocks})
 
         for pdf in batches:
             pdf = pdf.sort_values("g", kind="stable")
@@ -153,11 +152,34 @@ def pass_sums(table: DataFrame, design: Design, requests: dict) -> pd.DataFrame:
                 yield drain()
         yield drain()
 
-    schema = "fit int, g int, " + ", ".join(f"s{i} double" for i in range(width))
-    out = table.mapInPandas(partial, schema).groupBy("fit", "g").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(width)])
-    frame = out.toPandas()
+    return table.mapInPandas(partial, "fit int, g int, block binary"), held
+
+
+def advance(table: DataFrame, design: Design, running: dict[int, LogisticFit]) -> dict[int, LogisticFit]:
+    """One pass over the rows and one step of every running fit.
+
+    The partial sums of a fit meet its state in a task of their own, which adds
+    them; only the new states, a few numbers per group, reach the driver.
+    """
+    requests = {}
+    for pv in sorted({f.pv for f in running.values()}):
+        mine = [f for f in running.values() if f.pv == pv]
+        asked = [f.request() for f in mine]
+        requests[pv] = ([f.id for f in mine], np.stack([c for c, _ in asked]), np.stack([v for _, v in asked]))
+    sums, held = pass_sums(table, design, requests)
+    states = table.sparkSession.sparkContext.broadcast({i: pickle.dumps(f) for i, f in running.items()})
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        i = int(pdf["fit"].iloc[0])
+        f = pickle.loads(states.value[i])
+        f.update(pdf)
+        return pd.DataFrame({"fit": [i], "state": [pickle.dumps(f)]})
+
+    tasks = min(len(running), 4 * table.sparkSession.sparkContext.defaultParallelism)
+    moved = sums.repartition(tasks, "fit").groupBy("fit").applyInPandas(step, "fit int, state binary").collect()
     held.unpersist()
-    return frame
+    states.unpersist()
+    return {r["fit"]: pickle.loads(r["state"]) for r in moved}
 
 
 # -------------------------------------------------------- one fit, one step
@@ -186,6 +208,7 @@ class LogisticFit:
         self.deviance = math.inf
         self.kept = False
         self.bend = np.zeros((len(self.theta), len(self.theta)))  # secant estimate of the slope's own change
+        self.memory: dict = {}
         self.last: tuple[np.ndarray, np.ndarray] | None = None
         k = len(self.base)
         self.pairs = list(combinations_with_replacement(range(k), 2))
@@ -209,7 +232,8 @@ class LogisticFit:
         """Sums per group on all columns; group-level columns scale the intercept's."""
         k, npair = len(self.base), len(self.pairs)
         raw = np.zeros((len(self.level), npair + 2 * k + 1))
-        raw[frame["g"].to_numpy()] = frame.iloc[:, 2:].to_numpy()
+        parts = np.stack([np.frombuffer(x) for x in frame["block"]])
+        np.add.at(raw, frame["g"].to_numpy(), parts)
         raw[~self.live] = 0.0
         seen = np.zeros(len(self.level), dtype=bool)
         seen[frame["g"].to_numpy()] = True
@@ -264,7 +288,7 @@ class LogisticFit:
             s = lmm.evaluate(blocks, raw, sigma=1.0)
             return s.logdet + s.r2 - base_r2 + slope @ d + 0.5 * d @ bend @ d, s.gradient + sign * (slope + bend @ d)
 
-        theta, value, grad, _, _ = lmm.minimise(working, self.theta, gtol=1e-8, steps=200)
+        theta, value, _, _, _ = lmm.minimise(working, self.theta, gtol=1e-7, steps=100, memory=self.memory)
         if not np.isfinite(value) or value > working(self.theta)[0]:
             self.bend = np.zeros_like(self.bend)
             theta = self.theta.copy()
@@ -342,26 +366,22 @@ class LogisticFit:
 def fit_logistic(df: DataFrame, design: Design, specs: list[ModelSpec], modes: bool = False, draws: list[int] | None = None) -> Results:
     """Logistic mixed models of every spec and draw, all advanced by the same passes."""
     spark = df.sparkSession
+    ship_package(spark)
     table, groups, level = coded_rows(df, design)
     draws = draws or list(range(1, len(design.pv) + 1))
     fits = [LogisticFit(i, s, pv, design, level) for i, (s, pv) in enumerate((s, pv) for s in specs for pv in draws)]
     present = table.groupBy("g").agg(*[F.count(f"p{pv - 1}").alias(f"n{pv}") for pv in draws]).toPandas().set_index("g")
     width = len(fits[0].pairs) + 2 * len(fits[0].base) + 1
     wave = max(1, SUMS_PER_PASS // (len(groups) * width))
+    finished: dict[int, LogisticFit] = {}
     for at in range(0, len(fits), wave):
-        running = fits[at : at + wave]
+        running = {f.id: f for f in fits[at : at + wave]}
         while running:
-            requests = {}
-            for pv in sorted({f.pv for f in running}):
-                mine = [f for f in running if f.pv == pv]
-                asked = [f.request() for f in mine]
-                requests[pv] = ([f.id for f in mine], np.stack([c for c, _ in asked]), np.stack([v for _, v in asked]))
-            sums = dict(tuple(pass_sums(table, design, requests).groupby("fit")))
-            for f in running:
-                f.update(sums[f.id])
-            running = [f for f in running if not f.done]
+            moved = advance(table, design, running)
+            finished |= {i: f for i, f in moved.items() if f.done}
+            running = {i: f for i, f in moved.items() if not f.done}
     rows = []
-    for f in fits:
+    for f in (finished[i] for i in sorted(finished)):
         n = float(present.loc[[g for g in np.flatnonzero(f.seen) if g in present.index], f"n{f.pv}"].sum())
         rows += f.rows(groups, n, modes)
     path = scratch_path(spark, "fits")

@@ -95,11 +95,16 @@ def evaluate(blocks: Blocks, lam: np.ndarray, sigma: float | None = None) -> Sta
     return State(dev, grad[np.tril_indices(q)], beta, u, m_inv, h, r2, logdet)
 
 
-def minimise(fun, start: np.ndarray, gtol: float = 1e-7, steps: int = 400, curvature: np.ndarray | None = None):
-    """Quasi-Newton descent with backtracking; ``fun`` gives (value, gradient)."""
+def minimise(fun, start: np.ndarray, gtol: float = 1e-7, steps: int = 400, memory: dict | None = None):
+    """Quasi-Newton descent with backtracking; ``fun`` gives (value, gradient).
+
+    ``memory`` keeps the inverse curvature between related problems.
+    """
     x = start.astype(float)
     f, g = fun(x)
-    inv = np.linalg.inv(curvature) if curvature is not None else np.eye(len(x)) / max(1.0, np.abs(g).max())
+    memory = {} if memory is None else memory
+    fresh = "inv" not in memory
+    inv = np.eye(len(x)) / max(1.0, np.abs(g).max()) if fresh else memory["inv"]
     stalled = 0
     for it in range(steps):
         if np.abs(g).max(initial=0.0) < gtol:
@@ -125,11 +130,12 @@ def minimise(fun, start: np.ndarray, gtol: float = 1e-7, steps: int = 400, curva
         s, y = nx - x, ng - g
         sy = s @ y
         if sy > 1e-14 * np.linalg.norm(s) * np.linalg.norm(y):
-            if it == 0 and curvature is None:
+            if it == 0 and fresh:
                 inv = np.eye(len(x)) * (sy / (y @ y))
             rho = 1.0 / sy
             left = np.eye(len(x)) - rho * np.outer(s, y)
             inv = left @ inv @ left.T + rho * np.outer(s, s)
+            memory["inv"] = inv
         x, f, g = nx, nf, ng
     return x, f, g, steps, False
 
@@ -157,7 +163,7 @@ def fit(blocks: Blocks, start: np.ndarray | None = None) -> Fit:
 
     if q:
         begin = np.eye(q)[np.tril_indices(q)] if start is None else start
-        theta, _, _, its, ok = minimise(fun, begin)
+        theta, _, _, its, ok = minimise(fun, begin, gtol=1e-9)
         lam = fold(lower(theta, q))
     else:
         lam, its, ok = np.zeros((0, 0)), 0, True

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tenfold.models.spec import INTERCEPT, PV, Design
 from tenfold.operators.filters import complete_cases
+from tenfold.session import ship_package
 
 
 def gram_sums(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -139,6 +140,7 @@ def grams(df: DataFrame, design: Design) -> DataFrame:
     Group-level values come as the separate array ``level``: they multiply
     whole Gram rows later and never need to be summed over respondents.
     """
+    ship_package(df.sparkSession)
     draws = cell_draws(cells(df, design), design)
     levels = len(design.group_level)
 

@@ -12,6 +12,7 @@ from tenfold.functions.tails import normal_p, t_p
 from tenfold.functions.text import estimate_text
 from tenfold.models.spec import INTERCEPT
 from tenfold.operators.reshape import order_within
+from tenfold.session import ship_package
 
 
 def pool_fixed(fixed: DataFrame, test: str = "z") -> DataFrame:
@@ -20,6 +21,7 @@ def pool_fixed(fixed: DataFrame, test: str = "z") -> DataFrame:
     theta is the mean estimate, b the variance between draws, u the mean
     sampling variance, v = u + (1 + 1/M) b.
     """
+    ship_package(fixed.sparkSession)
     aggs = [
         F.avg("est").alias("theta"),
         F.var_samp("est").alias("b"),
