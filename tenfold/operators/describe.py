@@ -32,9 +32,9 @@ def frequency(df: DataFrame, columns: Sequence[str], count: str = "n") -> DataFr
 
 def crosstab(df: DataFrame, row: str, col: str, levels: Mapping[str | None, str]) -> DataFrame:
     """Wide two-way table; ``levels`` maps column values (None = missing) to names."""
-    counts = frequency(df, [row, col])
+    counts = frequency(df, [row, col], "__n")
     cells = [
-        F.coalesce(F.sum(F.when(F.col(col).eqNullSafe(F.lit(v)), F.col("n"))), F.lit(0)).cast("bigint").alias(name)
+        F.coalesce(F.sum(F.when(F.col(col).eqNullSafe(F.lit(v)), F.col("__n"))), F.lit(0)).cast("bigint").alias(name)
         for v, name in levels.items()
     ]
     return counts.groupBy(row).agg(*cells)
@@ -114,7 +114,8 @@ def exact_quantiles(
             weight = max(0.0, h - rank)
             lo = r["lo"] if p - 2.0 / accuracy <= 0 else r["marks"][marks.index(p - 2.0 / accuracy)]
             hi = r["hi"] if p + 2.0 / accuracy >= 1 else r["marks"][marks.index(p + 2.0 / accuracy)]
-            targets.append((r["name"], float(p), rank, weight, r["n"], lo, hi, r["lo"], r["hi"]))
+            # The last two are a bracket known to hold the ranks, to go back to.
+            targets.append((r["name"], float(p), rank, weight, r["n"], lo, hi, False, r["lo"], r["hi"]))
     found: list[tuple] = []
     while targets:
         frame = F.broadcast(
@@ -137,24 +138,34 @@ def exact_quantiles(
         }
         ready, again = [], []
         for i, t in enumerate(targets):
-            name, p, rank, weight, n, lo, hi, full_lo, full_hi = t
+            name, p, rank, weight, n, lo, hi, halve, safe_lo, safe_hi = t
             c = census[i]
             need = min(rank + 1, n - 1)
             if not (c["below"] <= rank and need < c["below"] + c["inside"]):
-                again.append((name, p, rank, weight, n, full_lo, full_hi, full_lo, full_hi))
-            elif min(c["inside"], c["distinct"]) <= final_rows:
+                again.append((name, p, rank, weight, n, safe_lo, safe_hi, True, safe_lo, safe_hi))
+                continue
+            if min(c["inside"], c["distinct"]) <= final_rows:
                 ready.append((i, rank - c["below"], need - c["below"]))
+                continue
+            at, slack = (rank - c["below"]) / c["inside"] * 64, 128 / accuracy
+            new_lo, new_hi = c["cuts"][max(0, math.floor(at - slack) - 1)], c["cuts"][min(64, math.ceil(at + slack) + 2)]
+            if not halve and (new_lo, new_hi) != (lo, hi):
+                again.append((name, p, rank, weight, n, new_lo, new_hi, False, lo, hi))
+                continue
+            # Cuts no longer narrow the bracket: halve the range of values.
+            mid = lo + (hi - lo) / 2
+            own = long.where(F.col("name") == name)
+            split = own.agg(
+                F.count_if(F.col("value") <= mid).alias("below"),
+                F.max(F.when(F.col("value") <= mid, F.col("value"))).alias("last"),
+                F.min(F.when(F.col("value") > mid, F.col("value"))).alias("next"),
+            ).first()
+            if rank < split["below"] <= need:
+                found.append((name, p, split["last"] + weight * (split["next"] - split["last"])))
+            elif need < split["below"]:
+                again.append((name, p, rank, weight, n, lo, split["last"], True, lo, split["last"]))
             else:
-                at = (rank - c["below"]) / c["inside"] * 64
-                new_lo, new_hi = c["cuts"][max(0, int(at) - 1)], c["cuts"][min(64, int(at) + 2)]
-                if (new_lo, new_hi) == (lo, hi):  # ties: halve the value range instead
-                    mid = lo + (hi - lo) / 2
-                    below_mid = held.where((F.col("target") == i) & (F.col("value") <= mid)).count()
-                    new_lo, new_hi = (lo, mid) if need < below_mid else (mid, hi)
-                    if rank < below_mid <= need:
-                        ready.append((i, rank - c["below"], need - c["below"]))
-                        continue
-                again.append((name, p, rank, weight, n, new_lo, new_hi, full_lo, full_hi))
+                again.append((name, p, rank, weight, n, split["next"], hi, True, split["next"], hi))
         if ready:
             wanted = F.broadcast(spark.createDataFrame(ready, "r_target int, a long, b long"))
             distinct = (

@@ -12,8 +12,8 @@ from tenfold.functions.nulls import ratio
 
 def widen(df: DataFrame, key: str, name: str, value: str, values: Mapping[str, str]) -> DataFrame:
     """Long to wide with explicit ``{name value: column}``; a doubled cell is an error."""
-    counted = df.groupBy(key, name).agg(F.count(F.lit(1)).alias("n"), F.first(value).alias("v"))
-    cell = F.when(F.col("n") > 1, F.raise_error(F.lit("more than one value in a cell"))).otherwise(F.col("v"))
+    counted = df.groupBy(key, name).agg(F.count(F.lit(1)).alias("__n"), F.first(value).alias("__v"))
+    cell = F.when(F.col("__n") > 1, F.raise_error(F.lit("more than one value in a cell"))).otherwise(F.col("__v"))
     wide = counted.groupBy(key).pivot(name, list(values)).agg(F.first(cell))
     return wide.select(key, *[F.col(f"`{old}`").alias(new) for old, new in values.items()])
 
