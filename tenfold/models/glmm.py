@@ -60,8 +60,8 @@ def coded_rows(df: DataFrame, design: Design) -> tuple[DataFrame, list[str], np.
     level = np.array(
         [[np.nan if r[f"lo{j}"] is None else r[f"lo{j}"] for j in range(len(design.group_level))] for r in found], dtype=float
     ).reshape(len(groups), len(design.group_level))
-    index = spark.createDataFrame(list(zip(groups, range(len(groups)))), "grp string, g int")
-    joined = lookup_join(rows.withColumn("__grp", F.col(design.group).cast("string")), index, "__grp", "grp", how="inner", max_rows=MAX_GROUPS)
+    index = spark.createDataFrame(list(zip(groups, range(len(groups)))), "__key string, __g int")
+    joined = lookup_join(rows.withColumn("__grp", F.col(design.group).cast("string")), index, "__grp", "__key", how="inner", max_rows=MAX_GROUPS)
 
     def code(c, levels):
         out = F.lit(0)
@@ -70,7 +70,7 @@ def coded_rows(df: DataFrame, design: Design) -> tuple[DataFrame, list[str], np.
         return out.cast("tinyint")
 
     table = joined.select(
-        "g",
+        F.col("__g").alias("g"),
         F.col(design.response).cast("double").alias("y"),
         *[code(c, lv).alias(f"k{j}") for j, (c, lv) in enumerate(design.categories.items())],
         *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate([*design.discrete, *design.continuous])],

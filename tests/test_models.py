@@ -32,7 +32,8 @@ def sample(seed=3, groups=12, hot=True, logistic=False):
             eta = 0.3 + b[0] + (0.5 + b[1]) * th + (0.2 + b[2]) * (sex == "M") + 0.3 * (edu == "low") + 0.05 * exper + 0.2 * train + 0.3 * level
             y = float(rng.random() < 1 / (1 + math.exp(-eta))) if logistic else eta + rng.normal() * 0.8
             p1, p2 = th + 0.2 * rng.normal(), th + 0.2 * rng.normal()
-            rows.append((f"G{j:02d}", sex, edu, train, exper, level, y, None if rng.random() < 0.05 else p1, None if rng.random() < 0.03 else p2))
+            draws = [None if rng.random() < 0.05 else float(p1), None if rng.random() < 0.03 else float(p2)]
+            rows.append((f"G{j:02d}", str(sex), str(edu), train, exper, float(level), float(y), *draws))
     rows.append(("G00", None, "low", 1.0, 2.0, rows[0][5], 1.0, 0.1, 0.1))
     rows.append((None,) * 9)
     return rows
