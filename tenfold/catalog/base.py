@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tenfold.plans import binding as bind
 from tenfold.plans import jobs
+from tenfold.session import local_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,7 +53,7 @@ def sample(spark, sf_dir):
 
 
 def selected_series(spark):
-    return spark.createDataFrame([(c,) for c in bind.INDICATORS], "SeriesCode string")
+    return local_table(spark, [(c,) for c in bind.INDICATORS], "SeriesCode string")
 
 
 def year_values(spark, sf_dir):

@@ -36,15 +36,13 @@ def not_member(col: Column, values: Iterable) -> Column:
 
 def to_number(col: Column) -> Column:
     """Text to double; anything that is not a number, and NaN, is NULL."""
-    text = F.trim(col.cast("string"))
-    # Java also reads "1d" and "2f" as numbers.
-    suffixed = F.lower(F.right(text, F.lit(1))).isin("d", "f")
-    number = F.when(~suffixed, text.try_cast("double"))
-    return F.when(~F.isnan(number), number)
+    # Java also reads "1d" and "2f" as numbers; no decimal number holds those letters.
+    text = F.translate(F.trim(col.cast("string")), "dDfF", "????")
+    return nan_to_null(text.try_cast("double"))
 
 
 def nan_to_null(col: Column) -> Column:
-    return F.when(~F.isnan(col), col)
+    return F.nanvl(col, F.lit(None).cast("double"))
 
 
 def numeric_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:

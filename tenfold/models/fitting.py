@@ -92,22 +92,27 @@ def _slope_positions(design: Design, spec: ModelSpec, zcols: list[str]) -> dict[
     return {t: [zcols.index(c) for c in design.expand([t])] for t in spec.slopes}
 
 
-def linear_rows(pdf: pd.DataFrame, design: Design, spec: ModelSpec, tests: bool, modes: bool) -> list[tuple]:
-    name, pv = spec.name, int(pdf["pv"].iloc[0])
-    groups, blocks, xcols, zcols = model_blocks(pdf, design, spec)
-    f = lmm.fit(blocks)
-    df = lmm.satterthwaite(blocks, f)
+def _summary_rows(design, spec, pv, f: lmm.Fit, df, xcols, zcols, n, groups) -> list[tuple]:
+    name = spec.name
     rows = [_row(name, pv, "fixed", term=t, value=b, spread=s, df=d) for t, b, s, d in zip(xcols, f.beta, f.se, df)]
     for grp, a, c, v, s in lmm.variance_rows(f.lam, zcols, design.group, f.sigma2):
         rows.append(_row(name, pv, "random", grp=grp, term=a, term2=c, value=v, spread=s))
-    rows += fit_rows(
+    return rows + fit_rows(
         name, pv,
         {
-            "n": blocks.n, "groups": len(groups), "deviance": f.deviance, "loglik": -f.deviance / 2, "npar": f.npar,
+            "n": n, "groups": groups, "deviance": f.deviance, "loglik": -f.deviance / 2, "npar": f.npar,
             "aic": f.deviance + 2 * f.npar, "sigma": np.sqrt(f.sigma2), "iterations": f.iterations,
             "converged": f.converged, "singular": f.singular,
         },
     )
+
+
+def linear_rows(pdf: pd.DataFrame, design: Design, spec: ModelSpec, tests: bool, modes: bool) -> list[tuple]:
+    name, pv = spec.name, int(pdf["pv"].iloc[0])
+    groups, blocks, xcols, zcols = model_blocks(pdf, design, spec)
+    f = lmm.fit(blocks)
+    df = lmm.satterthwaite(lambda lam, sigma: lmm.evaluate(blocks, lam, sigma), f, blocks.n)
+    rows = _summary_rows(design, spec, pv, f, df, xcols, zcols, blocks.n, len(groups))
     if modes:
         val, sd = lmm.conditional_modes(f.lam, f.state, f.sigma2)
         rows += [
@@ -121,24 +126,111 @@ def linear_rows(pdf: pd.DataFrame, design: Design, spec: ModelSpec, tests: bool,
     return rows
 
 
-def fit_linear(df: DataFrame, design: Design, specs: list[ModelSpec], tests: bool = False, modes: bool = False) -> Results:
+def fit_linear(
+    df: DataFrame, design: Design, specs: list[ModelSpec], tests: bool = False, modes: bool = False, many_groups: bool = False
+) -> Results:
     """Linear mixed models of every spec and draw from one pass over the rows.
 
     The Gram rows (groups x draws) are dealt out by model and draw, so each
     fit is a task of its own.  Results go to a table in the shared folder and
-    are read back, so that no fit is repeated.
+    are read back, so that no fit is repeated.  With ``many_groups`` no task
+    sees all groups: see :func:`fit_over_groups`.
     """
+    spark = df.sparkSession
     by_name = {s.name: s for s in specs}
+    path = scratch_path(spark, "fits")
+    if many_groups:
+        held = scratch_path(spark, "grams")
+        grams(df, design).write.partitionBy("pv").parquet(held)
+        table = spark.read.parquet(held)
+        for s in specs:
+            for pv in range(1, len(design.pv) + 1) if design.pv else [0]:
+                fit_over_groups(table.where(F.col("pv") == pv), design, s, pv, modes).write.mode("append").parquet(path)
+        return split_results(spark.read.parquet(path))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > GROUPS_PER_TASK:
-            raise ValueError(f"more than {GROUPS_PER_TASK} groups; use fit_linear_many_groups")
+            raise ValueError(f"more than {GROUPS_PER_TASK} groups; fit with many_groups=True")
         return result_frame(linear_rows(pdf, design, by_name[pdf["spec"].iloc[0]], tests, modes))
 
     dealt = grams(df, design).withColumn("spec", F.explode(F.array(*[F.lit(s.name) for s in specs])))
     fits = max(1, len(specs) * max(1, len(design.pv)))
     # An explicit count keeps adaptive execution from merging the small partitions into one task.
     table = dealt.repartition(min(fits, 64), "spec", "pv").groupBy("spec", "pv").applyInPandas(solve, RESULT_SCHEMA)
-    path = scratch_path(df.sparkSession, "fits")
     table.write.parquet(path)
-    return split_results(df.sparkSession.read.parquet(path))
+    return split_results(spark.read.parquet(path))
+
+
+def fit_over_groups(table: DataFrame, design: Design, spec: ModelSpec, pv: int, modes: bool = False) -> DataFrame:
+    """One model and draw with any number of groups.
+
+    The written Gram rows stay distributed; each evaluation sums over groups in
+    Spark and only matrices of the size of the fixed effects reach the driver.
+    """
+    spark = table.sparkSession
+    levels, zcols = spec.group_level(design), spec.random_columns(design)
+
+    def total(fn, size: int) -> np.ndarray:
+        """Sum over groups of ``fn(full Gram stack, names)``, a flat vector of ``size``."""
+
+        def part(batches):
+            out = np.zeros(size)
+            for pdf in batches:
+                _, n, full, names = stacked_grams(pdf, design, levels)
+                if len(full):
+                    out += fn(n, full, names)
+            yield pd.DataFrame({"i": np.arange(size), "v": out})
+
+        rows = table.mapInPandas(part, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        out = np.zeros(size)
+        for r in rows:
+            out[r["i"]] = r["v"]
+        return out
+
+    names = [*design.columns(), "y"]
+    k, y = len(names), len(names) - 1
+    sums = total(lambda n, full, _: np.r_[n.sum(), len(full), full.sum(0).ravel()], 2 + k * k)
+    n, groups, gram = sums[0], int(sums[1]), sums[2:].reshape(k, k)
+    xi = [names.index(c) for c in spec.fixed_columns(design)]
+    xi = [xi[i] for i in lmm.independent_columns(gram[np.ix_(xi, xi)])]
+    xcols, zi, p, q = [names[i] for i in xi], [names.index(c) for c in zcols], len(xi), len(zcols)
+
+    def parts(full):
+        return full[:, zi][:, :, zi], full[:, zi][:, :, xi], full[:, zi, y]
+
+    def evaluator(lam, sigma=None):
+        def terms(_, full, __):
+            logdet, xx, xy, yy = lmm.group_terms(*parts(full), lam)
+            return np.r_[logdet, xx.ravel(), xy, yy]
+
+        t = total(terms, 2 + p * p + p)
+
+        def gradient(beta):
+            def sums_at(_, full, __):
+                _, _, det, fit = lmm.group_gradient(*parts(full), lam, beta)
+                return np.r_[det.ravel(), fit.ravel()]
+
+            g = total(sums_at, 2 * q * q)
+            return None, None, g[: q * q].reshape(q, q), g[q * q :].reshape(q, q)
+
+        reduced = (t[0], t[1 : 1 + p * p].reshape(p, p), t[1 + p * p : -1], t[-1])
+        return lmm.assemble(n, gram[np.ix_(xi, xi)], gram[xi, y], gram[y, y], reduced, gradient, lam, sigma)
+
+    f = lmm.fit_by(evaluator, q, p, n)
+    df = lmm.satterthwaite(evaluator, f, n)
+    out = spark.createDataFrame(result_frame(_summary_rows(design, spec, pv, f, df, xcols, zcols, n, groups)), RESULT_SCHEMA)
+    if not modes:
+        return out
+
+    def mode_rows(batches):
+        for pdf in batches:
+            labels, _, full, _ = stacked_grams(pdf, design, levels)
+            if len(full):
+                u, m_inv, _, _ = lmm.group_gradient(*parts(full), f.lam, f.beta)
+                value = u @ f.lam.T
+                sd = np.sqrt(np.maximum(np.einsum("jqq->jq", f.sigma2 * f.lam @ m_inv @ f.lam.T), 0))
+                yield result_frame(
+                    [_row(spec.name, pv, "mode", grp=g, term=z, value=value[j, i], spread=sd[j, i]) for j, g in enumerate(labels) for i, z in enumerate(zcols)]
+                )
+
+    return out.unionByName(table.mapInPandas(mode_rows, RESULT_SCHEMA))

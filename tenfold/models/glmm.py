@@ -28,7 +28,7 @@ from tenfold.models.fitting import RESULT_SCHEMA, Results, _row, fit_rows, resul
 from tenfold.models.moments import design_rows
 from tenfold.models.spec import PV, Design, ModelSpec
 from tenfold.operators.joins import lookup_join
-from tenfold.session import scratch_path, ship_package
+from tenfold.session import local_table, scratch_path, ship_package
 
 MAX_GROUPS = 100_000
 SUMS_PER_PASS = 40_000_000  # doubles formed per task and pass; more fits go in further waves
@@ -60,7 +60,7 @@ def coded_rows(df: DataFrame, design: Design) -> tuple[DataFrame, list[str], np.
     level = np.array(
         [[np.nan if r[f"lo{j}"] is None else r[f"lo{j}"] for j in range(len(design.group_level))] for r in found], dtype=float
     ).reshape(len(groups), len(design.group_level))
-    index = spark.createDataFrame(list(zip(groups, range(len(groups)))), "__key string, __g int")
+    index = local_table(spark, list(zip(groups, range(len(groups)))), "__key string, __g int")
     joined = lookup_join(rows.withColumn("__grp", F.col(design.group).cast("string")), index, "__grp", "__key", how="inner", max_rows=MAX_GROUPS)
 
     def code(c, levels):

@@ -70,29 +70,52 @@ class State:
     logdet: float
 
 
-def evaluate(blocks: Blocks, lam: np.ndarray, sigma: float | None = None) -> State:
-    """Deviance and gradient at a relative covariance factor; ``sigma`` fixes the residual scale."""
+def group_terms(a, b, c, lam):
+    """Sums over groups that give the fixed effects: log-determinant and the reductions of X'X, X'y and y'y."""
     q = lam.shape[0]
-    al = blocks.a @ lam
-    m = lam.T @ al + np.eye(q)
-    m_inv = np.linalg.inv(m)
+    m = lam.T @ (a @ lam) + np.eye(q)
     logdet = float(np.linalg.slogdet(m)[1].sum()) if q else 0.0
-    lb, lc = lam.T @ blocks.b, blocks.c @ lam
+    lb, lc = lam.T @ b, c @ lam
+    m_inv = np.linalg.inv(m)
     mb = m_inv @ lb
-    h = blocks.xx - np.einsum("jqp,jqr->pr", lb, mb)
-    rhs = blocks.xy - np.einsum("jqp,jq->p", mb, lc)
+    down_xx = np.einsum("jqp,jqr->pr", lb, mb)
+    down_xy = np.einsum("jqp,jq->p", mb, lc)
+    down_yy = float(np.einsum("jq,jqr,jr->", lc, m_inv, lc))
+    return logdet, down_xx, down_xy, down_yy
+
+
+def group_gradient(a, b, c, lam, beta):
+    """Modes and the two gradient sums over groups, given the fixed effects."""
+    al = a @ lam
+    m_inv = np.linalg.inv(lam.T @ al + np.eye(lam.shape[0]))
+    rest = c - b @ beta
+    u = np.einsum("jqr,jr->jq", m_inv, rest @ lam)
+    ze = rest - np.einsum("jqr,jr->jq", al, u)
+    return u, m_inv, np.einsum("jqr,jrs->qs", al, m_inv), np.einsum("jq,jr->qr", ze, u)
+
+
+def assemble(n, xx, xy, yy, terms, gradient_sums, lam, sigma=None) -> State:
+    """Deviance and gradient from sums over groups; ``gradient_sums`` is called with the fixed effects."""
+    logdet, down_xx, down_xy, down_yy = terms
+    h, rhs = xx - down_xx, xy - down_xy
     beta = np.linalg.solve(h, rhs)
-    mc = np.einsum("jqr,jr->jq", m_inv, lc)
-    r2 = max(blocks.yy - float((lc * mc).sum()) - float(beta @ rhs), 1e-300)
-    u = mc - mb @ beta
-    ze = blocks.c - blocks.b @ beta - np.einsum("jqr,jr->jq", al, u)
-    scale = blocks.n / r2 if sigma is None else 1.0 / sigma**2
-    grad = 2.0 * (np.einsum("jqr,jrs->qs", al, m_inv) - scale * np.einsum("jq,jr->qr", ze, u))
+    r2 = max(yy - down_yy - float(beta @ rhs), 1e-300)
+    u, m_inv, g_det, g_fit = gradient_sums(beta)
+    scale = n / r2 if sigma is None else 1.0 / sigma**2
+    grad = 2.0 * (g_det - scale * g_fit)
     if sigma is None:
-        dev = logdet + blocks.n * (1.0 + math.log(2.0 * math.pi * r2 / blocks.n))
+        dev = logdet + n * (1.0 + math.log(2.0 * math.pi * r2 / n))
     else:
-        dev = logdet + blocks.n * math.log(2.0 * math.pi * sigma**2) + r2 / sigma**2
-    return State(dev, grad[np.tril_indices(q)], beta, u, m_inv, h, r2, logdet)
+        dev = logdet + n * math.log(2.0 * math.pi * sigma**2) + r2 / sigma**2
+    return State(dev, grad[np.tril_indices(lam.shape[0])], beta, u, m_inv, h, r2, logdet)
+
+
+def evaluate(blocks: Blocks, lam: np.ndarray, sigma: float | None = None) -> State:
+    """Deviance and gradient at a relative covariance factor; ``sigma`` fixes the residual scale."""
+    held = (blocks.a, blocks.b, blocks.c, lam)
+    return assemble(
+        blocks.n, blocks.xx, blocks.xy, blocks.yy, group_terms(*held), lambda beta: group_gradient(*held, beta), lam, sigma
+    )
 
 
 def minimise(fun, start: np.ndarray, gtol: float = 1e-7, steps: int = 400, memory: dict | None = None):
@@ -155,10 +178,14 @@ class Fit:
 
 
 def fit(blocks: Blocks, start: np.ndarray | None = None) -> Fit:
-    q, p = blocks.a.shape[1], len(blocks.xy)
+    return fit_by(lambda lam, sigma=None: evaluate(blocks, lam, sigma), blocks.a.shape[1], len(blocks.xy), blocks.n, start)
+
+
+def fit_by(evaluator, q: int, p: int, n: float, start: np.ndarray | None = None) -> Fit:
+    """Maximum likelihood through any ``evaluator(lam, sigma)``."""
 
     def fun(theta):
-        s = evaluate(blocks, lower(theta, q))
+        s = evaluator(lower(theta, q))
         return s.deviance, s.gradient
 
     if q:
@@ -167,22 +194,22 @@ def fit(blocks: Blocks, start: np.ndarray | None = None) -> Fit:
         lam = fold(lower(theta, q))
     else:
         lam, its, ok = np.zeros((0, 0)), 0, True
-    s = evaluate(blocks, lam)
-    sigma2 = s.r2 / blocks.n
+    s = evaluator(lam)
+    sigma2 = s.r2 / n
     se = np.sqrt(np.maximum(np.diag(np.linalg.inv(s.h)) * sigma2, 0))
     small = bool(q) and (np.linalg.svd(lam, compute_uv=False).min() < 1e-4 or np.diag(lam).min() < 1e-4)
     return Fit(lam, s.beta, se, sigma2, s.deviance, p + q * (q + 1) // 2 + 1, ok, small, its, s)
 
 
-def satterthwaite(blocks: Blocks, f: Fit) -> np.ndarray:
+def satterthwaite(evaluator, f: Fit, n: float) -> np.ndarray:
     """Approximate degrees of freedom of each fixed effect (NaN where undefined)."""
     q = f.lam.shape[0]
     ix = np.tril_indices(q)
     point = np.append(f.lam[ix], math.sqrt(f.sigma2))
 
     def at(v):
-        s = evaluate(blocks, lower(v[:-1], q), sigma=v[-1])
-        grad = np.append(s.gradient, 2 * blocks.n / v[-1] - 2 * s.r2 / v[-1] ** 3)
+        s = evaluator(lower(v[:-1], q), v[-1])
+        grad = np.append(s.gradient, 2 * n / v[-1] - 2 * s.r2 / v[-1] ** 3)
         return grad, np.diag(np.linalg.inv(s.h)) * v[-1] ** 2
 
     k = len(point)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tenfold.functions.nulls import ratio
 from tenfold.operators.reshape import lengthen, pv_rows
+from tenfold.session import local_table
 
 
 def missing_profile(
@@ -119,8 +120,7 @@ def exact_quantiles(
     found: list[tuple] = []
     while targets:
         frame = F.broadcast(
-            spark.createDataFrame(
-                [(i, t[0], t[5], t[6]) for i, t in enumerate(targets)], "target int, t_name string, lo double, hi double"
+            local_table(spark, [(i, t[0], t[5], t[6]) for i, t in enumerate(targets)], "target int, t_name string, lo double, hi double"
             )
         )
         held = long.join(frame, F.col("name") == F.col("t_name"))
@@ -167,7 +167,7 @@ def exact_quantiles(
             else:
                 again.append((name, p, rank, weight, n, split["next"], hi, True, split["next"], hi))
         if ready:
-            wanted = F.broadcast(spark.createDataFrame(ready, "r_target int, a long, b long"))
+            wanted = F.broadcast(local_table(spark, ready, "r_target int, a long, b long"))
             distinct = (
                 held.where(inside)
                 .join(wanted, F.col("target") == F.col("r_target"))
@@ -184,7 +184,7 @@ def exact_quantiles(
                 name, p, _, weight, *_ = targets[r["target"]]
                 found.append((name, p, r["va"] + weight * (r["vb"] - r["va"])))
         targets = again
-    return spark.createDataFrame(found, "name string, p double, value double")
+    return local_table(spark, found, "name string, p double, value double")
 
 
 def six_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -234,7 +234,7 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     """Counts in right-closed bins under the log2 bin rule; the lowest edge is included."""
     shape = df.agg(F.count(column).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).first()
     if not shape["n"]:
-        return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, n long")
+        return local_table(df.sparkSession, [], "bin int, lo double, hi double, n long")
     edges = round_edges(shape["lo"], shape["hi"], math.ceil(math.log2(shape["n"]) + 1))
     start, width = edges[0], (edges[-1] - edges[0]) / (len(edges) - 1)
     index = F.greatest(F.ceil((F.col(column) - start) / width - 1e-7), F.lit(1))
@@ -244,8 +244,8 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    frame = df.sparkSession.createDataFrame(
-        [(i + 1, edges[i], edges[i + 1]) for i in range(len(edges) - 1)], "bin int, lo double, hi double"
+    frame = local_table(
+        df.sparkSession, [(i + 1, edges[i], edges[i + 1]) for i in range(len(edges) - 1)], "bin int, lo double, hi double"
     )
     return frame.join(counts, "bin", "left").select("bin", "lo", "hi", F.coalesce("c", F.lit(0)).alias("n"))
 

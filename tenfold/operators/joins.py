@@ -16,10 +16,10 @@ def pin_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame,
     A table of at most ``max_rows`` rows comes back as a local relation whose
     size Spark knows; a larger one comes back as it was.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
         return df, False
-    return df.sparkSession.createDataFrame(rows, df.schema), True
+    return df.sparkSession.createDataFrame(table, df.schema), True
 
 
 def lookup_join(

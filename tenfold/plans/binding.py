@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenfold.session import scratch_path
+from tenfold.session import local_table, scratch_path
 
 PV = range(1, 11)
 
@@ -180,6 +180,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _orders_with_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders joined to their nation; only the columns in use are read."""
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    workers = spark.sparkContext.defaultParallelism
+    if o.rdd.getNumPartitions() < workers:  # a small file: let every core take part
+        o = o.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority").repartition(workers)
     return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
 
 
@@ -217,11 +220,12 @@ def derive_respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def country_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation")
     known = nations.select(*[F.expr(e).alias(c) for c, e in INDEX.items()])
-    return known.unionByName(spark.range(1).select(*[F.expr(e).alias(c) for c, e in UNKNOWN_COUNTRY.items()]))
+    one = local_table(spark, [(0,)], "i int")
+    return known.unionByName(one.select(*[F.expr(e).alias(c) for c, e in UNKNOWN_COUNTRY.items()]))
 
 
 def lookups(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LOOKUP_ROWS, "Variable string, Value string, Label string, Mapped string")
+    return local_table(spark, LOOKUP_ROWS, "Variable string, Value string, Label string, Mapped string")
 
 
 def derive_yearly_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from tenfold.models.glmm import fit_logistic, fit_null
 from tenfold.models.ols import nested_f, ols_tables
 from tenfold.models.spec import Design, ModelSpec
 from tenfold.plans.jobs import COUNTRY_COVARIATES, pv_names
+from tenfold.session import local_table
 
 # ---- fixed values: model vocabulary, random parts and labels ----
 PERSON_TERMS = ("PV", "Gender", "Age", "STEM", "Education", "Training", "Experience", "Occupation")
@@ -116,7 +117,7 @@ def earnings_null_model(study: DataFrame, **options) -> Results:
 
 def term_labels(spark, family: str) -> DataFrame:
     labels = {**TERM_LABELS, "PV": SCORE_LABELS[family]}
-    return spark.createDataFrame(list(labels.items()), "term string, label string")
+    return local_table(spark, list(labels.items()), "term string, label string")
 
 
 def employment_models(clean: DataFrame, family: str, specs: list[ModelSpec] | None = None, **options) -> Results:

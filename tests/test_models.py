@@ -132,6 +132,20 @@ def test_many_partitions_and_row_order_do_not_matter(linear):
         assert x["est"] == pytest.approx(a[x["pv"], x["term"]], abs=1e-8)
 
 
+def test_groups_that_no_task_holds_together(spark):
+    rows = sample(groups=8)
+    df = spark.createDataFrame(rows, SCHEMA)
+    one_draw = Design("y", "g", ("p1",), LEVELS, ("train",), ("exper",), ("level",))
+    spec = [ModelSpec("b", FIXED, ("PV",))]
+    near, far = fit_linear(df, one_draw, spec, modes=True), fit_linear(df, one_draw, spec, modes=True, many_groups=True)
+    for part, keys in (("fixed", ["term"]), ("random", ["grp", "term", "term2"]), ("modes", ["grp", "term"])):
+        a = {tuple(r[k] for k in keys): r[-2] for r in getattr(near, part).collect()}
+        c = {tuple(r[k] for k in keys): r[-2] for r in getattr(far, part).collect()}
+        assert a.keys() == c.keys()
+        for k in a:
+            assert a[k] == pytest.approx(c[k], abs=1e-5)
+
+
 def test_balanced_closed_form(spark):
     rng = np.random.default_rng(8)
     y = rng.normal(size=(15, 20)) + 0.8 * rng.normal(size=(15, 1))
