@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tenfold.catalog import base as b
@@ -470,6 +472,16 @@ def md_23(spark, sf_dir):
     return rounded(out.select("label", "conf_low", "conf_high", "est_exp", "l95_exp", "u95_exp"), 6)
 
 
+@query(
+    "prj_12_drop_intercept_row",
+    recursive(_BISECT) + " SELECT pv, term, round(est, 6) AS est FROM est WHERE term <> '(Intercept)'",
+    ("study",),
+)
+def prj_12(spark, sf_dir):
+    fixed = _intercept_models(spark, sf_dir).fixed
+    return rounded(fixed.where(F.col("term") != "(Intercept)").select("pv", "term", "est"), 6)
+
+
 @query(
     "rsh_04_draws_to_columns",
     recursive(_BISECT) + " SELECT term, " + ", ".join(
@@ -520,6 +532,26 @@ def md_18_linear(spark, sf_dir):
     return pool.aic_table(pool.pool_aic(fits))
 
 
+@query("md_19_trial_random_parts")
+def md_19_trial(spark, sf_dir):
+    r = st.earnings_models(b.study(spark, sf_dir), "lnm", st.trial_specs())
+    return pool.aic_table(r.fits.groupBy("spec").agg(
+        F.avg("aic").alias("aic"), *[F.max(F.when(F.col("pv") == i, F.col("aic"))).alias(f"aic_pv{i}") for i in (1, 5)],
+        F.count_if("singular").alias("singular"),
+    ))
+
+
+@query("md_07_other_draw_in_random_part")
+def md_07_other(spark, sf_dir):
+    # Fixed part with each draw in turn, random slope on the seventh draw.
+    df = st.earnings_frame(b.study(spark, sf_dir))
+    base = st.study_design(df, "LogEarnings", "psm")
+    design = replace(base, continuous=(*base.continuous, "PVPSL7_s"))
+    full = st.PERSON_TERMS + tuple(jobs.COUNTRY_COVARIATES)
+    r = fit_linear(df, design, [ModelSpec("trial", full, ("PVPSL7_s", "Gender"))], tests=True)
+    return r.tests
+
+
 @query("md_20_deletion_tests")
 def md_20_full(spark, sf_dir):
     spec = [s for s in st.linear_specs("lnm") if s.name == "lnm6_ref"]

@@ -78,7 +78,7 @@ def coded_rows(df: DataFrame, design: Design) -> tuple[DataFrame, list[str], np.
     )
     # Few groups per task keep the partial sums of every later pass few; the
     # second key lets a hot group spread over many tasks.
-    parts = max(spark.sparkContext.defaultParallelism, table.rdd.getNumPartitions())
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     spread = ["g", "p0"] if design.pv else ["g"]
     table = table.repartitionByRange(parts, *spread)
     path = scratch_path(spark, "coded")

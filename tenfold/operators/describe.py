@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenfold.functions.nulls import ratio
@@ -49,13 +49,36 @@ def agreement(df: DataFrame, left: str, right: str) -> DataFrame:
     )
 
 
+def _column_statistics(
+    df: DataFrame, columns: Sequence[str], stats: Mapping[str, Callable[[Column], Column]], lanes: int = 8
+) -> DataFrame:
+    """One row per column.  Few columns are one wide aggregate; many are cut into
+    strips of ``lanes`` columns, so neither the row count nor the aggregate grows large."""
+    strips = [list(columns[i : i + lanes]) for i in range(0, len(columns), lanes)]
+    width = len(strips[0])
+    padded = [[*s, *[None] * (width - len(s))] for s in strips]
+    if len(strips) > 1:
+        values = F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("strip"),
+                    *[(F.col(c) if c else F.lit(None)).cast("double").alias(f"v{j}") for j, c in enumerate(s)],
+                )
+                for i, s in enumerate(padded)
+            ]
+        )
+        data = df.select(F.explode(values).alias("x")).select("x.*")
+    else:
+        data = df.select(F.lit(0).alias("strip"), *[F.col(c).cast("double").alias(f"v{j}") for j, c in enumerate(columns)])
+    wide = data.groupBy("strip").agg(*[fn(F.col(f"v{j}")).alias(f"{s}{j}") for j in range(width) for s, fn in stats.items()])
+    names = [F.array(*[F.lit(s[j]) for s in padded])[F.col("strip")] for j in range(width)]
+    rows = F.array(*[F.struct(names[j].alias("name"), *[F.col(f"{s}{j}").alias(s) for s in stats]) for j in range(width)])
+    return wide.select(F.explode(rows).alias("r")).select("r.*").where(F.col("name").isNotNull())
+
+
 def mean_sd(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean and sample deviation of each column, one row per column."""
-    return (
-        lengthen(df.select(*columns), columns)
-        .groupBy("name")
-        .agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    )
+    return _column_statistics(df, columns, {"mean": F.avg, "sd": F.stddev_samp})
 
 
 def pooled_mean_sd(per_pv: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -189,16 +212,8 @@ def exact_quantiles(
 
 def six_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Minimum, quartiles, mean, maximum and missing count, one row per column."""
-    cols = [F.col(c).cast("double").alias(c) for c in columns]
-    base = (
-        lengthen(df.select(*cols), columns)
-        .groupBy("name")
-        .agg(
-            F.min("value").alias("min"),
-            F.avg("value").alias("mean"),
-            F.max("value").alias("max"),
-            F.count_if(F.col("value").isNull()).alias("missing"),
-        )
+    base = _column_statistics(
+        df, columns, {"min": F.min, "mean": F.avg, "max": F.max, "missing": lambda c: F.count_if(c.isNull())}
     )
     q = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     quartiles = q.groupBy("name").agg(

@@ -26,6 +26,10 @@ RANDOM_PARTS = {
     7: ("PV", "Gender", "Training"),
     8: ("PV", "STEM", "Training"),
 }
+TRIAL_PARTS = [
+    ("PV",), ("PV", "Gender"), ("PV", "Age"), ("PV", "STEM"), ("PV", "Education"), ("PV", "Training"), ("PV", "Experience"),
+    ("PV", "Occupation"), ("PV", "Gender", "STEM"), ("PV", "Gender", "Training"), ("PV", "Gender", "Experience"),
+]
 CATEGORIES = ("Gender", "Age", "STEM", "Education", "Occupation")
 FAMILIES = {"lnm": "PVLITNUM", "psm": "PVPSL"}
 TERM_LABELS = {
@@ -68,6 +72,12 @@ def logistic_specs(family: str, parts=range(1, 9)) -> list[ModelSpec]:
     return out
 
 
+def trial_specs() -> list[ModelSpec]:
+    """The full model with each candidate random part, for comparison by AIC."""
+    full = PERSON_TERMS + tuple(COUNTRY_COVARIATES)
+    return [ModelSpec(" + ".join(("1", *part)), full, part) for part in TRIAL_PARTS]
+
+
 def study_design(df: DataFrame, response: str, family: str, group_level=tuple(COUNTRY_COVARIATES)) -> Design:
     """Levels come from all rows read; reference levels sort first unless set."""
     levels = factor_levels(df, CATEGORIES, {"Education": EDUCATION_REFERENCE})
