@@ -532,14 +532,14 @@ def sc_10(spark, sf_dir):
 
 @query(
     "sc_13_report_text",
-    "SELECT Country, rtrim(rtrim(printf('%.3f', round(m, 3)), '0'), '.') || ' (' || rtrim(rtrim(printf('%.3f', round(s, 3)), '0'), '.') "
-    "|| ')' AS reported, rtrim(rtrim(printf('%.3f', share), '0'), '.') AS share FROM (SELECT Country, avg(PVLIT1) AS m, "
+    "SELECT Country, coalesce(rtrim(rtrim(printf('%.3f', round(m, 3)), '0'), '.'), 'NA') || ' (' || "
+    "coalesce(rtrim(rtrim(printf('%.3f', round(s, 3)), '0'), '.'), 'NA') || ')' AS reported, rtrim(rtrim(printf('%.3f', share), '0'), '.') AS share FROM (SELECT Country, 50 * avg(ln(PVLIT1)) AS m, "
     "stddev_samp(PVLIT1) AS s, CASE WHEN count(Earnings) = 0 THEN 0e0 ELSE 0.5e0 END AS share FROM clean GROUP BY Country)",
     ("clean",),
 )
 def sc_13(spark, sf_dir):
     stats = b.clean(spark, sf_dir).groupBy("Country").agg(
-        F.avg("PVLIT1").alias("m"),
+        (50 * F.avg(F.ln("PVLIT1"))).alias("m"),
         F.stddev_samp("PVLIT1").alias("s"),
         F.when(F.count("Earnings") == 0, 0.0).otherwise(0.5).alias("share"),
     )

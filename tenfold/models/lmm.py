@@ -140,14 +140,17 @@ def minimise(fun, start: np.ndarray, gtol: float = 1e-7, steps: int = 400, memor
         while True:
             nx = x + step * d
             nf, ng = fun(nx)
-            if nf <= f + 1e-4 * step * (d @ g) or step < 1e-10:
+            # Where the value is flat to rounding, a smaller gradient decides.
+            flat = abs(nf - f) <= 1e-12 * abs(f) and np.abs(ng).max() < np.abs(g).max()
+            if nf <= f + 1e-4 * step * (d @ g) or flat or step < 1e-10:
                 break
             step *= 0.5
-        if step < 1e-10 or f - nf <= 1e-13 * abs(f):
+        if step < 1e-10 or (f - nf <= 1e-13 * abs(f) and np.abs(ng).max() > 0.5 * np.abs(g).max()):
             stalled += 1
             if step < 1e-10 or stalled > 3:
                 near = np.abs(g).max() < 1e-3
-                return (nx, nf, ng, it, near) if nf < f else (x, f, g, it, near)
+                better = np.abs(ng).max() < np.abs(g).max() and nf <= f + 1e-12 * abs(f)
+                return (nx, nf, ng, it, near) if nf < f or better else (x, f, g, it, near)
         else:
             stalled = 0
         s, y = nx - x, ng - g

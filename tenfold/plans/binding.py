@@ -149,10 +149,10 @@ UNKNOWN_COUNTRY = {
 
 # Indicator code: (name, aggregate of the country's orders in one year).
 SERIES = {
-    "COLLEGE": ("College completion", "round(avg(o_totalprice), 2)"),
+    "COLLEGE": ("College completion", "round(sum(o_totalprice), 2) / count(*)"),
     "HIGHSCHOOL": ("High school completion", "round(min(o_totalprice), 2)"),
     "GDP": ("GDP per head", "round(sum(o_totalprice), 2)"),
-    "NET": ("Internet users", "round(avg(c_acctbal), 2)"),
+    "NET": ("Internet users", "round(sum(c_acctbal), 2) / count(*)"),
     "MOBILE": ("Mobile subscriptions", "cast(count(*) as double)"),
     "POVERTY": ("Poverty headcount", "round(max(c_acctbal), 2)"),
     "OTHER": ("Not selected", "round(max(o_totalprice), 2)"),

@@ -115,3 +115,4 @@ def test_report_text(spark):
     df = spark.createDataFrame([(0.5, 0.1234), (0.0, -0.0001), (-1.25, 10.0)], "a double, b double")
     assert [r[0] for r in df.select(estimate_text(F.col("a"), F.col("b"), F.lit("*"))).collect()] == ["0.5 (0.123)*", "0 (0)*", "-1.25 (10)*"]
     assert df.select(short_number(F.lit(100.0))).first()[0] == "100"
+    assert df.select(short_number(F.lit(None).cast("double"))).first()[0] == "NA"
