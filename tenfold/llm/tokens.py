@@ -16,7 +16,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-REMEMBER = 400_000
+#: Chunks and pieces that a worker remembers, about 100 MB each; a full memory starts anew.
+REMEMBER = 1_000_000
 
 
 @lru_cache(maxsize=4)
@@ -58,6 +59,7 @@ class Encoder:
             if len(known) > REMEMBER:
                 known.clear()
                 known[""] = b""
+            if len(self.pieces) > REMEMBER:
                 self.pieces.clear()
             for w in words:
                 if w not in known:
