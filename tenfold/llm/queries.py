@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenfold.llm import common, mixing, packing, sharding, tokens
+from tenfold.llm import common, lengths, mixing, packing, perplexity, pii, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,6 +113,35 @@ def op2_packing(spark, sf_dir):
     return packing.pack(common.table(spark, sf_dir, "documents"), tokens.word_bpe_path())
 
 
+# ------------------------------------------------------------ 3 token counts
+
+
+@query("op3_length_histogram")
+def op3_length_histogram(spark, sf_dir):
+    hist = lengths.histogram(common.table(spark, sf_dir, "documents"), tokens.word_bpe_path(), by=["lang"])
+    return lengths.suffix_sums(hist, by=["lang"])
+
+
+# ------------------------------------------------------------ 4 personal data
+
+#: For the registered query only; a job passes its own key from where it keeps secrets.
+PUBLIC_KEY = b"a key that everybody may know"
+
+
+@query("op4_pseudonyms")
+def op4_pseudonyms(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PUBLIC_KEY)
+
+
+# ------------------------------------------------------------ 8 quality rules
+
+
+@query("op8_perplexity_bands")
+def op8_perplexity_bands(spark, sf_dir):
+    return perplexity.judge(common.table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 # ------------------------------------------------------------ 9 sharding
 
 
