@@ -95,18 +95,17 @@ class Prints:
     """
 
     def __init__(self, data: np.ndarray, seed: int = 1):
-        inverse_free = mix64(np.arange(256, dtype=np.uint64) + np.uint64(seed) * _ODD)
-        self.base = _ODD * np.uint64(2 * seed + 1) | np.uint64(1)
+        values = mix64(np.arange(256, dtype=np.uint64) + np.uint64(seed * int(_ODD) % (1 << 64)))
+        self.base = np.uint64(int(_ODD) * (2 * seed + 1) % (1 << 64) | 1)
         n = len(data)
-        self.power = powers(self.base, n + 1)
-        # sum of value * base**i; a stretch at s is brought to a common power by base**(n - s)
+        # sums of value * base**i; a stretch at s is brought to power 0 by base**-s (an odd base has an inverse)
+        self.down = powers(np.uint64(pow(int(self.base), -1, 1 << 64)), n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(inverse_free[data] * self.power[:n], out=self.sums[1:])
-        self.n = n
+        np.cumsum(values[data] * powers(self.base, n + 1)[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
         end = start + length
-        return mix64((self.sums[end] - self.sums[start]) * self.power[self.n - start])
+        return mix64((self.sums[end] - self.sums[start]) * self.down[start])
 
 
 def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

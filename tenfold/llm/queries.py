@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenfold.llm import common, lengths, mixing, packing, perplexity, pii, sharding, tokens
+from tenfold.llm import common, lengths, mixing, neighbours, packing, perplexity, pii, sharding, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -134,6 +134,18 @@ def op4_pseudonyms(spark, sf_dir):
     return pii.pseudonymise(docs, PUBLIC_KEY)
 
 
+# ------------------------------------------------------------ 5 toxicity
+
+
+@query("op5_factorization_machine")
+def op5_factorization_machine(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    held = toxicity.held_out(F.col("doc_id")).alias("held_out")
+    rows = docs.select("doc_id", held, "text")
+    return toxicity.score(rows, machine).select("doc_id", "held_out", "score", "predicted")
+
+
 # ------------------------------------------------------------ 8 quality rules
 
 
@@ -153,3 +165,12 @@ def op9_sharding(spark, sf_dir):
     )
     dealt = sharding.dealt(rows, ["doc_id", "text_crc32"], "size", shards=16)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+# ------------------------------------------------------------ 10 nearest neighbours
+
+
+@query("op10_cross_polytope")
+def op10_cross_polytope(spark, sf_dir):
+    found = neighbours.search(common.table(spark, sf_dir, "embeddings"), F.expr("pmod(id, 20) = 0"), k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
