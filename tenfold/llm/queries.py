@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenfold.llm import common, lengths, mixing, neighbours, packing, perplexity, pii, sharding, tokens, toxicity
+from tenfold.llm import common, lengths, mixing, neighbours, packing, perplexity, pii, setjoin, sharding, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -174,3 +174,11 @@ def op9_sharding(spark, sf_dir):
 def op10_cross_polytope(spark, sf_dir):
     found = neighbours.search(common.table(spark, sf_dir, "embeddings"), F.expr("pmod(id, 20) = 0"), k=20)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+# ------------------------------------------------------------ 7 n-gram Jaccard join
+
+
+@query("op7_jaccard_groups")
+def op7_jaccard_groups(spark, sf_dir):
+    return setjoin.join(common.table(spark, sf_dir, "documents"))
