@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenfold.llm import common, lengths, mixing, neighbours, packing, perplexity, pii, setjoin, sharding, tokens, toxicity
+from tenfold.llm import common, lengths, mixing, neighbours, packing, perplexity, pii, setjoin, sharding, substrings, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -182,3 +182,11 @@ def op10_cross_polytope(spark, sf_dir):
 @query("op7_jaccard_groups")
 def op7_jaccard_groups(spark, sf_dir):
     return setjoin.join(common.table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------ 6 repeated substrings
+
+
+@query("op6_prefix_doubling")
+def op6_prefix_doubling(spark, sf_dir):
+    return substrings.remove_repeats(common.table(spark, sf_dir, "documents"))
