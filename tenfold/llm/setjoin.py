@@ -121,11 +121,12 @@ def _scan(batches, words: int, percent: int, ranges: int):
                     pa.array(piece.column("doc_id").to_pylist() + [None] * k, pa.int64()),
                     pa.array(n.tolist() + [None] * k, pa.int64()),
                     pa.array(names + [None] * k, pa.int64()),
+                    pa.array(piece.column("text_hash").to_pylist() + [None] * k, pa.int64()),
                     pa.array(met.tolist() + [None] * k, pa.int64()),
                     pa.array([None] * m + where, pa.int32()),
                     pa.array([None] * m + packed, pa.binary()),
                 ],
-                ["block", "place", "doc_id", "n", "class", "met", "rng", "packed"],
+                ["block", "place", "doc_id", "n", "class", "text_hash", "met", "rng", "packed"],
             )
 
 
@@ -189,11 +190,12 @@ def boundary(sizes: Sequence[tuple[int, int]], mean_list: float, percent: int =
 def scan(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The written result of step 1's pass over the texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column().alias("text"))
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(16, -(-size // (16 * RANGE_ROWS)))
     made = common.map_arrow(
         rows, partial(_scan, words=words, percent=percent, ranges=ranges),
-        "block long, place int, doc_id long, n long, class long, met long, rng int, packed binary",
+        "block long, place int, doc_id long, n long, class long, text_hash long, met long, rng int, packed binary",
     )
     return common.written(made, "first-shingles")
 
@@ -275,15 +277,41 @@ def groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return graph.components(every).withColumnRenamed("vertex", "class")
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Every document with its group: doc_id, n_shingles, component_id (the smallest doc_id of the group)."""
+def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, class, component_id, group (a class; missing for an empty set)."""
     scanned = scan(docs, words, percent)
-    rows = scanned.where("place is not null").select("doc_id", F.col("n").alias("n_shingles"), "class")
+    rows = scanned.where("place is not null").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "class")
     roots = common.written(groups(candidates(docs, scanned, words, percent), percent), "groups")
-    # An empty set has no class: it joins nothing and stands alone.
     lowest = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("low"))
     lowest = lowest.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = lowest.groupBy("root").agg(F.min("low").alias("least"))
-    named = common.written(lowest.join(least, "root").select("class", F.col("least").alias("component_id")), "group-names")
-    named = rows.join(named, "class", "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = lowest.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = common.written(lowest.join(least, "root").select("class", "component_id", F.col("root").alias("group")), "group-names")
+    # An empty set has no class: it joins nothing and stands alone.
+    return rows.join(named, "class", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Every document with its group: doc_id, n_shingles, component_id (the smallest doc_id of the group)."""
+    return _joined(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """All columns of one document of each group: that of the smallest doc_id, and of its texts that of the smallest hash.
+
+    Texts without words all stay.  The documents that stay are named by doc_id
+    and a hash of the text; their names are broadcast only below BROADCAST_IDS.
+    """
+    rows = common.written(_joined(docs, words, percent), "joined")
+    first = rows.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("x"))
+    names = first.select(F.col("x.doc_id").alias("_id"), F.col("x.text_hash").alias("_hash"))
+    empty = rows.where("group is null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    names, small = pin_small(common.written(names.unionByName(empty), "names-that-stay"), BROADCAST_IDS)
+    named = docs.withColumn("_text_hash", F.xxhash64(common.text_column()))
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    stay = named.join(F.broadcast(names) if small else names, key, "left_semi")
+    repeated = rows.where("group is not null").groupBy("doc_id", "text_hash").count().where("count > 1")
+    if not repeated.limit(1).collect():
+        return stay.drop("_text_hash")
+    again = repeated.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    single = stay.join(again, key, "left_anti")
+    return single.unionByName(stay.join(again, key, "left_semi").dropDuplicates(["doc_id", "_text_hash"])).drop("_text_hash")
