@@ -173,7 +173,7 @@ def boundary(sizes: Sequence[tuple[int, int]], mean_list: float, percent: int =
     meet a large one, costs the lists of its rarest shingles.
     """
     best, at = None, 0
-    steps = [0, *sorted(n + 1 for n, _ in sizes)]
+    steps = [0, *sorted({m for n, _ in sizes for m in (n + 1, 100 * n // percent + 1)})]
     for x in steps:
         cost = 0.0
         for n, number in sizes:
