@@ -25,6 +25,7 @@ no rows; further columns are not carried.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import partial
 
@@ -45,8 +46,8 @@ MARGIN = 8
 RANGE_ROWS = 1_000_000
 #: Ids of sets left that may be broadcast to the texts; beyond, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
-#: Sets of one group that share a key, compared at once with those of another group.
-MEMBERS = 256
+#: Sets that share a key, looked at together with as many others.
+MEMBERS = 1024
 _NOWHERE = 0xFFFF
 
 
@@ -131,7 +132,7 @@ def _scan(batches, words: int, percent: int, ranges: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Of one range of hashes: first shingles per text that occur in other blocks too."""
+    """Of one range of hashes: the texts of each block whose first shingles occur in other blocks too, once per shingle."""
     values, places, blocks = [], [], []
     for block, packed in zip(table.column("block").to_pylist(), table.column("packed").to_pylist(), strict=True):
         k = len(packed) // 7
@@ -147,13 +148,20 @@ def _meet(table: pa.Table) -> pa.Table:
     met[order[1:][same]] = True
     met[order[:-1][same]] = True
     met &= place != _NOWHERE
-    order = np.lexsort((place[met], block[met]))
+    order = np.argsort(block[met], kind="stable")
     block, place = block[met][order], place[met][order]
-    new = np.concatenate([[True], (block[1:] != block[:-1]) | (place[1:] != place[:-1])]) if len(block) else np.empty(0, bool)
-    at = np.flatnonzero(new)
-    return pa.table(
-        {"block": pa.array(block[at]), "place": pa.array(place[at].astype(np.int32)), "more": pa.array(np.diff(np.append(at, len(block))).astype(np.int64))}
-    )
+    at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.empty(0, np.int64)
+    ends = np.append(at[1:], len(block))[: len(at)]
+    return pa.table({"block": pa.array(block[at]), "places": pa.array([place[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """First shingles met elsewhere per text of one block, over all ranges."""
+    places = np.concatenate([np.frombuffer(p, "<u2") for p in table.column("places").to_pylist()])
+    more = np.bincount(places)
+    some = np.flatnonzero(more)
+    block = table.column("block")[0].as_py()
+    return pa.table({"block": pa.array([block] * len(some), pa.int64()), "place": pa.array(some.astype(np.int32)), "more": pa.array(more[some].astype(np.int64))})
 
 
 def _sets(batches, words: int):
@@ -170,8 +178,10 @@ def boundary(sizes: Sequence[tuple[int, int]], mean_list: float, percent: int =
 
     ``sizes`` has sizes and their numbers of sets.  A small set costs its subsets,
     which are about as rare as the sets; a large one, and any small one that may
-    meet a large one, costs the lists of its rarest shingles.
+    meet a large one, costs the lists of its rarest shingles.  A list is joined by
+    its star first, so a set meets few of a long list: its length counts by its logarithm.
     """
+    entry = 1 + math.log2(max(mean_list, 1.0))
     best, at = None, 0
     steps = [0, *sorted({m for n, _ in sizes for m in (n + 1, 100 * n // percent + 1)})]
     for x in steps:
@@ -181,7 +191,7 @@ def boundary(sizes: Sequence[tuple[int, int]], mean_list: float, percent: int =
             if n < x:
                 cost += number * (rare + 1) * rare / 2
             if 100 * n >= percent * x:
-                cost += number * rare * mean_list
+                cost += number * rare * entry
         if best is None or cost < best:
             best, at = cost, x
     return at
@@ -203,8 +213,8 @@ def scan(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 def candidates(docs: DataFrame, scanned: DataFrame, words: int, percent: int) -> DataFrame:
     """Whole sets that may have a partner: class, n, shingles."""
     packed = scanned.where("packed is not null").select("block", "rng", "packed")
-    more = packed.groupBy("rng").applyInArrow(_meet, "block long, place int, more long")
-    more = more.groupBy("block", "place").agg(F.sum("more").alias("more"))
+    more = packed.groupBy("rng").applyInArrow(_meet, "block long, places binary")
+    more = more.groupBy("block").applyInArrow(_add_up, "block long, place int, more long")
     texts = scanned.where("place is not null").select("block", "place", "doc_id", "n", "class", "met")
     met = F.col("met") + F.coalesce(F.col("more"), F.lit(0))
     partner = F.ceil(F.col("n") * percent / 100)
@@ -219,7 +229,13 @@ def candidates(docs: DataFrame, scanned: DataFrame, words: int, percent: int) ->
 
 
 def keys(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Step 2: key, class, n.  Similar sets share a key."""
+    """Step 2: key, class, n, left.  Similar sets share a key.
+
+    ``left`` counts the set's shingles from the key's (first) one on, in the order
+    by rarity.  At the first key that two sets share, they have no more than the
+    smaller ``left`` in common; a pair that this rules out at some key either
+    passes at its first one or is not similar.
+    """
     each = sets.select("class", F.explode("shingles").alias("s"))
     often = each.groupBy("s").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     shared = each.join(often, "s").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("shared"))
@@ -227,15 +243,19 @@ def keys(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Shingles of one set only come first in the order and meet nothing; what is left of the rarest ones counts.
     rare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
     sets = sets.withColumn("rare", rare.cast("int")).where("rare > 0")
-    sets = common.written(sets.withColumn("shared", F.slice("shared", F.lit(1), F.col("rare") + 1)), "rare-shingles")
+    sets = sets.withColumn("meets", F.size("shared")).withColumn("shared", F.slice("shared", F.lit(1), F.col("rare") + 1))
+    sets = common.written(sets, "rare-shingles")
     sizes = [(r["n"], r["count"]) for r in sets.groupBy("n").count().collect()]  # a row per size
     mean = sets.agg(F.avg(F.aggregate("shared", F.lit(0.0), lambda a, x: a + x["f"]) / F.size("shared"))).first()[0] or 1.0
     large = boundary(sizes, mean, percent)
     names = F.transform("shared", lambda x: x["s"])
-    lists = sets.where(F.col("n") * 100 >= percent * large).select("class", "n", F.explode(F.slice(names, F.lit(1), F.col("rare"))).alias("key"))
-    pairs = F.flatten(F.transform(names, lambda x, i: F.transform(F.slice(names, i + 2, F.size(names)), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-    subsets = sets.where(F.col("n") < large).select("class", "n", F.explode(pairs).alias("key"))
-    return common.written(lists.unionByName(subsets).select("key", "class", "n"), "keys")
+    single = F.transform(F.slice(names, F.lit(1), F.col("rare")), lambda x, i: F.struct(x.alias("key"), (F.col("meets") - i).alias("left")))
+    rest = lambda i: F.slice(names, i + 2, F.size(names))
+    pair = lambda x, y, i: F.struct(F.xxhash64(F.least(x, y), F.greatest(x, y)).alias("key"), (F.col("meets") - i).alias("left"))
+    double = F.flatten(F.transform(names, lambda x, i: F.transform(rest(i), lambda y: pair(x, y, i))))
+    lists = sets.where(F.col("n") * 100 >= percent * large).select("class", "n", F.explode(single).alias("k"))
+    subsets = sets.where(F.col("n") < large).select("class", "n", F.explode(double).alias("k"))
+    return common.written(lists.unionByName(subsets).select("k.key", "class", "n", "k.left"), "keys")
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -247,15 +267,34 @@ def links(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFram
     return found.where(F.col("both") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
-def _alike(n, m, percent):
-    return (n * 100 >= percent * m) & (m * 100 >= percent * n)
+def _may_link(n, left, m, left2, least, percent):
+    """Whether sets of n and m shingles, with what is left of both at a shared key, may be similar."""
+    sized = (n * 100 >= percent * m) & (m * 100 >= percent * n)
+    return sized & (percent * (n + m) <= (100 + percent) * least(left, left2))
+
+
+def _across(batches, percent: int):
+    """Pairs of sets of different groups that share a key and may be similar."""
+    for batch in batches:
+        a, b = [], []
+        for row in zip(*[batch.column(c) for c in ("part", "part2", "m", "m2")], strict=True):
+            x, y = ({k: row[i].values.field(k).to_numpy() for k in ("class", "n", "left", "root")} for i in (2, 3))
+            may = _may_link(x["n"][:, None], x["left"][:, None], y["n"], y["left"], np.minimum, percent) & (x["root"][:, None] != y["root"])
+            if row[0].as_py() == row[1].as_py():
+                may &= x["class"][:, None] < y["class"]
+            i, j = np.nonzero(may)
+            a.append(x["class"][i])
+            b.append(y["class"][j])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
 def groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Steps 2 to 4: class, root (the smallest class of its group) of all sets with a partner."""
     keyed = keys(sets, percent)
-    low = keyed.groupBy("key").agg(F.min(F.struct("class", "n")).alias("low"))
-    star = keyed.join(low, "key").where(F.col("low.class") < F.col("class")).where(_alike(F.col("n"), F.col("low.n"), percent))
+    low = keyed.groupBy("key").agg(F.min(F.struct("class", "n", "left")).alias("low"))
+    may = _may_link(F.col("n"), F.col("left"), F.col("low.n"), F.col("low.left"), F.least, percent)
+    star = keyed.join(low, "key").where(F.col("low.class") < F.col("class")).where(may)
     star = star.groupBy(F.col("class").alias("a"), F.col("low.class").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     best = star.groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     near = common.written(links(best, sets, percent), "star-links")
@@ -263,15 +302,16 @@ def groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     named = keyed.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = common.written(named, "named-keys")
+    # Only keys whose sets are in more than one group can still link anything.
     mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     named = named.join(mixed, "key")
-    full = named.groupBy("key", "root").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
-    part = F.pmod(F.xxhash64("class"), F.col("parts"))
-    cells = named.join(full, ["key", "root"]).groupBy("key", "root", part.alias("part")).agg(F.collect_list(F.struct("class", "n")).alias("m"))
-    cells = common.written(cells.select("key", "root", "m"), "key-groups")
-    other = cells.select("key", F.col("root").alias("root2"), F.col("m").alias("m2"))
-    met = cells.join(other, "key").where("root < root2").select(F.explode("m").alias("x"), "m2").select("x", F.explode("m2").alias("y"))
-    met = met.where(_alike(F.col("x.n"), F.col("y.n"), percent)).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    full = named.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
+    part = F.pmod(F.xxhash64("class"), F.col("parts")).alias("part")
+    cells = named.join(full, "key").groupBy("key", part).agg(F.collect_list(F.struct("class", "n", "left", "root")).alias("m"))
+    cells = common.written(cells, "key-groups")
+    other = cells.select("key", F.col("part").alias("part2"), F.col("m").alias("m2"))
+    met = cells.join(other, "key").where("part <= part2").select("part", "part2", "m", "m2")
+    met = common.map_arrow(met, partial(_across, percent=percent), "a long, b long").distinct()
     across = links(met, sets, percent)
     every = near.unionByName(across)
     return graph.components(every).withColumnRenamed("vertex", "class")
