@@ -158,6 +158,32 @@ def md_03(spark, sf_dir):
     return c.join(aic, "pv").drop("pv")
 
 
+@query(
+    "md_02_year_and_square",
+    "WITH d AS (SELECT year(o_orderdate)::DOUBLE AS yr, o_totalprice::DOUBLE AS y FROM orders), "
+    "m AS (SELECT avg(yr) AS a, avg(y) AS ay, avg(power(yr - (SELECT avg(yr) FROM d), 2)) AS aw FROM d), "
+    "s AS (SELECT a, ay, aw, count(*)::DOUBLE AS n, sum((yr-a)*(yr-a)) AS s11, sum((yr-a)*(power(yr-a, 2)-aw)) AS s12, "
+    "sum(power(power(yr-a, 2)-aw, 2)) AS s22, sum((yr-a)*(y-ay)) AS t1, sum((power(yr-a, 2)-aw)*(y-ay)) AS t2, "
+    "sum((y-ay)*(y-ay)) AS tss FROM d, m GROUP BY ALL), "
+    "e AS (SELECT *, s11*s22-s12*s12 AS det, (t1*s22-t2*s12)/(s11*s22-s12*s12) AS b1, (t2*s11-t1*s12)/(s11*s22-s12*s12) AS b2 FROM s), "
+    "f AS (SELECT *, (tss-b1*t1-b2*t2)/(n-3) AS s2 FROM e) "
+    "SELECT round(b2, 1) AS square, round(sqrt(s2*s11/det), 1) AS square_se, round(b1-2*b2*a, -3) AS year, "
+    "round((tss-(n-3)*s2)/tss, 8) AS r2, 0 AS left_out FROM f",
+)
+def md_02_year(spark, sf_dir):
+    """A column and its square, far from zero: solvable only around the means."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    yr = F.year("o_orderdate").cast("double")
+    rows = orders.select(yr.alias("yr"), (yr * yr).alias("yr2"), F.col("o_totalprice").cast("double").alias("y"))
+    coef, fits = ols_tables(rows, Design("y", None, continuous=("yr", "yr2")), [ModelSpec("trend", ("yr", "yr2"))])
+    of = lambda c, t: F.max(F.when(F.col("term") == t, F.col(c)))
+    wide = coef.groupBy("spec").agg(of("est", "yr2").alias("b"), of("se", "yr2").alias("s"), of("est", "yr").alias("y"))
+    return wide.join(fits, "spec").select(
+        F.round("b", 1).alias("square"), F.round("s", 1).alias("square_se"), F.round("y", -3).alias("year"),
+        F.round("r2", 8).alias("r2"), "left_out",
+    )
+
+
 @query("md_03_confidence_interval")
 def md_03_interval(spark, sf_dir):
     coef, _, _ = st.earnings_equations(b.study(spark, sf_dir))

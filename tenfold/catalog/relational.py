@@ -30,14 +30,16 @@ FILE_SQL = (
 
 
 def _write_waves(spark, sf_dir):
-    """The respondents as one CSV folder per region, columns in a different order in each."""
-    resp = b.respondents(spark, sf_dir).select("region", *FILE_COLUMNS)
-    root = scratch_path(spark, "waves")
+    """The respondents as five CSV folders, columns in a different order in each; every row is in one of them."""
+    held = scratch_path(spark, "waves-rows")
+    wave = F.coalesce(F.pmod("resp_id", F.lit(5)), F.lit(0)).alias("wave")
+    b.respondents(spark, sf_dir).select(wave, *FILE_COLUMNS).write.partitionBy("wave").parquet(held)  # the survey is derived once
+    resp, root = spark.read.parquet(held), scratch_path(spark, "waves")
     paths = []
     for r in range(5):
         order = FILE_COLUMNS[r:] + FILE_COLUMNS[:r]
         paths.append(f"{root}/wave{r}")
-        files.export_csv(resp.where(F.col("region") == r).select(*order), paths[-1], blank=False)
+        files.export_csv(resp.where(F.col("wave") == r).select(*order), paths[-1], blank=False)
     return paths
 
 
@@ -425,7 +427,7 @@ def set_01(spark, sf_dir):
     resp = b.respondents(spark, sf_dir)
     parts = []
     for r in range(5):
-        part = resp.where(F.col("region") == r)
+        part = resp.where(F.coalesce(F.pmod("resp_id", F.lit(5)), F.lit(0)) == r)
         parts.append(part.select("resp_id", "GENDER_R", "region") if r % 2 else part.select("region", "GENDER_R", "resp_id"))
     return reduce(lambda x, y: x.unionByName(y), parts).select("resp_id", "GENDER_R", "region")
 

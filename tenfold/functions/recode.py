@@ -80,24 +80,22 @@ def significance(p: Column) -> Column:
 
 
 def factor_levels(
-    df: DataFrame, columns: Sequence[str], reference: Mapping[str, str] | None = None, max_levels: int = 1000
+    df: DataFrame, columns: Sequence[str], reference: Mapping[str, str] | None = None
 ) -> dict[str, list[str]]:
     """Sorted distinct values per column, the reference level moved to the front.
 
     One job for all columns: values are made distinct map-side, and only the
-    levels themselves reach the driver. More than ``max_levels`` is an error.
+    levels themselves reach the driver.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("level")) for c in columns]))
     found = (
         df.select(pairs.alias("p")).select("p.name", "p.level").where(F.col("level").isNotNull()).distinct()
     )
-    rows = found.limit(max_levels * len(columns) + 1).collect()
+    rows = found.collect()
     out: dict[str, list[str]] = {c: [] for c in columns}
     for r in rows:
         out[r["name"]].append(r["level"])
-    for c, levels in out.items():
-        if len(levels) > max_levels:
-            raise ValueError(f"{c} has more than {max_levels} levels; it is not a category")
+    for levels in out.values():
         levels.sort()
     for c, ref in (reference or {}).items():
         out[c] = relevel(out[c], ref)

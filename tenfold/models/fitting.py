@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenfold.models import lmm
-from tenfold.models.moments import grams, stacked_grams
+from tenfold.models.moments import GRAM_SCHEMA, centres, from_centred, grams, stacked_grams
 from tenfold.models.spec import Design, ModelSpec
 from tenfold.session import scratch_path
 
+#: Groups of one draw that one task solves; beyond, the sums stay distributed.
 GROUPS_PER_TASK = 20_000
 RESULT_SCHEMA = (
     "spec string, pv int, part string, grp string, term string, term2 string, "
@@ -28,7 +29,7 @@ class Results:
 
     fixed: DataFrame  # spec, pv, term, est, se, df
     random: DataFrame  # spec, pv, grp, term, term2, vcov, sdcor
-    fits: DataFrame  # spec, pv, n, groups, deviance, loglik, npar, aic, sigma, converged, singular
+    fits: DataFrame  # spec, pv, n, groups, deviance, loglik, npar, aic, sigma, iterations, left_out, converged, singular
     modes: DataFrame  # spec, pv, grp, term, condval, condsd
     tests: DataFrame  # spec, pv, term, npar, loglik, aic, lrt, df, p
 
@@ -42,7 +43,7 @@ def split_results(table: DataFrame) -> Results:
     fits = part("fit").groupBy("spec", "pv").agg(
         *[
             F.max(F.when(c("term") == m, c("value"))).alias(m)
-            for m in ("n", "groups", "deviance", "loglik", "npar", "aic", "sigma", "iterations")
+            for m in ("n", "groups", "deviance", "loglik", "npar", "aic", "sigma", "iterations", "left_out")
         ],
         *[(F.max(F.when(c("term") == m, c("value"))) == 1).alias(m) for m in ("converged", "singular")],
     )
@@ -102,66 +103,72 @@ def _summary_rows(design, spec, pv, f: lmm.Fit, df, xcols, zcols, n, groups) ->
         {
             "n": n, "groups": groups, "deviance": f.deviance, "loglik": -f.deviance / 2, "npar": f.npar,
             "aic": f.deviance + 2 * f.npar, "sigma": np.sqrt(f.sigma2), "iterations": f.iterations,
-            "converged": f.converged, "singular": f.singular,
+            "converged": f.converged, "singular": f.singular, "left_out": len(spec.fixed_columns(design)) - len(xcols),
         },
     )
 
 
-def linear_rows(pdf: pd.DataFrame, design: Design, spec: ModelSpec, tests: bool, modes: bool) -> list[tuple]:
+def linear_rows(pdf: pd.DataFrame, design: Design, spec: ModelSpec, tests: bool, modes: bool, shift: dict[str, float]) -> list[tuple]:
     name, pv = spec.name, int(pdf["pv"].iloc[0])
     groups, blocks, xcols, zcols = model_blocks(pdf, design, spec)
     f = lmm.fit(blocks)
-    df = lmm.satterthwaite(lambda lam, sigma: lmm.evaluate(blocks, lam, sigma), f, blocks.n)
-    rows = _summary_rows(design, spec, pv, f, df, xcols, zcols, blocks.n, len(groups))
+    back = from_centred(xcols, shift)
+    df = lmm.satterthwaite(lambda lam, sigma: lmm.evaluate(blocks, lam, sigma), f, blocks.n, back)
+    shown = lmm.moved(f, back, from_centred(zcols, shift), shift["y"])
+    rows = _summary_rows(design, spec, pv, shown, df, xcols, zcols, blocks.n, len(groups))
     if modes:
-        val, sd = lmm.conditional_modes(f.lam, f.state, f.sigma2)
+        val, sd = lmm.conditional_modes(shown.lam, f.state, f.sigma2)
         rows += [
             _row(name, pv, "mode", grp=g, term=z, value=val[j, i], spread=sd[j, i])
             for j, g in enumerate(groups)
             for i, z in enumerate(zcols)
         ]
     if tests:
-        for t, npar, ll, aic, lrt, d, p in lmm.deletions(blocks, f, _slope_positions(design, spec, zcols)):
+        for t, npar, ll, aic, lrt, d, p in lmm.deletions(lambda keep: lmm.fit(blocks.slopes_kept(keep)), f, _slope_positions(design, spec, zcols)):
             rows.append(_row(name, pv, "test", term=t, npar=npar, loglik=ll, aic=aic, value=lrt, df=d, p=p))
     return rows
 
 
 def fit_linear(
-    df: DataFrame, design: Design, specs: list[ModelSpec], tests: bool = False, modes: bool = False, many_groups: bool = False
+    df: DataFrame, design: Design, specs: list[ModelSpec], tests: bool = False, modes: bool = False, many_groups: bool | None = None
 ) -> Results:
-    """Linear mixed models of every spec and draw from one pass over the rows.
+    """Linear mixed models of every spec and draw: one pass for the means, one for the sums around them.
 
-    The Gram rows (groups x draws) are dealt out by model and draw, so each
-    fit is a task of its own.  Results go to a table in the shared folder and
-    are read back, so that no fit is repeated.  With ``many_groups`` no task
-    sees all groups: see :func:`fit_over_groups`.
+    The Gram rows (groups x draws) are written once.  While the groups of a draw
+    fit a task they are dealt out by model and draw, so each fit is a task of its
+    own; with more groups no task sees them all, see :func:`fit_over_groups`.
+    Both give the same results; ``many_groups`` forces one way, for tests.
     """
     spark = df.sparkSession
     by_name = {s.name: s for s in specs}
-    path = scratch_path(spark, "fits")
+    path, held = scratch_path(spark, "fits"), scratch_path(spark, "grams")
+    shift = centres(df, design)
+    grams(df, design, shift).write.partitionBy("pv").parquet(held)
+    table = spark.read.schema(GRAM_SCHEMA).parquet(held)
+    if many_groups is None:
+        widest = table.groupBy("pv").count().agg(F.max("count")).first()[0] or 0
+        many_groups = widest > GROUPS_PER_TASK
     if many_groups:
-        held = scratch_path(spark, "grams")
-        grams(df, design).write.partitionBy("pv").parquet(held)
-        table = spark.read.parquet(held)
         for s in specs:
             for pv in range(1, len(design.pv) + 1) if design.pv else [0]:
-                fit_over_groups(table.where(F.col("pv") == pv), design, s, pv, modes).write.mode("append").parquet(path)
+                part = fit_over_groups(table.where(F.col("pv") == pv), design, s, pv, shift, tests, modes)
+                part.write.mode("append").parquet(path)
         return split_results(spark.read.parquet(path))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > GROUPS_PER_TASK:
-            raise ValueError(f"more than {GROUPS_PER_TASK} groups; fit with many_groups=True")
-        return result_frame(linear_rows(pdf, design, by_name[pdf["spec"].iloc[0]], tests, modes))
+        return result_frame(linear_rows(pdf, design, by_name[pdf["spec"].iloc[0]], tests, modes, shift))
 
-    dealt = grams(df, design).withColumn("spec", F.explode(F.array(*[F.lit(s.name) for s in specs])))
+    dealt = table.withColumn("spec", F.explode(F.array(*[F.lit(s.name) for s in specs])))
     fits = max(1, len(specs) * max(1, len(design.pv)))
     # An explicit count keeps adaptive execution from merging the small partitions into one task.
-    table = dealt.repartition(min(fits, 64), "spec", "pv").groupBy("spec", "pv").applyInPandas(solve, RESULT_SCHEMA)
-    table.write.parquet(path)
+    results = dealt.repartition(fits, "spec", "pv").groupBy("spec", "pv").applyInPandas(solve, RESULT_SCHEMA)
+    results.write.parquet(path)
     return split_results(spark.read.parquet(path))
 
 
-def fit_over_groups(table: DataFrame, design: Design, spec: ModelSpec, pv: int, modes: bool = False) -> DataFrame:
+def fit_over_groups(
+    table: DataFrame, design: Design, spec: ModelSpec, pv: int, shift: dict[str, float], tests: bool = False, modes: bool = False
+) -> DataFrame:
     """One model and draw with any number of groups.
 
     The written Gram rows stay distributed; each evaluation sums over groups in
@@ -193,32 +200,45 @@ def fit_over_groups(table: DataFrame, design: Design, spec: ModelSpec, pv: int,
     n, groups, gram = sums[0], int(sums[1]), sums[2:].reshape(k, k)
     xi = [names.index(c) for c in spec.fixed_columns(design)]
     xi = [xi[i] for i in lmm.independent_columns(gram[np.ix_(xi, xi)])]
-    xcols, zi, p, q = [names[i] for i in xi], [names.index(c) for c in zcols], len(xi), len(zcols)
+    xcols, zi, p = [names[i] for i in xi], [names.index(c) for c in zcols], len(xi)
 
-    def parts(full):
+    def parts(full, zi):
         return full[:, zi][:, :, zi], full[:, zi][:, :, xi], full[:, zi, y]
 
-    def evaluator(lam, sigma=None):
-        def terms(_, full, __):
-            logdet, xx, xy, yy = lmm.group_terms(*parts(full), lam)
-            return np.r_[logdet, xx.ravel(), xy, yy]
+    def over(zi):
+        """The evaluator of the model with these random columns."""
+        q = len(zi)
 
-        t = total(terms, 2 + p * p + p)
+        def evaluator(lam, sigma=None):
+            def terms(_, full, __):
+                logdet, xx, xy, yy = lmm.group_terms(*parts(full, zi), lam)
+                return np.r_[logdet, xx.ravel(), xy, yy]
 
-        def gradient(beta):
-            def sums_at(_, full, __):
-                _, _, det, fit = lmm.group_gradient(*parts(full), lam, beta)
-                return np.r_[det.ravel(), fit.ravel()]
+            t = total(terms, 2 + p * p + p)
 
-            g = total(sums_at, 2 * q * q)
-            return None, None, g[: q * q].reshape(q, q), g[q * q :].reshape(q, q)
+            def gradient(beta):
+                def sums_at(_, full, __):
+                    _, _, det, fit = lmm.group_gradient(*parts(full, zi), lam, beta)
+                    return np.r_[det.ravel(), fit.ravel()]
 
-        reduced = (t[0], t[1 : 1 + p * p].reshape(p, p), t[1 + p * p : -1], t[-1])
-        return lmm.assemble(n, gram[np.ix_(xi, xi)], gram[xi, y], gram[y, y], reduced, gradient, lam, sigma)
+                g = total(sums_at, 2 * q * q)
+                return None, None, g[: q * q].reshape(q, q), g[q * q :].reshape(q, q)
 
-    f = lmm.fit_by(evaluator, q, p, n)
-    df = lmm.satterthwaite(evaluator, f, n)
-    out = spark.createDataFrame(result_frame(_summary_rows(design, spec, pv, f, df, xcols, zcols, n, groups)), RESULT_SCHEMA)
+            reduced = (t[0], t[1 : 1 + p * p].reshape(p, p), t[1 + p * p : -1], t[-1])
+            return lmm.assemble(n, gram[np.ix_(xi, xi)], gram[xi, y], gram[y, y], reduced, gradient, lam, sigma)
+
+        return evaluator
+
+    f = lmm.fit_by(over(zi), len(zi), p, n)
+    back = from_centred(xcols, shift)
+    df = lmm.satterthwaite(over(zi), f, n, back)
+    shown = lmm.moved(f, back, from_centred(zcols, shift), shift["y"])
+    rows = _summary_rows(design, spec, pv, shown, df, xcols, zcols, n, groups)
+    if tests:
+        smaller = lambda keep: lmm.fit_by(over([zi[i] for i in keep]), len(keep), p, n)
+        for t, npar, ll, aic, lrt, d, pr in lmm.deletions(smaller, f, _slope_positions(design, spec, zcols)):
+            rows.append(_row(spec.name, pv, "test", term=t, npar=npar, loglik=ll, aic=aic, value=lrt, df=d, p=pr))
+    out = spark.createDataFrame(result_frame(rows), RESULT_SCHEMA)
     if not modes:
         return out
 
@@ -226,9 +246,9 @@ def fit_over_groups(table: DataFrame, design: Design, spec: ModelSpec, pv: int,
         for pdf in batches:
             labels, _, full, _ = stacked_grams(pdf, design, levels)
             if len(full):
-                u, m_inv, _, _ = lmm.group_gradient(*parts(full), f.lam, f.beta)
-                value = u @ f.lam.T
-                sd = np.sqrt(np.maximum(np.einsum("jqq->jq", f.sigma2 * f.lam @ m_inv @ f.lam.T), 0))
+                u, m_inv, _, _ = lmm.group_gradient(*parts(full, zi), f.lam, f.beta)
+                value = u @ shown.lam.T
+                sd = np.sqrt(np.maximum(np.einsum("jqq->jq", f.sigma2 * shown.lam @ m_inv @ shown.lam.T), 0))
                 yield result_frame(
                     [_row(spec.name, pv, "mode", grp=g, term=z, value=value[j, i], spread=sd[j, i]) for j, g in enumerate(labels) for i, z in enumerate(zcols)]
                 )

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tenfold.models import lmm
 from tenfold.models.fitting import RESULT_SCHEMA, Results, _row, fit_rows, result_frame, split_results
-from tenfold.models.moments import design_rows
+from tenfold.models.moments import centres, design_rows, from_centred
 from tenfold.models.spec import PV, Design, ModelSpec
 from tenfold.operators.joins import lookup_join
 from tenfold.session import local_table, scratch_path, ship_package
@@ -38,7 +38,7 @@ MAX_PASSES = 60
 # ------------------------------------------------------------ rows on Spark
 
 
-def coded_rows(df: DataFrame, design: Design) -> tuple[DataFrame, list[str], np.ndarray]:
+def coded_rows(df: DataFrame, design: Design, shift: dict[str, float]) -> tuple[DataFrame, list[str], np.ndarray]:
     """A compact table of complete cases, written to the shared folder.
 
     Returns the table (group index, response, level codes, numbers, draws),
@@ -60,6 +60,7 @@ def coded_rows(df: DataFrame, design: Design) -> tuple[DataFrame, list[str], np.
     level = np.array(
         [[np.nan if r[f"lo{j}"] is None else r[f"lo{j}"] for j in range(len(design.group_level))] for r in found], dtype=float
     ).reshape(len(groups), len(design.group_level))
+    level = level - np.array([shift[c] for c in design.group_level])
     index = local_table(spark, list(zip(groups, range(len(groups)))), "__key string, __g int")
     joined = lookup_join(rows.withColumn("__grp", F.col(design.group).cast("string")), index, "__grp", "__key", how="inner", max_rows=MAX_GROUPS)
 
@@ -67,14 +68,14 @@ def coded_rows(df: DataFrame, design: Design) -> tuple[DataFrame, list[str], np.
         out = F.lit(0)
         for i, lv in enumerate(levels[1:], start=1):
             out = F.when(F.col(c) == lv, F.lit(i)).otherwise(out)
-        return out.cast("tinyint")
+        return out.cast("int")
 
     table = joined.select(
         F.col("__g").alias("g"),
         F.col(design.response).cast("double").alias("y"),
         *[code(c, lv).alias(f"k{j}") for j, (c, lv) in enumerate(design.categories.items())],
-        *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate([*design.discrete, *design.continuous])],
-        *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(design.pv)],
+        *[(F.col(c).cast("double") - F.lit(shift[c])).alias(f"x{j}") for j, c in enumerate([*design.discrete, *design.continuous])],
+        *[(F.col(c).cast("double") - F.lit(shift[PV])).alias(f"p{i}") for i, c in enumerate(design.pv)],
     )
     # Few groups per task keep the partial sums of every later pass few; the
     # second key lets a hot group spread over many tasks.
@@ -188,7 +189,8 @@ def advance(table: DataFrame, design: Design, running: dict[int, LogisticFit]) -
 class LogisticFit:
     """State of one model and draw between passes."""
 
-    def __init__(self, fit_id: int, spec: ModelSpec, pv: int, design: Design, level: np.ndarray):
+    def __init__(self, fit_id: int, spec: ModelSpec, pv: int, design: Design, level: np.ndarray, shift: dict[str, float]):
+        self.shift = shift
         self.id, self.spec, self.pv, self.design = fit_id, spec, pv, design
         self.base = [*design.row_columns(), PV]
         self.names = [*self.base, *design.group_level]
@@ -337,9 +339,10 @@ class LogisticFit:
 
     def rows(self, groups: list[str], n: float, modes: bool) -> list[tuple]:
         name, pv = self.spec.name, self.pv
-        se = np.sqrt(np.maximum(np.diag(np.linalg.inv(self.h)), 0))
-        out = [_row(name, pv, "fixed", term=t, value=b, spread=s) for t, b, s in zip(self.xcols, self.beta, se)]
-        for grp, a, c, v, s in lmm.variance_rows(self.lam, self.zcols, self.design.group, 1.0, residual=False):
+        back, turn = from_centred(self.xcols, self.shift), from_centred(self.zcols, self.shift)
+        se = np.sqrt(np.maximum(np.diag(back @ np.linalg.inv(self.h) @ back.T), 0))
+        out = [_row(name, pv, "fixed", term=t, value=b, spread=s) for t, b, s in zip(self.xcols, back @ self.beta, se)]
+        for grp, a, c, v, s in lmm.variance_rows(turn @ self.lam, self.zcols, self.design.group, 1.0, residual=False):
             out.append(_row(name, pv, "random", grp=grp, term=a, term2=c, value=v, spread=s))
         npar = len(self.beta) + len(self.theta)
         singular = np.linalg.svd(self.lam, compute_uv=False).min() < 1e-4
@@ -348,12 +351,13 @@ class LogisticFit:
             {
                 "n": n, "groups": int(self.seen.sum()), "deviance": self.deviance, "loglik": -self.deviance / 2, "npar": npar,
                 "aic": self.deviance + 2 * npar, "sigma": 1.0, "iterations": self.passes, "converged": self.converged,
-                "singular": singular,
+                "singular": singular, "left_out": len(self.spec.fixed_columns(self.design)) - len(self.xcols),
             },
         )
         if modes:
-            b = self.state_u @ self.lam_raw.T
-            cov = self.lam_raw @ self.m_now @ self.lam_raw.T
+            lam = turn @ self.lam_raw
+            b = self.state_u @ lam.T
+            cov = lam @ self.m_now @ lam.T
             sd = np.sqrt(np.maximum(np.einsum("jqq->jq", cov), 0))
             out += [
                 _row(name, pv, "mode", grp=groups[g], term=z, value=b[j, i], spread=sd[j, i])
@@ -367,9 +371,10 @@ def fit_logistic(df: DataFrame, design: Design, specs: list[ModelSpec], modes: b
     """Logistic mixed models of every spec and draw, all advanced by the same passes."""
     spark = df.sparkSession
     ship_package(spark)
-    table, groups, level = coded_rows(df, design)
+    shift = centres(df, design)
+    table, groups, level = coded_rows(df, design, shift)
     draws = draws or list(range(1, len(design.pv) + 1))
-    fits = [LogisticFit(i, s, pv, design, level) for i, (s, pv) in enumerate((s, pv) for s in specs for pv in draws)]
+    fits = [LogisticFit(i, s, pv, design, level, shift) for i, (s, pv) in enumerate((s, pv) for s in specs for pv in draws)]
     present = table.groupBy("g").agg(*[F.count(f"p{pv - 1}").alias(f"n{pv}") for pv in draws]).toPandas().set_index("g")
     width = len(fits[0].pairs) + 2 * len(fits[0].base) + 1
     wave = max(1, SUMS_PER_PASS // (len(groups) * width))

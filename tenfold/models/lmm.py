@@ -204,8 +204,21 @@ def fit_by(evaluator, q: int, p: int, n: float, start: np.ndarray | None = None)
     return Fit(lam, s.beta, se, sigma2, s.deviance, p + q * (q + 1) // 2 + 1, ok, small, its, s)
 
 
-def satterthwaite(evaluator, f: Fit, n: float) -> np.ndarray:
-    """Approximate degrees of freedom of each fixed effect (NaN where undefined)."""
+def moved(f: Fit, fixed: np.ndarray, random: np.ndarray, lift: float) -> Fit:
+    """The fit in other columns: ``fixed`` and ``random`` turn its coefficients into theirs; ``lift`` is added to the first."""
+    beta = fixed @ f.beta
+    beta[0] += lift
+    se = np.sqrt(np.maximum(np.diag(fixed @ np.linalg.inv(f.state.h) @ fixed.T) * f.sigma2, 0))
+    return replace(f, beta=beta, se=se, lam=random @ f.lam)
+
+
+def satterthwaite(evaluator, f: Fit, n: float, back: np.ndarray | None = None) -> np.ndarray:
+    """Approximate degrees of freedom of each fixed effect (NaN where undefined); ``back`` turns them into other columns."""
+    back = np.eye(len(f.beta)) if back is None else back
+
+    def variances(h, sigma2):
+        return np.diag(back @ np.linalg.inv(h) @ back.T) * sigma2
+
     q = f.lam.shape[0]
     ix = np.tril_indices(q)
     point = np.append(f.lam[ix], math.sqrt(f.sigma2))
@@ -213,7 +226,7 @@ def satterthwaite(evaluator, f: Fit, n: float) -> np.ndarray:
     def at(v):
         s = evaluator(lower(v[:-1], q), v[-1])
         grad = np.append(s.gradient, 2 * n / v[-1] - 2 * s.r2 / v[-1] ** 3)
-        return grad, np.diag(np.linalg.inv(s.h)) * v[-1] ** 2
+        return grad, variances(s.h, v[-1] ** 2)
 
     k = len(point)
     hess, jac = np.zeros((k, k)), np.zeros((k, len(f.beta)))
@@ -228,7 +241,7 @@ def satterthwaite(evaluator, f: Fit, n: float) -> np.ndarray:
     cov = 2.0 * (v[:, good] / w[good]) @ v[:, good].T
     spread = np.einsum("kp,kl,lp->p", jac, cov, jac)
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(spread > 0, 2.0 * (f.se**2) ** 2 / spread, np.nan)
+        return np.where(spread > 0, 2.0 * variances(f.state.h, f.sigma2) ** 2 / spread, np.nan)
 
 
 def variance_rows(lam: np.ndarray, names: list[str], group: str, sigma2: float, residual: bool = True) -> list[tuple]:
@@ -252,12 +265,15 @@ def conditional_modes(lam: np.ndarray, state: State, scale: float) -> tuple[np.n
     return b, np.sqrt(np.maximum(np.einsum("jqq->jq", cov), 0))
 
 
-def deletions(blocks: Blocks, f: Fit, terms: dict[str, list[int]]) -> list[tuple]:
-    """Likelihood-ratio tests of single random terms: (term, npar, logLik, AIC, LRT, df, p)."""
+def deletions(smaller, f: Fit, terms: dict[str, list[int]]) -> list[tuple]:
+    """Likelihood-ratio tests of single random terms: (term, npar, logLik, AIC, LRT, df, p).
+
+    ``smaller`` fits the model with the random columns at the given places only.
+    """
     out = [("<none>", f.npar, -f.deviance / 2, f.deviance + 2 * f.npar, None, None, None)]
     for term, drop in terms.items():
         keep = [i for i in range(f.lam.shape[0]) if i not in drop]
-        g = fit(blocks.slopes_kept(keep))
+        g = smaller(keep)
         lrt, df = max(0.0, g.deviance - f.deviance), f.npar - g.npar
         out.append((term, g.npar, -g.deviance / 2, g.deviance + 2 * g.npar, lrt, df, chi2_upper(lrt, df)))
     return out

@@ -10,7 +10,7 @@ nothing extra.  All plausible values ride along in the same pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -33,35 +33,68 @@ def gram_sums(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataF
 
 
 def design_rows(df: DataFrame, design: Design) -> DataFrame:
-    """Complete cases of everything but the plausible values and group-level columns."""
+    """Rows complete in everything but the plausible values and group-level columns, with listed levels only."""
     needed = [design.response, *design.categories, *design.discrete, *design.continuous]
     if design.group:
         needed.append(design.group)
-    return complete_cases(df, needed)
+    rows = complete_cases(df, needed)
+    for c, levels in design.categories.items():  # a value that is no level is a missing value
+        rows = rows.where(F.col(c).cast("string").isin(list(levels)))
+    return rows
 
 
-def cells(df: DataFrame, design: Design) -> DataFrame:
+def centres(df: DataFrame, design: Design) -> dict[str, float]:
+    """Means of the response (``y``) and of the number columns, by design column; all draws share one.
+
+    Sums of products are formed around them, so that columns which differ little
+    for their size (a year and its square) keep their digits.
+    """
+    numbers = {c: F.avg(F.col(c).cast("double")) for c in [*design.discrete, *design.continuous, *design.group_level]}
+    numbers["y"] = F.avg(F.col(design.response).cast("double"))
+    draws = [F.avg(F.col(p).cast("double")) for p in design.pv]
+    picked = [v.alias(f"m{i}") for i, v in enumerate([*numbers.values(), *draws])]
+    row = design_rows(df, design).agg(*picked).first()
+    found = [0.0 if v is None or not np.isfinite(v) else float(v) for v in row]
+    out = dict(zip(numbers, found))
+    if draws:
+        out[PV] = float(np.mean(found[len(numbers) :]))
+    return out
+
+
+def from_centred(columns: Sequence[str], shift: Mapping[str, float]) -> np.ndarray:
+    """Coefficients of the columns as they are, from those of the columns around ``shift``."""
+    out = np.eye(len(columns))
+    if INTERCEPT in columns:
+        out[list(columns).index(INTERCEPT)] -= [shift.get(c, 0.0) for c in columns]
+    return out
+
+
+def cells(df: DataFrame, design: Design, shift: Mapping[str, float] | None = None) -> DataFrame:
     """Counts, sums and cross-products per category cell, all draws in one pass.
 
     ``mask`` tells which draws are present in the rows of a cell, so sums that
     do not involve a draw are formed once and still only over its complete cases.
     """
-    rows = design_rows(df, design)
-    values = {"y": F.col(design.response).cast("double")}
-    values |= {f"c{j}": F.col(c).cast("double") for j, c in enumerate(design.continuous)}
+    rows, shift = design_rows(df, design), shift or {}
+
+    def number(column: str, name: str):
+        return F.col(column).cast("double") - F.lit(shift.get(name, 0.0))
+
+    values = {"y": number(design.response, "y")}
+    values |= {f"c{j}": number(c, c) for j, c in enumerate(design.continuous)}
     mask = F.lit(0).cast("bigint")
     for i, p in enumerate(design.pv):
         mask = mask + F.when(F.col(p).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
     keys = [F.col(c).cast("string").alias(f"k{j}") for j, c in enumerate(design.categories)]
-    keys += [F.col(c).cast("double").alias(f"d{j}") for j, c in enumerate(design.discrete)]
+    keys += [number(c, c).alias(f"d{j}") for j, c in enumerate(design.discrete)]
     group = F.col(design.group).cast("string") if design.group else F.lit("all")
     picked = rows.select(
         group.alias("grp"),
         *keys,
         mask.alias("mask"),
         *[v.alias(n) for n, v in values.items()],
-        *[F.col(p).cast("double").alias(f"p{i}") for i, p in enumerate(design.pv)],
-        *[F.col(c).cast("double").alias(f"g{j}") for j, c in enumerate(design.group_level)],
+        *[number(p, PV).alias(f"p{i}") for i, p in enumerate(design.pv)],
+        *[number(c, c).alias(f"g{j}") for j, c in enumerate(design.group_level)],
     )
     names = list(values)
     aggs = [F.count(F.lit(1)).cast("double").alias("n")]
@@ -134,14 +167,15 @@ def _cell_gram(pdf: pd.DataFrame, design: Design) -> np.ndarray:
 GRAM_SCHEMA = "pv int, grp string, n double, gram array<double>, level array<double>"
 
 
-def grams(df: DataFrame, design: Design) -> DataFrame:
+def grams(df: DataFrame, design: Design, shift: Mapping[str, float] | None = None) -> DataFrame:
     """Per draw and group: the flattened Gram matrix of ``[row columns, PV, response]``.
 
     Group-level values come as the separate array ``level``: they multiply
-    whole Gram rows later and never need to be summed over respondents.
+    whole Gram rows later and never need to be summed over respondents.  Number
+    columns and the response are taken around ``shift``.
     """
     ship_package(df.sparkSession)
-    draws = cell_draws(cells(df, design), design)
+    draws = cell_draws(cells(df, design, shift), design)
     levels = len(design.group_level)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

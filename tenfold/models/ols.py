@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 
 from tenfold.functions.tails import f_p, f_upper, t_quantile, t_two_sided
 from tenfold.models.lmm import independent_columns
-from tenfold.models.moments import grams, stacked_grams
-from tenfold.models.spec import Design, ModelSpec
+from tenfold.models.moments import centres, from_centred, grams, stacked_grams
+from tenfold.models.spec import INTERCEPT, Design, ModelSpec
 
 OLS_SCHEMA = "spec string, pv int, term string, est double, se double, t double, p double, low double, high double, exp_est double"
 OLS_FIT_SCHEMA = (
     "spec string, pv int, n double, rss double, df_model int, df_residual double, sigma double, r2 double, "
-    "adj_r2 double, f double, f_p double, aic double"
+    "adj_r2 double, f double, f_p double, aic double, left_out int"
 )
 
 
-def _solve(pdf: pd.DataFrame, design: Design, spec: ModelSpec):
+def _solve(pdf: pd.DataFrame, design: Design, spec: ModelSpec, shift: dict[str, float]):
     _, n, full, names = stacked_grams(pdf, design, spec.group_level(design))
     cols = spec.fixed_columns(design)
     at = [names.index(c) for c in cols]
@@ -31,25 +31,35 @@ def _solve(pdf: pd.DataFrame, design: Design, spec: ModelSpec):
     xx, xy, yy, rows = total[np.ix_(at, at)], total[at, y], total[y, y], float(n.sum())
     scale = np.sqrt(np.diag(xx))
     inv = np.linalg.inv(xx / np.outer(scale, scale)) / np.outer(scale, scale)
-    beta = inv @ xy
-    rss = float(yy - beta @ xy)
+    # By the triangular factor: the residual sum is what is left of y'y, not a difference of large products.
+    factor = np.linalg.cholesky(xx / np.outer(scale, scale))
+    along = np.linalg.solve(factor, xy / scale)
+    beta = np.linalg.solve(factor.T, along) / scale
+    rss = max(0.0, float(yy - along @ along))
+    back = from_centred(cols, shift)
+    beta, inv = back @ beta, back @ inv @ back.T
+    beta[cols.index(INTERCEPT)] += shift["y"]
     return cols, beta, inv, rss, float(yy - total[0, y] ** 2 / rows), rows
 
 
 def ols_tables(df: DataFrame, design: Design, specs: list[ModelSpec]) -> tuple[DataFrame, DataFrame]:
-    """Coefficient table and fit table of each model and draw, from one pass over the rows."""
+    """Coefficient table and fit table of each model and draw: one pass for the means, one for the sums around them.
+
+    A column that depends on earlier ones is left out; ``left_out`` of the fit table counts them.
+    """
     by_name = {s.name: s for s in specs}
-    g = grams(df, design).withColumn("spec", F.explode(F.array(*[F.lit(s.name) for s in specs])))
+    shift = centres(df, design)
+    g = grams(df, design, shift).withColumn("spec", F.explode(F.array(*[F.lit(s.name) for s in specs])))
 
     def coefficients(pdf: pd.DataFrame) -> pd.DataFrame:
         name, pv = pdf["spec"].iloc[0], int(pdf["pv"].iloc[0])
-        cols, beta, inv, rss, _, n = _solve(pdf, design, by_name[name])
+        cols, beta, inv, rss, _, n = _solve(pdf, design, by_name[name], shift)
         dof = n - len(cols)
         se = np.sqrt(np.diag(inv) * rss / dof)
         q = t_quantile(0.975, dof)
         return pd.DataFrame(
             [
-                (name, pv, c, b, s, b / s, t_two_sided(b / s, dof), b - q * s, b + q * s, math.exp(b))
+                (name, pv, c, b, s, b / s, t_two_sided(b / s, dof), b - q * s, b + q * s, math.exp(b) if b < 709 else math.inf)
                 for c, b, s in zip(cols, beta, se)
             ],
             columns=[c.split()[0] for c in OLS_SCHEMA.split(", ")],
@@ -57,13 +67,13 @@ def ols_tables(df: DataFrame, design: Design, specs: list[ModelSpec]) -> tuple[D
 
     def fits(pdf: pd.DataFrame) -> pd.DataFrame:
         name, pv = pdf["spec"].iloc[0], int(pdf["pv"].iloc[0])
-        cols, _, _, rss, tss, n = _solve(pdf, design, by_name[name])
+        cols, _, _, rss, tss, n = _solve(pdf, design, by_name[name], shift)
         k, dof = len(cols) - 1, n - len(cols)
         f = (tss - rss) / k / (rss / dof) if k else float("nan")
         aic = n * (math.log(2 * math.pi * rss / n) + 1) + 2 * (k + 2)
         row = (
             name, pv, n, rss, k, dof, math.sqrt(rss / dof), 1 - rss / tss, 1 - rss / tss * (n - 1) / dof, f,
-            f_upper(f, k, dof) if k else None, aic,
+            f_upper(f, k, dof) if k else None, aic, len(by_name[name].fixed_columns(design)) - len(cols),
         )
         return pd.DataFrame([row], columns=[c.split()[0] for c in OLS_FIT_SCHEMA.split(", ")])
 

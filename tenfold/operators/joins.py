@@ -62,5 +62,8 @@ def drop_listed(df: DataFrame, column: str, table: DataFrame, table_column: str)
 
 
 def bind_columns(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Put two result frames side by side by their keys."""
-    return left.join(right, on=list(keys), how="inner")
+    """Put two result frames side by side by their keys; missing keys match each other."""
+    names = {k: f"__right_{k}" for k in keys}
+    renamed = right.withColumnsRenamed(names)
+    same = [left[k].eqNullSafe(renamed[n]) for k, n in names.items()]
+    return left.join(renamed, same, "inner").drop(*names.values())

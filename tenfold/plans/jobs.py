@@ -105,14 +105,20 @@ def country_year_values(
 
 
 def fill_indicators(values: DataFrame, fill: DataFrame | None = None) -> DataFrame:
-    """Long clean indicators; ``fill`` (CountryCode, Indicator, Value) replaces values by hand."""
+    """Long clean indicators; ``fill`` (CountryCode, Indicator, Value[, IndicatorName]) replaces or adds values by hand.
+
+    An added value takes the name that its indicator has in other countries, or that of ``fill``.
+    """
     long = values.select("CountryCode", "IndicatorName", "Indicator", F.col("Value1").alias("Value"))
     if fill is None:
         return long
     keys = ["CountryCode", "Indicator"]
-    override = fill.select(*keys, F.col("Value").alias("__fill"))
-    return long.join(override, keys, "left").select(
-        "CountryCode", "IndicatorName", "Indicator", F.coalesce("__fill", "Value").alias("Value")
+    given = F.col("IndicatorName") if "IndicatorName" in fill.columns else F.lit(None).cast("string")
+    override = fill.select(*keys, F.col("Value").alias("__fill"), given.alias("__given"))
+    named = long.groupBy("Indicator").agg(F.min("IndicatorName").alias("__known"))
+    return long.join(override, keys, "full").join(named, "Indicator", "left").select(
+        "CountryCode", F.coalesce("IndicatorName", "__given", "__known").alias("IndicatorName"), "Indicator",
+        F.coalesce("__fill", "Value").alias("Value"),
     )
 
 

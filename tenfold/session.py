@@ -33,12 +33,16 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where neither the configuration nor the context names one, as in
-    local tests, is a folder made and set for the session.
+    Only where neither the configuration nor the context names one, and the
+    master is local, is a folder made and set for the session; on a cluster
+    executors would not see it, so there a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tenfold-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir()

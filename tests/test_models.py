@@ -137,7 +137,11 @@ def test_groups_that_no_task_holds_together(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     one_draw = Design("y", "g", ("p1",), LEVELS, ("train",), ("exper",), ("level",))
     spec = [ModelSpec("b", FIXED, ("PV",))]
-    near, far = fit_linear(df, one_draw, spec, modes=True), fit_linear(df, one_draw, spec, modes=True, many_groups=True)
+    near = fit_linear(df, one_draw, spec, tests=True, modes=True)
+    far = fit_linear(df, one_draw, spec, tests=True, modes=True, many_groups=True)
+    assert far.tests.count() == 2
+    for x, z in zip(near.tests.orderBy("term").collect(), far.tests.orderBy("term").collect(), strict=True):
+        assert x["aic"] == pytest.approx(z["aic"], abs=1e-5) and (x["p"] is None) == (z["p"] is None)
     for part, keys in (("fixed", ["term"]), ("random", ["grp", "term", "term2"]), ("modes", ["grp", "term"])):
         a = {tuple(r[k] for k in keys): r[-2] for r in getattr(near, part).collect()}
         c = {tuple(r[k] for k in keys): r[-2] for r in getattr(far, part).collect()}
@@ -266,3 +270,47 @@ def test_published_tail_values():
     assert tails.f_upper(3.0, 2, 20) == pytest.approx(1.3**-10)
     assert tails.normal_two_sided(1.959963984540054) == pytest.approx(0.05)
     assert tails.t_quantile(0.975, 10) == pytest.approx(2.2281388519649385)
+
+
+def test_more_groups_than_a_task_holds(spark):
+    """Above GROUPS_PER_TASK the distributed way is taken by itself; a balanced design has a closed form."""
+    from tenfold.models import fitting
+
+    k, m = fitting.GROUPS_PER_TASK + 5, 3
+    noise = lambda a, b: (F.pmod(F.xxhash64("g", F.lit(a), *b), F.lit(2001)) - 1000) / 1000.0
+    df = spark.range(k * m).withColumn("g", (F.col("id") % k).cast("string"))
+    df = df.withColumn("y", 5.0 + noise(1, []) + noise(2, ["id"]))
+    r = fit_linear(df, Design("y", "g"), [ModelSpec("null", ())], tests=True)
+    fit = r.fits.first()
+    assert fit["groups"] == k and r.tests.count() == 2
+    means = df.groupBy("g").agg(F.avg("y").alias("a"), F.sum(F.col("y") * F.col("y")).alias("s"))
+    between, within, grand = means.select(F.var_pop("a"), F.sum(F.col("s") - m * F.col("a") ** 2) / (k * (m - 1)), F.avg("a")).first()
+    assert fit["sigma"] ** 2 == pytest.approx(within, rel=1e-5)
+    parts = {x["grp"]: x["vcov"] for x in r.random.collect()}
+    assert parts["g"] == pytest.approx(between - within / m, rel=1e-4)
+    assert r.fixed.first()["est"] == pytest.approx(grand, rel=1e-8)
+
+
+def test_year_and_its_square_are_both_kept(spark):
+    rng = np.random.default_rng(0)
+    yr = rng.integers(2000, 2015, 3000).astype(float)
+    y = 0.5 * (yr - 2007) ** 2 + rng.normal(size=3000)
+    df = spark.createDataFrame([(float(a), float(a * a), float(2 * a), float(v)) for a, v in zip(yr, y)], "yr double, yr2 double, twice double, y double")
+    design = Design("y", None, continuous=("yr", "yr2", "twice"))
+    coef, fits = ols_tables(df, design, [ModelSpec("a", ("yr", "yr2")), ModelSpec("b", ("yr", "twice", "yr2"))])
+    z = yr - 2007
+    want, rss, _, _ = np.linalg.lstsq(np.stack([np.ones(3000), z, z * z], 1), y, rcond=None)
+    for name, left_out in (("a", 0), ("b", 1)):
+        est = {r["term"]: r["est"] for r in coef.where(F.col("spec") == name).collect()}
+        assert set(est) == {"(Intercept)", "yr", "yr2"}
+        assert est["yr2"] == pytest.approx(want[2], rel=1e-7)
+        assert est["yr"] == pytest.approx(want[1] - 2 * 2007 * want[2], rel=1e-7)
+        fit = fits.where(F.col("spec") == name).first()
+        assert fit["left_out"] == left_out and fit["rss"] == pytest.approx(rss[0], rel=1e-6)
+
+
+def test_a_value_that_is_no_level_is_missing(spark):
+    rows = [("F", 1.0), ("M", 2.0), ("F", 1.5), ("M", 2.5), ("X", 99.0)]
+    df = spark.createDataFrame(rows, "sex string, y double")
+    _, fits = ols_tables(df, Design("y", None, categories={"sex": ("F", "M")}), [ModelSpec("a", ("sex",))])
+    assert fits.first()["n"] == 4

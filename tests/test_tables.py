@@ -116,3 +116,42 @@ def test_report_text(spark):
     assert [r[0] for r in df.select(estimate_text(F.col("a"), F.col("b"), F.lit("*"))).collect()] == ["0.5 (0.123)*", "0 (0)*", "-1.25 (10)*"]
     assert df.select(short_number(F.lit(100.0))).first()[0] == "100"
     assert df.select(short_number(F.lit(None).cast("double"))).first()[0] == "NA"
+
+
+def test_bound_columns_keep_missing_keys(spark):
+    from tenfold.operators.joins import bind_columns
+
+    a = spark.createDataFrame([("x", 1), (None, 2)], "k string, a int")
+    b = spark.createDataFrame([("x", 3), (None, 4)], "k string, b int")
+    assert {tuple(r) for r in bind_columns(a, b, ["k"]).collect()} == {("x", 1, 3), (None, 2, 4)}
+
+
+def test_fill_adds_and_replaces_indicators(spark):
+    from tenfold.plans.jobs import fill_indicators
+
+    values = spark.createDataFrame([("A", "Gross product", "GDP", 1.0), ("A", "People", "POP", None)], "CountryCode string, IndicatorName string, Indicator string, Value1 double")
+    fill = spark.createDataFrame([("A", "POP", 7.0), ("B", "GDP", 8.0)], "CountryCode string, Indicator string, Value double")
+    got = {tuple(r) for r in fill_indicators(values, fill).collect()}
+    assert got == {("A", "Gross product", "GDP", 1.0), ("A", "People", "POP", 7.0), ("B", "Gross product", "GDP", 8.0)}
+
+
+def test_cluster_needs_a_shared_folder():
+    import pytest
+
+    from tenfold.session import shared_folder
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
