@@ -14,7 +14,7 @@ from tenfold.session import scratch_path, ship_package
 #: A word is a maximal run of bytes other than these, in SQL and in tasks alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

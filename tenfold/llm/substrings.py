@@ -41,6 +41,8 @@ LENGTH = 200
 GRAM = 64
 #: Windows looked at together inside a block; 20 bits hold a place among them.
 SLICE = 1 << 19
+#: Text of a block, which travels and is looked at as one.
+BLOCK_BYTES = 4 << 20
 #: Text per range of ranks, so that a range's entries fit a task many times over.
 RANGE_BYTES = 16 << 20
 _PLACE = np.uint64((1 << 20) - 1)
@@ -146,7 +148,7 @@ def _sent_array(rows: list[list[tuple[int, bytes]]]) -> pa.Array:
 
 def _first_round(batches, length: int, gram: int, ranges: int):
     part, seq = TaskContext.get().partitionId(), 0
-    for batch in common.blocks(batches, "text"):
+    for batch in common.blocks(batches, "text", BLOCK_BYTES):
         data, starts = common.joined_bytes(batch.column("text"))
         block = Block(data, starts, length, gram)
         g, x = block.g[block.sent], block.x[block.sent]
