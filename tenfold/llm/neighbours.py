@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tenfold.llm import common
 
-TABLES = 12
-PROBES = 6
+TABLES = 16
+PROBES = 8
 #: Members per bucket to aim at, and members and queries that meet at once.
 OCCUPANCY = 384
 BLOCK = 1024
