@@ -11,9 +11,10 @@ class.  The join runs in four steps.
    Small sets enumerate the two-element subsets of their rarest shingles (any
    partner has one of them); large sets enter the inverted lists of their rarest
    shingles.  Sets near the boundary do both.  The boundary is the one of least cost.
-3. Links.  Each set is first compared with the partner it shares most keys with,
-   which joins most of each group.  Then only sets of different groups that
-   share a key are compared, so a large group does not meet itself pair by pair.
+3. Links.  In rounds, each set is compared with one partner of another group, the
+   one it shares most keys with, which joins most of each group.  Then only sets of
+   groups still different that share a key are compared, so a large group does not
+   meet itself pair by pair.
 4. Groups are the connected components; every link between different groups has
    been tested exactly on whole sets.
 
@@ -289,22 +290,43 @@ def _across(batches, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
-def groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Steps 2 to 4: class, root (the smallest class of its group) of all sets with a partner."""
-    keyed = keys(sets, percent)
-    low = keyed.groupBy("key").agg(F.min(F.struct("class", "n", "left")).alias("low"))
-    may = _may_link(F.col("n"), F.col("left"), F.col("low.n"), F.col("low.left"), F.least, percent)
-    star = keyed.join(low, "key").where(F.col("low.class") < F.col("class")).where(may)
-    star = star.groupBy(F.col("class").alias("a"), F.col("low.class").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+def _named(keyed: DataFrame, near: DataFrame) -> DataFrame:
+    """Keys whose sets are in more than one group so far, with each set's group; only these can still link anything."""
+    roots = graph.components(near).withColumnRenamed("vertex", "class")
+    named = common.written(keyed.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), "named-keys")
+    mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    return common.written(named.join(mixed, "key"), "mixed-keys")
+
+
+def _stars(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of each set to one partner of another group: of those that lead a key, the one it shares most keys with."""
+    lead = F.struct("root", "class", "n", "left")
+    ends = named.groupBy("key").agg(F.min(lead).alias("low"), F.max(lead).alias("high"))
+    both = named.join(ends, "key").withColumn("to", F.when(F.col("low.root") != F.col("root"), F.col("low")).otherwise(F.col("high")))
+    may = _may_link(F.col("n"), F.col("left"), F.col("to.n"), F.col("to.left"), F.least, percent)
+    star = both.where(may).groupBy(F.col("class").alias("a"), F.col("to.class").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     best = star.groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    near = common.written(links(best, sets, percent), "star-links")
-    roots = common.written(graph.components(near), "star-groups").withColumnRenamed("vertex", "class")
+    return links(best, sets, percent)
 
-    named = keyed.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    named = common.written(named, "named-keys")
-    # Only keys whose sets are in more than one group can still link anything.
-    mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    named = named.join(mixed, "key")
+
+def groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Steps 2 to 4: class, root (the smallest class of its group) of all sets with a partner.
+
+    Rounds of stars join groups while they find many links; a key's star is a
+    map-side-combined minimum, so it stays small for any number of sets.  What
+    the last round leaves is compared pair by pair, across groups only.
+    """
+    keyed = keys(sets, percent)
+    near = common.written(sets.limit(0).select(F.col("class").alias("a"), F.col("class").alias("b")), "links")
+    total = sets.count()
+    while True:
+        named = _named(keyed, near)
+        found = common.written(_stars(named, sets, percent), "links")
+        n = found.count()
+        near = near.unionByName(found)
+        if 1000 * n <= total:
+            break
+    named = _named(keyed, near)
     full = named.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
     part = F.pmod(F.xxhash64("class"), F.col("parts")).alias("part")
     cells = named.join(full, "key").groupBy("key", part).agg(F.collect_list(F.struct("class", "n", "left", "root")).alias("m"))
@@ -313,8 +335,7 @@ def groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     met = cells.join(other, "key").where("part <= part2").select("part", "part2", "m", "m2")
     met = common.map_arrow(met, partial(_across, percent=percent), "a long, b long").distinct()
     across = links(met, sets, percent)
-    every = near.unionByName(across)
-    return graph.components(every).withColumnRenamed("vertex", "class")
+    return graph.components(near.unionByName(across)).withColumnRenamed("vertex", "class")
 
 
 def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
