@@ -324,7 +324,7 @@ def groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         found = common.written(_stars(named, sets, percent), "links")
         n = found.count()
         near = near.unionByName(found)
-        if 1000 * n <= total:
+        if 50 * n <= total:
             break
     named = _named(keyed, near)
     full = named.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
