@@ -244,3 +244,44 @@ def test_few_neighbours(spark):
     got = [(r["query_id"], r["id"]) for r in sorted(neighbours.search(df, F.expr("pmod(id, 20) = 0")).collect())]
     assert got == [(0, 20), (0, 1), (0, 2), (20, 0), (20, 1), (20, 2)]
     assert neighbours.search(df.limit(0), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize(("rows", "occupancy"), [(60_000, neighbours.OCCUPANCY), (20_000, 8)])
+def test_recall_holds_with_many_buckets(spark, rows, occupancy):
+    """The shipped setting on a large table, and 4,096 buckets, as a table of a million and more has."""
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(3).normal(size=(rows, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(__import__("pandas").DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}))
+    found = collections.defaultdict(set)
+    for r in neighbours.search(df, F.expr("pmod(id, 400) = 0"), occupancy=occupancy).collect():
+        found[r["query_id"]].add(r["id"])
+    queries = np.arange(0, len(x), 400)
+    score = x[queries] @ x.T
+    score[np.arange(len(queries)), queries] = -1
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert all(len(found[q]) == 20 for q in queries)
+    share = np.mean([len(found[q] & set(b.tolist())) / 20 for q, b in zip(queries.tolist(), best, strict=True)])
+    assert share >= 0.93
+
+
+def test_queries_that_meet_too_few_visit_all(spark):
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(4).normal(size=(400, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = neighbours.search(df, F.expr("pmod(id, 20) = 0"), tables=1, probes=1, occupancy=4, recall=0.0).collect()
+    counts = collections.Counter(r["query_id"] for r in rows)
+    assert counts == dict.fromkeys(range(0, 400, 20), 20)
+
+
+def test_ranks_follow_the_probes():
+    x = np.random.default_rng(5).normal(size=(50, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for axes in ([4], [8, 2]):
+        which = np.arange(50) % 7
+        own = neighbours.codes(x, axes, 1, 0, 1)[:, 0]
+        probed = neighbours.codes(x[:7], axes, 1, 0, 1000)
+        want = [probed[q].tolist().index(c) for q, c in zip(which, own, strict=True)]
+        assert neighbours.ranks(x[:7], x, which, axes, 1, 0).tolist() == want
