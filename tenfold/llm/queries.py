@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tenfold.llm import common, lengths, mixing, neighbours, packing, perplexity, pii, setjoin, sharding, substrings, tokens, toxicity
+from tenfold.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -159,12 +161,16 @@ def op8_perplexity_bands(spark, sf_dir):
 
 @query("op9_sharding")
 def op9_sharding(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
     text = common.text_column()
-    rows = common.table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
+    path = scratch_path(spark, "llm-shards")
+    sharding.write_shards(sharding.dealt(docs.withColumn("_size", size), ["doc_id", "text"], "_size", shards=16).drop("_size"), path)
+    whole = StructType([*[f for f in docs.schema.fields if f.name not in ("shard", "slot")], StructField("slot", LongType()), StructField("shard", IntegerType())])
+    arrived = spark.read.schema(whole).parquet(path)
+    return arrived.select(
+        "doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
-    dealt = sharding.dealt(rows, ["doc_id", "text_crc32"], "size", shards=16)
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 # ------------------------------------------------------------ 10 nearest neighbours

@@ -107,6 +107,25 @@ def test_shards(spark):
     assert sharding.dealt(fx.empty(spark), ["doc_id"], "n_chars").count() == 0
 
 
+def test_sharding_query_writes_whole_documents(spark, monkeypatch):
+    """The shards hold every document with its text, and the query's digests are those of the rows in them."""
+    from tenfold.llm import queries
+    from tests.conftest import SF
+
+    paths = []
+    write = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda rows, path: (paths.append(path), write(rows, path)))
+    found = queries.QUERIES["op9_sharding"](spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    shards = spark.read.parquet(paths[0])
+    content = lambda df: sorted(map(tuple, df.select(*docs.columns).collect()), key=repr)
+    assert content(shards) == content(docs)
+    row = lambda r: (r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"])
+    assert sorted(map(row, shards.collect()), key=repr) == sorted(((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in found), key=repr)
+    counts = collections.Counter(r["shard"] for r in found)
+    assert len(counts) == 16 and max(counts.values()) - min(counts.values()) <= 1
+
+
 def test_shards_of_repeated_rows(spark):
     same = [(1, "a" * 90, "en", "s", 90)] * 400
     rows = sharding.dealt(fx.documents(spark, same), ["doc_id", "text"], "n_chars", 4, bucket_bytes=3000).collect()
