@@ -1,8 +1,10 @@
 """Quality rules: perplexity under an n-gram model counted from the corpus itself.
 
 Spark counts the character n-grams of all documents per language and smooths
-them by modified Kneser-Ney.  The probabilities go to the tasks as sorted arrays
-of hash slots, 2**22 at most whatever the corpus holds.  Each language gets an
+them by modified Kneser-Ney.  Every n-gram keeps its whole code points and its own
+probability.  The probabilities go to the tasks as sorted arrays of 64-bit keys;
+a model of more n-grams than a task should hold stays a table, which the n-grams
+of the texts are joined with.  Each language gets an
 upper and a lower band from the exact distribution of its perplexities, and a
 document outside its band is rejected, as is one that fails the base rules.
 
@@ -22,13 +24,16 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from tenfold.llm import common
 
 ORDER = 4
+#: A code point is kept in two parts, these low bits in ``gram`` and the others in ``high``.
 CHAR_BITS = 10
-SLOT_BITS = 22
+HIGH_BITS = 11
+#: N-grams of a model that is broadcast; a larger one is joined.
+MAX_SHARED = 8_000_000
 #: Width of a histogram cell of log perplexities per word; quantiles are exact to it.
 CELL = 1e-3
 #: Bands reach this many robust deviations from the language's median, the deviation being at least FLOOR.
@@ -56,26 +61,49 @@ def characters(texts: Sequence[str], order: int = ORDER) -> tuple[np.ndarray, np
     after = starts[:-1] + order - 1  # a text's own leading space follows its padding
     after = after[after < starts[1:]]
     keep[after[space[after]]] = False
-    size = np.uint32(1 << CHAR_BITS)
-    folded = codes.astype(np.uint64)
-    folded[space] = 0x20
-    rare = np.flatnonzero(codes >= size)
-    folded[rare] = common.mix64(folded[rare]) % np.uint64(size)
+    whole = codes.astype(np.uint64)
+    whole[space] = 0x20
     kept = np.concatenate([[0], np.cumsum(keep)])
-    return folded[keep], kept[starts]
+    return whole[keep], kept[starts]
 
 
-def grams(texts: Sequence[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """One n-gram per character after the padding, and the text each belongs to."""
-    codes, starts = characters(texts, order)
-    ids = np.zeros(max(0, len(codes) - order + 1), np.uint64)
+def _packed(codes: np.ndarray, count: int, bits: int, order: int) -> np.ndarray:
+    ids = np.zeros(count, np.uint64)
     for i in range(order):
-        ids = (ids << np.uint64(CHAR_BITS)) | codes[i : i + len(ids)]
+        ids = (ids << np.uint64(bits)) | codes[i : i + count]
+    return ids
+
+
+def whole_grams(texts: Sequence[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One n-gram per character after the padding, low and high bits apart, and the text each belongs to."""
+    codes, starts = characters(texts, order)
+    count = max(0, len(codes) - order + 1)
+    ids = _packed(codes & np.uint64((1 << CHAR_BITS) - 1), count, CHAR_BITS, order)
+    upper = codes >> np.uint64(CHAR_BITS)
+    high = _packed(upper, count, HIGH_BITS, order) if upper.any() else np.zeros(count, np.uint64)
     lengths = np.diff(starts) - (order - 1)
     owner = np.repeat(np.arange(len(texts)), lengths)
     first = starts[:-1] - (order - 1) * np.arange(len(texts))
     place = np.arange(len(owner)) - np.repeat(first, lengths) + np.repeat(starts[:-1], lengths)
-    return ids[place], owner
+    return ids[place], high[place], owner
+
+
+def grams(texts: Sequence[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The low bits of each n-gram, and the text it belongs to."""
+    ids, _, owner = whole_grams(texts, order)
+    return ids, owner
+
+
+def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of some columns, and how often each occurs."""
+    varied = [c for c in columns if len(c) and c.min() != c.max()]
+    order = np.argsort(varied[0], kind="stable") if len(varied) == 1 else np.lexsort(varied) if varied else np.arange(len(columns[0]))
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.diff(np.append(first, len(order)))
 
 
 def _count(batches, order: int):
@@ -83,30 +111,36 @@ def _count(batches, order: int):
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         texts = batch.column("text").to_pylist()
         for lang in sorted(set(langs)):
-            ids, _ = grams([texts[i] for i in np.flatnonzero(langs == lang)], order)
-            values, counts = np.unique(ids, return_counts=True)
+            ids, high, _ = whole_grams([texts[i] for i in np.flatnonzero(langs == lang)], order)
+            (ids, high), counts = _distinct(ids, high)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(values), pa.string()), pa.array(common.signed(values)), pa.array(counts, pa.int64())], ["lang", "gram", "n"]
+                [pa.array([lang] * len(ids), pa.string()), pa.array(common.signed(ids)), pa.array(common.signed(high)), pa.array(counts, pa.int64())],
+                ["lang", "gram", "high", "n"],
             )
 
 
 def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """Occurrences of every n-gram of all texts: lang, gram, n."""
+    """Occurrences of every n-gram of all texts: lang, gram, high, n."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), common.text_column().alias("text"))
-    counted = common.map_arrow(rows, partial(_count, order=order), "lang string, gram long, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = common.map_arrow(rows, partial(_count, order=order), "lang string, gram long, high long, n long")
+    return counted.groupBy("lang", "gram", "high").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """Interpolated modified Kneser-Ney: lang, gram, n and ``logp`` of its last character after the others.
+    """Interpolated modified Kneser-Ney: lang, gram, high, n and ``logp`` of its last character after the others.
 
     Below the highest order an n-gram counts the different characters seen
     before it.  Discounts come from the counts of counts of each order and language.
     """
     levels = {order: counts}
+
+    def last(k: int, names: Sequence[str]) -> list:
+        """The last k characters."""
+        parts = zip(("gram", "high"), (CHAR_BITS, HIGH_BITS), names, strict=True)
+        return [F.col(c).bitwiseAND(F.lit((1 << (bits * k)) - 1)).alias(name) for c, bits, name in parts]
+
     for k in range(order - 1, 0, -1):
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << (CHAR_BITS * k)) - 1))
-        levels[k] = common.written(levels[k + 1].groupBy("lang", shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"grams-{k}")
+        levels[k] = common.written(levels[k + 1].groupBy("lang", *last(k, ("gram", "high"))).agg(F.count(F.lit(1)).alias("n")), f"grams-{k}")
     below = None
     for k in range(1, order + 1):
         level = levels[k]
@@ -120,18 +154,19 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         level = level.join(found, "lang").withColumn("cut", cut)
         level = level.withColumn("context", F.shiftrightunsigned("gram", CHAR_BITS) if k > 1 else F.lit(0).cast("long"))
-        context = level.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
-        level = level.join(context, ["lang", "context"])
+        level = level.withColumn("context_high", F.shiftrightunsigned("high", HIGH_BITS) if k > 1 else F.lit(0).cast("long"))
+        context = level.groupBy("lang", "context", "context_high").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
+        level = level.join(context, ["lang", "context", "context_high"])
         if below is None:
             lower = F.lit(1.0) / F.col("kinds")
         else:
-            level = level.withColumn("tail", F.col("gram").bitwiseAND(F.lit((1 << (CHAR_BITS * (k - 1))) - 1)))
-            level = level.join(below, ["lang", "tail"])
+            level = level.select("*", *last(k - 1, ("tail", "tail_high")))
+            level = level.join(below, ["lang", "tail", "tail_high"])
             lower = F.col("p_below")
         p = (F.col("n") - F.col("cut") + F.col("freed") * lower) / F.col("total")
-        level = common.written(level.select("lang", "gram", "n", p.alias("p")), f"smoothed-{k}")
-        below = level.select("lang", F.col("gram").alias("tail"), F.col("p").alias("p_below"))
-    return level.select("lang", "gram", "n", F.log("p").alias("logp"))
+        level = common.written(level.select("lang", "gram", "high", "n", p.alias("p")), f"smoothed-{k}")
+        below = level.select("lang", F.col("gram").alias("tail"), F.col("high").alias("tail_high"), F.col("p").alias("p_below"))
+    return level.select("lang", "gram", "high", "n", F.log("p").alias("logp"))
 
 
 def language_codes(langs: Sequence[str]) -> np.ndarray:
@@ -141,40 +176,48 @@ def language_codes(langs: Sequence[str]) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs], np.uint64)
 
 
-def slots(lang_codes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return (common.mix64(ids ^ lang_codes) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+def keys_of(lang_codes: np.ndarray, ids: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A 64-bit value per language and n-gram."""
+    return common.mix64(ids ^ common.mix64(high ^ lang_codes))
 
 
-def _to_slots(batches):
+def _to_keys(batches):
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         known = dict(zip(set(langs), language_codes(list(set(langs))), strict=True))
         codes = np.array([known[x] for x in langs], np.uint64)
-        place = slots(codes, batch.column("gram").to_numpy().view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(place), batch.column("n"), batch.column("logp")], ["slot", "n", "logp"])
+        ids, high = (batch.column(c).to_numpy().view(np.uint64) for c in ("gram", "high"))
+        yield pa.RecordBatch.from_arrays([pa.array(common.signed(keys_of(codes, ids, high))), batch.column("logp").cast(pa.float32())], ["key", "logp"])
 
 
-def hash_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Slots in ascending order and their log probabilities; n-grams that share a slot are averaged by count."""
-    placed = common.map_arrow(model, _to_slots, "slot int, n long, logp double")
-    mean = F.sum(F.col("n") * F.col("logp")) / F.sum("n")
-    table = placed.groupBy("slot").agg(mean.cast("float").alias("logp")).toArrow()  # at most 2**SLOT_BITS rows
-    slot, logp = table.column("slot").to_numpy(), table.column("logp").to_numpy()
-    order = np.argsort(slot)
-    return slot[order], logp[order]
+def sorted_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all n-grams in ascending order and their log probabilities."""
+    table = common.map_arrow(model, _to_keys, "key long, logp float").toArrow()  # at most MAX_SHARED rows
+    key, logp = table.column("key").to_numpy().view(np.uint64), table.column("logp").to_numpy()
+    order = np.argsort(key)
+    return key[order], logp[order]
 
 
-_SPREAD: dict[str, object] = {}
+_INDEX: dict[str, object] = {}
 
 
-def _addressed(shared: Broadcast) -> np.ndarray:
-    """The sorted arrays spread over all slots, so that a lookup is one access; kept by the worker."""
-    if _SPREAD.get("of") is not shared.value:
-        slot, logp = shared.value
-        out = np.full(1 << SLOT_BITS, logp.min() if len(logp) else 0.0, np.float32)
-        out[slot] = logp
-        _SPREAD.update(of=shared.value, table=out)
-    return _SPREAD["table"]
+def lookup(shared: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """Log probabilities of keys, each found among the few of its leading bits and compared whole."""
+    keys, logp = shared
+    bits = max(8, len(keys).bit_length() + 1)
+    shift = np.uint64(64 - bits)
+    if _INDEX.get("of") is not shared:
+        first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.int32)
+        _INDEX.update(of=shared, first=np.minimum(first, len(keys) - 1))
+    place = _INDEX["first"][wanted >> shift]
+    late = np.flatnonzero(keys[place] < wanted)
+    while len(late):
+        place[late] += 1
+        late = late[place[late] < len(keys) - 1]
+        late = late[keys[place[late]] < wanted[late]]
+    if not np.array_equal(keys[place], wanted):
+        raise KeyError("an n-gram of the texts is not in the model")
+    return logp[place].astype(np.float64)
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -200,24 +243,31 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 50 or 100 * n_repeat_words > 50 * n_words
 
 
-def _score(batches, shared: Broadcast, order: int):
-    table = _addressed(shared)
+def _score(batches, shared: Broadcast | None, order: int):
+    """Counts and entropy of each text; without a shared model its n-grams instead of the entropy."""
     for batch in common.blocks(batches, "_text"):
         texts, langs = batch.column("_text").to_pylist(), batch.column("_lang").to_pylist()
-        ids, owner = grams(texts, order)
-        logs = table[slots(language_codes(langs)[owner], ids)].astype(np.float64)
-        summed = np.bincount(owner, weights=logs, minlength=len(texts))
+        ids, high, owner = whole_grams(texts, order)
         found = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
-        missing = found[:, 0] == 0
-        entropy = np.where(missing, 0.0, -summed / np.maximum(found[:, 0], 1))  # per word: decoration of words costs, too
+        if shared is None:
+            (ids, high, owner), counts = _distinct(ids, high, owner.astype(np.uint64))
+            cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+            parts = [pa.array(common.signed(ids)), pa.array(common.signed(high)), pa.array(counts, pa.int64())]
+            last = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays(parts, ["gram", "high", "n"]))
+        else:
+            logs = lookup(shared.value, keys_of(language_codes(langs)[owner], ids, high)) if len(ids) else np.zeros(0)
+            summed = np.bincount(owner, weights=logs, minlength=len(texts))
+            missing = found[:, 0] == 0
+            # per word: decoration of words costs, too
+            last = pa.array(np.where(missing, 0.0, -summed / np.maximum(found[:, 0], 1)), mask=missing)
         failed = [base_failed(n, r) for n, r in found[:, [0, 4]].tolist()]
         yield pa.RecordBatch.from_arrays(
             [
                 *batch.columns[:-1],
                 *[pa.array(found[:, i]) for i in range(5)],
-                pa.array(failed), pa.array(entropy, mask=missing),
+                pa.array(failed), last,
             ],
-            [*batch.schema.names[:-1], *COUNTS, "base_failed", "entropy"],
+            [*batch.schema.names[:-1], *COUNTS, "base_failed", "entropy" if shared else "_grams"],
         )
 
 
@@ -240,7 +290,7 @@ def bands(scored: DataFrame, reach: float = REACH, floor: float = FLOOR) -> Data
     return found.select("_lang", (F.col("q2") - spread("q1", "q2")).alias("_low"), (F.col("q2") + spread("q2", "q3")).alias("_high"))
 
 
-def judge(docs: DataFrame, carry: Sequence[str], order: int = ORDER, reach: float = REACH, floor: float = FLOOR) -> DataFrame:
+def judge(docs: DataFrame, carry: Sequence[str], order: int = ORDER, reach: float = REACH, floor: float = FLOOR, max_shared: int = MAX_SHARED) -> DataFrame:
     """The carried columns of every document with its counts, ``base_failed``, ``perplexity``, ``kept``.
 
     Two passes over the texts: counting and scoring.  The scored rows are written
@@ -248,14 +298,22 @@ def judge(docs: DataFrame, carry: Sequence[str], order: int = ORDER, reach: floa
     columns named here replace carried columns of those names.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(hash_arrays(kneser_ney(common.written(gram_counts(docs, order), "grams"), order)))
+    model = kneser_ney(common.written(gram_counts(docs, order), "grams"), order)
+    shared = spark.sparkContext.broadcast(sorted_arrays(model)) if model.count() <= max_shared else None
     made = [*COUNTS, "base_failed", "entropy", "perplexity", "kept"]
     carry = [c for c in carry if c not in made]
     rows = docs.select(*carry, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"), common.text_column().alias("_text"))
-    schema = StructType(
-        [*rows.schema.fields[:-1], *[StructField(c, LongType()) for c in COUNTS], StructField("base_failed", BooleanType()), StructField("entropy", DoubleType())]
-    )
-    scored = common.written(common.map_arrow(rows, partial(_score, shared=shared, order=order), schema), "scored")
+    counted = ArrayType(StructType([StructField(c, LongType()) for c in ("gram", "high", "n")]))
+    last = StructField("entropy", DoubleType()) if shared else StructField("_grams", counted)
+    schema = StructType([*rows.schema.fields[:-1], *[StructField(c, LongType()) for c in COUNTS], StructField("base_failed", BooleanType()), last])
+    scored = common.map_arrow(rows, partial(_score, shared=shared, order=order), schema)
+    scored = common.written(scored if shared else scored.withColumn("_doc", F.monotonically_increasing_id()), "scored")
+    if not shared:
+        every = scored.select("_doc", F.col("_lang").alias("lang"), F.inline("_grams").alias("gram", "high", "times"))
+        summed = every.join(model.drop("n"), ["lang", "gram", "high"]).groupBy("_doc").agg(F.sum(F.col("times") * F.col("logp")).alias("_sum"))
+        scored = scored.drop("_grams").join(summed, "_doc", "left")
+        entropy = F.when(F.col("n_words") > 0, -F.col("_sum") / F.col("n_words"))
+        scored = common.written(scored.withColumn("entropy", entropy).drop("_doc", "_sum"), "scored-joined")
     limits = bands(scored, reach, floor)
     inside = F.coalesce(F.col("entropy").between(F.col("_low"), F.col("_high")), F.lit(False))
     return scored.join(F.broadcast(limits), "_lang", "left").select(

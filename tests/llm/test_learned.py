@@ -200,6 +200,29 @@ def test_quality_verdicts(spark):
     assert perplexity.judge(fx.empty(spark), ["doc_id"]).count() == 0
 
 
+def test_grams_keep_whole_code_points(spark):
+    """No two code points and no two n-grams share a probability, whatever the script."""
+    alphabet = [*map(chr, range(0x430, 0x450)), *map(chr, range(0x4E00, 0x4F00)), *map(chr, range(0xAC00, 0xAD00)), *map(chr, range(0x1F600, 0x1F640))]
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(alphabet) for _ in range(300)) for _ in range(30)]
+    data = [(i, t, "xx", "s", 0) for i, t in enumerate(texts)]
+    model = perplexity.kneser_ney(perplexity.gram_counts(fx.documents(spark, data)))
+    want = brute_kneser_ney(texts, perplexity.ORDER)
+    key = lambda g: tuple(sum(f(ord(c)) << (b * i) for i, c in enumerate(reversed(g))) for f, b in ((lambda x: x & 1023, 10), (lambda x: x >> 10, 11)))
+    got = {(r["gram"], r["high"]): r["logp"] for r in model.collect()}
+    assert got.keys() == {key(g) for g in want} and all(abs(got[key(g)] - v) < 1e-9 for g, v in want.items())
+    keys, logp = perplexity.sorted_arrays(model)
+    assert len(np.unique(keys)) == len(want)
+
+
+def test_joined_model_judges_as_the_shared_one(spark):
+    docs = fx.documents(spark)
+    shared, joined = (sorted(fx.collected(perplexity.judge(docs, ["doc_id"], max_shared=m)), key=repr) for m in (perplexity.MAX_SHARED, 0))
+    assert len(shared) == len(joined) == docs.count()
+    for a, b in zip(shared, joined, strict=True):
+        assert a[:7] == b[:7] and a[8] == b[8] and (a[7] == b[7] or abs(a[7] / b[7] - 1) < 1e-4)
+
+
 # ------------------------------------------------------------ toxicity
 
 
