@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from tenfold.llm import common, lengths, mixing, neighbours, packing, perplexity, pii, setjoin, sharding, substrings, tokens, toxicity
+from tenfold.llm import bpe, common, lengths, merkle, mixing, neighbours, packing, perplexity, pii, setjoin, sharding, substrings, tokens, toxicity
 from tenfold.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,26 @@ def op7_jaccard_groups(spark, sf_dir):
 @query("op6_prefix_doubling")
 def op6_prefix_doubling(spark, sf_dir):
     return substrings.remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------ 12 BPE encoding and decoding
+
+
+@query("op12_bpe_round_trip")
+def op12_bpe_round_trip(spark, sf_dir):
+    docs, path = common.table(spark, sf_dir, "documents").select("doc_id", "text"), tokens.word_bpe_path()
+    coded = bpe.decode(bpe.encode(docs, path, carry=["doc_id"]), path, carry=["doc_id", "ids"])
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+# ------------------------------------------------------------ 13 Merkle dataset manifest
+
+@query("op13_merkle_manifest")
+def op13_merkle_manifest(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(merkle.of_documents(docs, tampered)).withColumnRenamed("id", "doc_id")
