@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from tenfold.llm import bpe, common, lengths, merkle, mixing, neighbours, packing, perplexity, pii, setjoin, sharding, substrings, tokens, toxicity
+from tenfold.llm import bpe, common, lengths, merkle, mixing, neighbours, packing, perplexity, pii, setjoin, sharding, substrings, tokens, toxicity, whitening
 from tenfold.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,12 @@ def op13_merkle_manifest(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return merkle.manifest(merkle.of_documents(docs, tampered)).withColumnRenamed("id", "doc_id")
+
+
+# ------------------------------------------------------------ 11 whitening
+
+
+@query("op11_spectrum_slicing")
+def op11_spectrum_slicing(spark, sf_dir):
+    rows = whitening.components_of(*whitening.whiten(common.table(spark, sf_dir, "embeddings"), components=32))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long")).withColumnRenamed("id", "vec_id")
