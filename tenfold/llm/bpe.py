@@ -12,8 +12,8 @@ a pair that fails are merged symbol by symbol, in the order of the merges.
   are walked in the order of the ranks that change them; the pair fails if the
   two symbols merge before either is used up inside its own token (at equal ranks
   the leftmost merge comes first).
-* Merge: all failing words together, rank by rank, each rank's merges leftmost
-  first, with neighbours held in linked arrays.
+* Merge: all failing words together, each word's lowest rank first, leftmost
+  first; long words rank by rank, with neighbours held in linked arrays.
 
 Normalisation, splitting into words and added tokens follow the tokenizer's file.
 The words of a block are encoded once and remembered by the worker.
@@ -42,8 +42,10 @@ from pyspark.sql import functions as F
 
 from tenfold.llm import common, tokens
 
-#: Words that a worker remembers; a full memory starts anew.
-REMEMBER = 500_000
+#: Words, and stretches between white space, that a worker remembers; a full memory starts anew.
+REMEMBER = 250_000
+#: Bytes of a word up to which words are merged round by round, all together.
+SHORT = 128
 #: Ends a word where the vocabulary marks word ends; no UTF-8 text holds this byte.
 END = 0xFF
 #: Positions of new words that are matched at once.
@@ -51,7 +53,7 @@ STRIP = 1 << 18
 #: Ids that are decoded at once.
 DECODED = 1 << 20
 
-_NEVER = np.iinfo(np.int64).max
+_NEVER, _LATER = np.iinfo(np.int64).max, np.iinfo(np.int32).max
 
 
 @lru_cache(maxsize=4)
@@ -60,17 +62,54 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=4)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model["type"] != "BPE" or odd or spec.get("post_processor"):
+        raise ValueError(f"only plain byte-level BPE is known here: {model['type']}, {odd}")
+    return spec
+
+
+class Decoder:
+    """What each id decodes to, and what stands between ids."""
+
+    def __init__(self, path: str):
+        spec = _spec(path)
+        kind = (spec.get("decoder") or {}).get("type")
+        if kind not in (None, "ByteLevel"):
+            raise ValueError(f"unknown decoder {kind}")
+        self.between = b" " if kind is None else b""
+        self.texts = {i: t.encode() for t, i in spec["model"]["vocab"].items()}
+        if kind == "ByteLevel":
+            to_byte = {chr(c): b for b, c in tokens._byte_letters().items()}
+            for t, i in spec["model"]["vocab"].items():
+                if all(c in to_byte for c in t):
+                    self.texts[i] = bytes(to_byte[c] for c in t)
+        self.texts |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+
+    def decode(self, ids: np.ndarray) -> str:
+        get, parts = self.texts.get, []
+        for lo in range(0, len(ids), DECODED):
+            known = [t for t in map(get, ids[lo : lo + DECODED].tolist()) if t is not None]
+            if known:
+                parts.append(self.between.join(known))
+        return self.between.join(parts).decode("utf-8", "replace")
+
+
 class Vocabulary:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = _spec(path)
         model = spec["model"]
-        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
-        if model["type"] != "BPE" or odd or spec.get("post_processor"):
-            raise ValueError(f"only plain byte-level BPE is known here: {model['type']}, {odd}")
         library = Tokenizer.from_file(path)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.added = _added(spec.get("added_tokens", []))
@@ -82,7 +121,6 @@ class Vocabulary:
         self._merges(model)
         self._borders()
         self._candidates()
-        self._decoding(spec, model)
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.proposed = self.failed = 0
@@ -138,7 +176,7 @@ class Vocabulary:
         for side in (self.left, self.right):
             rows = []
             for i in range(self.size):
-                chain, at = [(i, _NEVER)], i
+                chain, at = [(i, _LATER)], i
                 while at in split:
                     r = split[at][0]
                     at = int(side[r])
@@ -148,7 +186,7 @@ class Vocabulary:
                     chain.append((at, r))
                 rows.append(chain[::-1])
             depth = max(map(len, rows))
-            symbol, used = np.zeros((self.size, depth), np.int64), np.full((self.size, depth), _NEVER)
+            symbol, used = np.zeros((self.size, depth), np.int32), np.full((self.size, depth), _LATER, np.int32)
             for i, chain in enumerate(rows):
                 symbol[i, : len(chain)], used[i, : len(chain)] = zip(*chain)
             chains.append((symbol, used, np.array([len(c) - 1 for c in rows])))
@@ -174,7 +212,7 @@ class Vocabulary:
             x, y = a[live], b[live]
             top = (i[live] == ltop[x]) & (j[live] == rtop[y])
             used_l, used_r = lu[x, i[live]], ru[y, j[live]]
-            r = self.rank(ls[x, i[live]], rs[y, j[live]])
+            r = self.rank(ls[x, i[live]].astype(np.int64), rs[y, j[live]])
             hit = (r != _NEVER) & (r < used_l) & (r <= used_r)
             if below_top:
                 hit &= ~top
@@ -200,17 +238,6 @@ class Vocabulary:
             order = np.argsort(keys)
             self.tables[n] = keys[order], np.array(ids)[order]
 
-    def _decoding(self, spec: dict, model: dict) -> None:
-        """What each id decodes to, and what stands between ids."""
-        kind = (spec.get("decoder") or {}).get("type")
-        if kind not in (None, "ByteLevel"):
-            raise ValueError(f"unknown decoder {kind}")
-        texts: dict[int, bytes] = {i: t.encode() for t, i in model["vocab"].items()}
-        if kind == "ByteLevel":
-            texts = {i: self.raw[i] if self.raw[i] is not None else t for i, t in texts.items()}
-        texts.update({i: t.encode() for t, i in self.added_ids.items()})
-        self.decoded, self.between = texts, b" " if kind is None else b""
-
     # ------------------------------------------------------------ words
 
     def pieces(self, text: str) -> list[str | int]:
@@ -238,11 +265,7 @@ class Vocabulary:
             self._learn({w for ws in cut for w in ws if isinstance(w, str)})
             return [b"".join(map(self._bytes, ws)) for ws in cut]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {}
-        for ws in split:
-            for w in ws:
-                if w not in self.chunks and w not in new:
-                    new[w] = self.pieces(w)
+        new = {w: self.pieces(w) for w in set().union(*split).difference(self.chunks)}
         self._learn({p for ps in new.values() for p in ps if isinstance(p, str)})
         for w, ps in new.items():
             self.chunks[w] = b"".join(map(self._bytes, ps))
@@ -277,8 +300,10 @@ class Vocabulary:
         failing = np.flatnonzero(~good)
         self.proposed += len(words)
         self.failed += len(failing)
-        for k, merged in zip(failing.tolist(), self.merge([words[k] for k in failing.tolist()])):
-            out[k] = merged
+        short = np.diff(bounds)[failing] <= SHORT
+        for some, way in ((failing[short], self.merge_short), (failing[~short], self.merge)):
+            for k, merged in zip(some.tolist(), way([words[k] for k in some.tolist()])):
+                out[k] = merged
         return out
 
     def propose(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -324,10 +349,8 @@ class Vocabulary:
             good[np.searchsorted(bounds, np.repeat(at, size)[wrong], side="right") - 1] = False
         return at, ids, good
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Exact merging of all the words together, rank by rank."""
-        if not words:
-            return []
+    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of the words, and where each word starts among them (with the end)."""
         data = np.frombuffer(b"".join(words), np.uint8)
         bounds = np.zeros(len(words) + 1, np.int64)
         np.cumsum([len(w) for w in words], out=bounds[1:])
@@ -336,7 +359,42 @@ class Vocabulary:
         if self.marked:
             kind[bounds[1:] - 2], keep[bounds[1:] - 1] = 1, False
             bounds = bounds - np.arange(len(bounds))
-        token = np.append(self.single[kind[keep], data[keep]], -1)
+        return self.single[kind[keep], data[keep]], bounds
+
+    def merge_short(self, words: list[bytes]) -> list[np.ndarray]:
+        """Exact merging of many short words: in each round, every word merges its lowest rank."""
+        if not words:
+            return []
+        token, bounds = self.symbols(words)
+        out: list[np.ndarray | None] = [None] * len(words)
+        number, size = np.arange(len(words)), np.diff(bounds)
+        while len(number):
+            start = np.cumsum(size) - size
+            r = np.append(self.rank(token[:-1], token[1:]), _NEVER)
+            r[start + size - 1] = _NEVER
+            lowest = np.minimum.reduceat(r, start)
+            done = lowest == _NEVER
+            for k, a, z in zip(number[done].tolist(), start[done].tolist(), (start + size)[done].tolist()):
+                out[k] = token[a:z][token[a:z] >= 0]
+            hit = (r == np.repeat(lowest, size)) & (r != _NEVER)
+            at = np.flatnonzero(hit)
+            begin = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1)) if len(at) else at
+            run = np.repeat(begin, np.diff(np.append(begin, len(at))))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]  # of a run of equal symbols, the first two, the next two ...
+            stay = np.repeat(~done, size)
+            token[at] = self.made[r[at]]
+            stay[at + 1] = False
+            word = np.repeat(np.arange(len(number)), size)
+            size = np.bincount(word[stay], minlength=len(number))[~done]
+            token, number = token[stay], number[~done]
+        return out
+
+    def merge(self, words: list[bytes]) -> list[np.ndarray]:
+        """Exact merging of words of any length together, rank by rank, in linked arrays."""
+        if not words:
+            return []
+        token, bounds = self.symbols(words)
+        token = np.append(token, -1)
         n = len(token) - 1
         after, before = np.arange(1, n + 2), np.arange(-1, n)
         after[bounds[1:] - 1] = n
@@ -378,16 +436,6 @@ class Vocabulary:
         cuts = np.searchsorted(alive, bounds)
         return [token[alive[cuts[k] : cuts[k + 1]]] for k in range(len(words))]
 
-    # ------------------------------------------------------------ back
-
-    def decode(self, ids: np.ndarray) -> str:
-        get, parts = self.decoded.get, []
-        for lo in range(0, len(ids), DECODED):
-            known = [t for t in map(get, ids[lo : lo + DECODED].tolist()) if t is not None]
-            if known:
-                parts.append(self.between.join(known))
-        return self.between.join(parts).decode("utf-8", "replace")
-
 
 def _added(added: list[dict]):
     """Splits a text at its added tokens, which stand at the odd places."""
@@ -420,7 +468,7 @@ def _encode(path: str, text: str, carry: list[str], into: str, batches: Iterator
 
 
 def _decode(path: str, carry: list[str], into: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    vocab = vocabulary(path)
+    vocab = decoder(path)
     for batch in batches:
         column = batch.column(batch.num_columns - 1)
         ends = np.cumsum(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))

@@ -35,7 +35,7 @@ ALPHABETS = ["ab", "aeinrst", "abcdefghijklmnopqrstuvwxyz", "!?.,-", "😂😍
 def test_odd_texts(path, text):
     ids = ids_of(path, text)
     assert encoded(path, text) == ids
-    assert bpe.vocabulary(path).decode(np.array(ids, np.int64)) == LIBRARY[path].decode(ids, skip_special_tokens=False)
+    assert bpe.decoder(path).decode(np.array(ids, np.int64)) == LIBRARY[path].decode(ids, skip_special_tokens=False)
 
 
 @pytest.mark.parametrize("path", PATHS)
@@ -44,7 +44,7 @@ def test_odd_texts(path, text):
 def test_any_text(path, text):
     ids = ids_of(path, text)
     assert encoded(path, text) == ids
-    assert bpe.vocabulary(path).decode(np.array(ids, np.int64)) == LIBRARY[path].decode(ids, skip_special_tokens=False)
+    assert bpe.decoder(path).decode(np.array(ids, np.int64)) == LIBRARY[path].decode(ids, skip_special_tokens=False)
 
 
 def test_pairs_are_verified_and_failing_words_merged():
@@ -64,7 +64,8 @@ def test_pairs_are_verified_and_failing_words_merged():
         assert bad == (mine.tolist() != ids_of(PATHS[0], w))
         right, wrong = right + (not bad), wrong + bool(bad)
     assert right > 300 and wrong > 300
-    assert [m.tolist() for m in vocab.merge(raw)] == [ids_of(PATHS[0], w) for w in words]
+    for way in (vocab.merge, vocab.merge_short):
+        assert [m.tolist() for m in way(raw)] == [ids_of(PATHS[0], w) for w in words]
 
 
 def test_a_word_of_a_megabyte():
