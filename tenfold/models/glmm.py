@@ -23,14 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenfold.models import lmm
+from tenfold.models import glmm_groups, lmm
 from tenfold.models.fitting import RESULT_SCHEMA, Results, _row, fit_rows, result_frame, split_results
 from tenfold.models.moments import centres, design_rows, from_centred
 from tenfold.models.spec import PV, Design, ModelSpec
 from tenfold.operators.joins import lookup_join
 from tenfold.session import local_table, scratch_path, ship_package
 
-MAX_GROUPS = 100_000
+#: Groups whose modes the driver holds; with more, no state per group leaves the tasks (:mod:`glmm_groups`).
+MAX_GROUPS = 20_000
 SUMS_PER_PASS = 40_000_000  # doubles formed per task and pass; more fits go in further waves
 MAX_PASSES = 60
 
@@ -50,9 +51,7 @@ def coded_rows(df: DataFrame, design: Design, shift: dict[str, float]) -> tuple[
         *[F.min(c).cast("double").alias(f"lo{j}") for j, c in enumerate(design.group_level)],
         *[F.max(c).cast("double").alias(f"hi{j}") for j, c in enumerate(design.group_level)],
     )
-    found = sorted(per_group.limit(MAX_GROUPS + 1).collect(), key=lambda r: r["grp"])
-    if len(found) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
+    found = sorted(per_group.collect(), key=lambda r: r["grp"])  # at most MAX_GROUPS, see fit_logistic
     for j, c in enumerate(design.group_level):
         if any(r[f"lo{j}"] != r[f"hi{j}"] for r in found):
             raise ValueError(f"{c} varies within a group")
@@ -62,7 +61,7 @@ def coded_rows(df: DataFrame, design: Design, shift: dict[str, float]) -> tuple[
     ).reshape(len(groups), len(design.group_level))
     level = level - np.array([shift[c] for c in design.group_level])
     index = local_table(spark, list(zip(groups, range(len(groups)))), "__key string, __g int")
-    joined = lookup_join(rows.withColumn("__grp", F.col(design.group).cast("string")), index, "__grp", "__key", how="inner", max_rows=MAX_GROUPS)
+    joined = lookup_join(rows.withColumn("__grp", F.col(design.group).cast("string")), index, "__grp", "__key", how="inner", max_rows=max(MAX_GROUPS, len(groups)))
 
     def code(c, levels):
         out = F.lit(0)
@@ -367,13 +366,26 @@ class LogisticFit:
         return out
 
 
-def fit_logistic(df: DataFrame, design: Design, specs: list[ModelSpec], modes: bool = False, draws: list[int] | None = None) -> Results:
-    """Logistic mixed models of every spec and draw, all advanced by the same passes."""
+def fit_logistic(
+    df: DataFrame, design: Design, specs: list[ModelSpec], modes: bool = False, draws: list[int] | None = None, many_groups: bool | None = None,
+    block_rows: int = glmm_groups.BLOCK_ROWS,
+) -> Results:
+    """Logistic mixed models of every spec and draw, all advanced by the same passes.
+
+    With more groups than the driver should hold, the passes keep no state per
+    group, see :mod:`glmm_groups`.  Both ways give the same results;
+    ``many_groups`` forces one, for tests.
+    """
     spark = df.sparkSession
     ship_package(spark)
     shift = centres(df, design)
-    table, groups, level = coded_rows(df, design, shift)
     draws = draws or list(range(1, len(design.pv) + 1))
+    if many_groups is None:
+        names = design_rows(df, design).select(F.col(design.group).cast("string")).distinct()
+        many_groups = names.limit(MAX_GROUPS + 1).count() > MAX_GROUPS
+    if many_groups:
+        return _fit_over_groups(df, design, specs, modes, draws, shift, block_rows)
+    table, groups, level = coded_rows(df, design, shift)
     fits = [LogisticFit(i, s, pv, design, level, shift) for i, (s, pv) in enumerate((s, pv) for s in specs for pv in draws)]
     present = table.groupBy("g").agg(*[F.count(f"p{pv - 1}").alias(f"n{pv}") for pv in draws]).toPandas().set_index("g")
     width = len(fits[0].pairs) + 2 * len(fits[0].base) + 1
@@ -394,6 +406,20 @@ def fit_logistic(df: DataFrame, design: Design, specs: list[ModelSpec], modes: b
     return split_results(spark.read.parquet(path))
 
 
+def _fit_over_groups(df, design, specs, modes, draws, shift, block_rows) -> Results:
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "fits")
+    blocks = glmm_groups.coded_blocks(df, design, shift, block_rows)
+    try:
+        found = glmm_groups.solve_all(blocks, design, specs, draws)
+        rows = [r for s in found for r in glmm_groups.solution_rows(s, design, shift)]
+        spark.createDataFrame(result_frame(rows), RESULT_SCHEMA).write.parquet(path)
+        for s in found if modes else ():
+            glmm_groups.mode_rows(blocks, design, s, shift).write.mode("append").parquet(path)
+    finally:
+        blocks.drop()
+    return split_results(spark.read.parquet(path))
+
+
 # --------------------------------------------------------------- null model
 
 
