@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,7 @@ class Results:
     fits: DataFrame  # spec, pv, n, groups, deviance, loglik, npar, aic, sigma, iterations, left_out, converged, singular
     modes: DataFrame  # spec, pv, grp, term, condval, condsd
     tests: DataFrame  # spec, pv, term, npar, loglik, aic, lrt, df, p
+    rows: DataFrame  # all of these as they were written
 
 
 def split_results(table: DataFrame) -> Results:
@@ -53,6 +55,7 @@ def split_results(table: DataFrame) -> Results:
         fits,
         part("mode").select("spec", "pv", "grp", "term", c("value").alias("condval"), c("spread").alias("condsd")),
         part("test").select("spec", "pv", "term", "npar", "loglik", "aic", c("value").alias("lrt"), "df", "p"),
+        table,
     )
 
 
@@ -130,9 +133,10 @@ def linear_rows(pdf: pd.DataFrame, design: Design, spec: ModelSpec, tests: bool,
 
 
 def fit_linear(
-    df: DataFrame, design: Design, specs: list[ModelSpec], tests: bool = False, modes: bool = False, many_groups: bool | None = None
+    df: DataFrame, design: Design, specs: list[ModelSpec], tests: bool = False, modes: bool = False, many_groups: bool | None = None,
+    skip: Collection[tuple[str, int]] = (),
 ) -> Results:
-    """Linear mixed models of every spec and draw: one pass for the means, one for the sums around them.
+    """Linear mixed models of every spec and draw, but those (model, draw) in ``skip``: one pass for the means, one for the sums around them.
 
     The Gram rows (groups x draws) are written once.  While the groups of a draw
     fit a task they are dealt out by model and draw, so each fit is a task of its
@@ -151,14 +155,18 @@ def fit_linear(
     if many_groups:
         for s in specs:
             for pv in range(1, len(design.pv) + 1) if design.pv else [0]:
+                if (s.name, pv) in skip:
+                    continue
                 part = fit_over_groups(table.where(F.col("pv") == pv), design, s, pv, shift, tests, modes)
                 part.write.mode("append").parquet(path)
-        return split_results(spark.read.parquet(path))
+        return split_results(spark.read.schema(RESULT_SCHEMA).parquet(path))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return result_frame(linear_rows(pdf, design, by_name[pdf["spec"].iloc[0]], tests, modes, shift))
 
     dealt = table.withColumn("spec", F.explode(F.array(*[F.lit(s.name) for s in specs])))
+    for name, pv in skip:
+        dealt = dealt.where((F.col("spec") != name) | (F.col("pv") != pv))
     fits = max(1, len(specs) * max(1, len(design.pv)))
     # An explicit count keeps adaptive execution from merging the small partitions into one task.
     results = dealt.repartition(fits, "spec", "pv").groupBy("spec", "pv").applyInPandas(solve, RESULT_SCHEMA)

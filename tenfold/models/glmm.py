@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tenfold.models import glmm_groups, lmm
 from tenfold.models.fitting import RESULT_SCHEMA, Results, _row, fit_rows, result_frame, split_results
 from tenfold.models.moments import centres, design_rows, from_centred
+from tenfold.models.runs import RunTable, State, by_nesting, nearest
 from tenfold.models.spec import PV, Design, ModelSpec
 from tenfold.operators.joins import lookup_join
 from tenfold.session import local_table, scratch_path, ship_package
@@ -214,6 +215,12 @@ class LogisticFit:
         k = len(self.base)
         self.pairs = list(combinations_with_replacement(range(k), 2))
 
+    def begin(self, state: State | None) -> None:
+        """Start from a smaller model's end."""
+        if state is not None:
+            self.theta = state.factor(self.zcols)
+            self.beta = np.array([state.beta.get(c, 0.0) for c in self.xcols])
+
     def request(self) -> tuple[np.ndarray, np.ndarray]:
         """Coefficients on the base columns and leverage weights on their pairs, per group."""
         k, j = len(self.base), len(self.level)
@@ -368,10 +375,14 @@ class LogisticFit:
 
 def fit_logistic(
     df: DataFrame, design: Design, specs: list[ModelSpec], modes: bool = False, draws: list[int] | None = None, many_groups: bool | None = None,
-    block_rows: int = glmm_groups.BLOCK_ROWS,
+    block_rows: int = glmm_groups.BLOCK_ROWS, run: RunTable | None = None, study: str = "",
 ) -> Results:
     """Logistic mixed models of every spec and draw, all advanced by the same passes.
 
+    With a run table, fits that it has are not repeated; the others go from small
+    to large random parts, each begins where the nearest smaller one ended, and
+    their rows are appended as each size is done.
+
     With more groups than the driver should hold, the passes keep no state per
     group, see :mod:`glmm_groups`.  Both ways give the same results;
     ``many_groups`` forces one, for tests.
@@ -384,40 +395,74 @@ def fit_logistic(
         names = design_rows(df, design).select(F.col(design.group).cast("string")).distinct()
         many_groups = names.limit(MAX_GROUPS + 1).count() > MAX_GROUPS
     if many_groups:
-        return _fit_over_groups(df, design, specs, modes, draws, shift, block_rows)
+        return _fit_over_groups(df, design, specs, modes, draws, shift, block_rows, run, study)
     table, groups, level = coded_rows(df, design, shift)
-    fits = [LogisticFit(i, s, pv, design, level, shift) for i, (s, pv) in enumerate((s, pv) for s in specs for pv in draws)]
     present = table.groupBy("g").agg(*[F.count(f"p{pv - 1}").alias(f"n{pv}") for pv in draws]).toPandas().set_index("g")
-    width = len(fits[0].pairs) + 2 * len(fits[0].base) + 1
-    wave = max(1, SUMS_PER_PASS // (len(groups) * width))
-    finished: dict[int, LogisticFit] = {}
-    for at in range(0, len(fits), wave):
-        running = {f.id: f for f in fits[at : at + wave]}
-        while running:
-            moved = advance(table, design, running)
-            finished |= {i: f for i, f in moved.items() if f.done}
-            running = {i: f for i, f in moved.items() if not f.done}
-    rows = []
-    for f in (finished[i] for i in sorted(finished)):
-        n = float(present.loc[[g for g in np.flatnonzero(f.seen) if g in present.index], f"n{f.pv}"].sum())
-        rows += f.rows(groups, n, modes)
     path = scratch_path(spark, "fits")
-    spark.createDataFrame(result_frame(rows), RESULT_SCHEMA).write.parquet(path)
-    return split_results(spark.read.parquet(path))
-
 
-def _fit_over_groups(df, design, specs, modes, draws, shift, block_rows) -> Results:
+    def solve(pending: list[tuple[ModelSpec, int]], known: dict) -> tuple[list[tuple], dict]:
+        fits = [LogisticFit(i, s, pv, design, level, shift) for i, (s, pv) in enumerate(pending)]
+        for f in fits:
+            f.begin(nearest(known, f.spec, f.pv, design))
+        width = len(fits[0].pairs) + 2 * len(fits[0].base) + 1
+        wave = max(1, SUMS_PER_PASS // (max(1, len(groups)) * width))
+        finished: dict[int, LogisticFit] = {}
+        for at in range(0, len(fits), wave):
+            running = {f.id: f for f in fits[at : at + wave]}
+            while running:
+                moved = advance(table, design, running)
+                finished |= {i: f for i, f in moved.items() if f.done}
+                running = {i: f for i, f in moved.items() if not f.done}
+        rows, states = [], {}
+        for f in (finished[i] for i in sorted(finished)):
+            n = float(present.loc[[g for g in np.flatnonzero(f.seen) if g in present.index], f"n{f.pv}"].sum())
+            states[f.spec.name, f.pv] = State.of(f.xcols, f.beta, f.zcols, f.lam_raw)
+            rows += f.rows(groups, n, modes)
+        return rows, states
+
+    return _in_order(spark, design, specs, draws, run, study, path, solve)
+
+
+def _in_order(spark, design, specs, draws, run, study, path, solve) -> Results:
+    """All fits at once; with a run table those that are missing, by the size of their random part."""
+    if run is None:
+        rows, _ = solve([(s, pv) for s in specs for pv in draws], {})
+        spark.createDataFrame(result_frame(rows), RESULT_SCHEMA).write.parquet(path)
+        return split_results(spark.read.schema(RESULT_SCHEMA).parquet(path))
+    done, known = run.finished(study), run.states(study)
+    for size in by_nesting(specs, design):
+        pending = [(s, pv) for s in size for pv in draws if (s.name, pv) not in done]
+        if pending:
+            rows, states = solve(pending, known)
+            rows += [r for (name, pv), state in states.items() for r in state.rows(name, pv)]
+            run.append(study, spark.createDataFrame(result_frame(rows), RESULT_SCHEMA))
+            known |= states
+    return run.results(study, specs)
+
+
+def _fit_over_groups(df, design, specs, modes, draws, shift, block_rows, run, study) -> Results:
     spark, path = df.sparkSession, scratch_path(df.sparkSession, "fits")
     blocks = glmm_groups.coded_blocks(df, design, shift, block_rows)
+    mode_path = scratch_path(spark, "modes")
     try:
-        found = glmm_groups.solve_all(blocks, design, specs, draws)
-        rows = [r for s in found for r in glmm_groups.solution_rows(s, design, shift)]
-        spark.createDataFrame(result_frame(rows), RESULT_SCHEMA).write.parquet(path)
-        for s in found if modes else ():
-            glmm_groups.mode_rows(blocks, design, s, shift).write.mode("append").parquet(path)
+
+        def solve(pending, known):
+            def start(spec, pv):
+                state = nearest(known, spec, pv, design)
+                return None if state is None else (state.factor(spec.random_columns(design)), state.beta)
+
+            found = glmm_groups.solve_all(blocks, design, pending, start)
+            for s in found if modes else ():
+                glmm_groups.mode_rows(blocks, design, s, shift).write.mode("append").parquet(mode_path)
+            states = {(s.spec.name, s.model.pv): State.of(s.xcols, s.point.beta, s.zcols, s.point.lam) for s in found}
+            return [r for s in found for r in glmm_groups.solution_rows(s, design, shift)], states
+
+        out = _in_order(spark, design, specs, draws, run, study, path, solve)
+        if modes:
+            out = split_results(out.rows.unionByName(spark.read.schema(RESULT_SCHEMA).parquet(mode_path)))
+        return out
     finally:
         blocks.drop()
-    return split_results(spark.read.parquet(path))
 
 
 # --------------------------------------------------------------- null model

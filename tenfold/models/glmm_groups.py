@@ -470,22 +470,21 @@ class Fit:
         return Solution(self.model, self.spec, self.xcols, self.zcols, held["point"], held["sums"], self.passes, bool(ok), spread)
 
 
-def models_of(design: Design, specs: list[ModelSpec], draws: list[int]) -> list[tuple[Model, ModelSpec]]:
+def models_of(design: Design, pending: list[tuple[ModelSpec, int]]) -> list[tuple[Model, ModelSpec]]:
     names = [*design.row_columns(), PV, *design.group_level]
     out = []
-    for spec in specs:
-        for pv in draws:
-            x, z = ([names.index(c) for c in cols] for cols in (spec.fixed_columns(design), spec.random_columns(design)))
-            out.append((Model(len(out), pv, x, z, [names.index(c) for c in spec.group_level(design)]), spec))
+    for spec, pv in pending:
+        x, z = ([names.index(c) for c in cols] for cols in (spec.fixed_columns(design), spec.random_columns(design)))
+        out.append((Model(len(out), pv, x, z, [names.index(c) for c in spec.group_level(design)]), spec))
     return out
 
 
 def solve_all(
-    blocks: Blocks, design: Design, specs: list[ModelSpec], draws: list[int], start: Callable[[ModelSpec, int], tuple | None] = lambda s, d: None
+    blocks: Blocks, design: Design, pending: list[tuple[ModelSpec, int]], start: Callable[[ModelSpec, int], tuple | None] = lambda s, d: None
 ) -> list[Solution]:
-    """Every spec and draw; ``start`` may give a factor and fixed effects by name to begin with."""
+    """The given models and draws; ``start`` may give a factor and fixed effects by name to begin with."""
     together = Together(lambda asked: pass_over(blocks, design, asked))
-    fits = {m.fit: Fit(m, s, design, len(blocks.hot), together.ask, start(s, m.pv)) for m, s in models_of(design, specs, draws)}
+    fits = {m.fit: Fit(m, s, design, len(blocks.hot), together.ask, start(s, m.pv)) for m, s in models_of(design, pending)}
     done = together.all({k: f.solve for k, f in fits.items()})
     return [done[k] for k in sorted(done)]
 

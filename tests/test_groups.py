@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tenfold.models import glmm_groups
 from tenfold.models.glmm import fit_logistic
+from tenfold.models.runs import RunTable, State, nearest
 from tenfold.models.spec import Design, ModelSpec
 from tests.test_models import DESIGN, FIXED, SCHEMA, laplace, sample
 
@@ -103,3 +104,42 @@ def test_laplace_of_small_groups(spark):
     assert r.fits.first()["deviance"] == pytest.approx(best[0], abs=1e-6)
     for step in (0.02, -0.02):
         assert laplace(x, x[:, :1], g, y, np.array([[sd + step]]))[0] > best[0] - 1e-9
+
+
+NESTED = [ModelSpec("one", FIXED), ModelSpec("one_ref", FIXED[:-1]), ModelSpec("two", FIXED, ("PV",)), ModelSpec("three", FIXED, ("PV", "sex"))]
+
+
+@pytest.mark.parametrize("many_groups", [False, True])
+def test_a_lost_driver_goes_on_where_it_stopped(spark, data, many_groups, monkeypatch):
+    df, _ = data
+    want = fit_logistic(df, DESIGN, NESTED, many_groups=many_groups)
+    run = RunTable(spark)
+    append, calls = RunTable.append, []
+
+    def lost(self, study, table):
+        if len(calls) == 1:
+            raise KeyboardInterrupt  # after the first size
+        calls.append(study)
+        append(self, study, table)
+
+    monkeypatch.setattr(RunTable, "append", lost)
+    with pytest.raises(KeyboardInterrupt):
+        fit_logistic(df, DESIGN, NESTED, many_groups=many_groups, run=run, study="s")
+    monkeypatch.setattr(RunTable, "append", append)
+    assert run.finished("s") == {(n, pv) for n in ("one", "one_ref") for pv in (1, 2)} and run.finished("other") == set()
+    before = run.rows().where("spec = 'one'").count()
+    got = fit_logistic(df, DESIGN, NESTED, many_groups=many_groups, run=RunTable(spark, run.path), study="s")
+    assert run.rows().where("spec = 'one'").count() == before  # not fitted again
+    one = ("spec", "pv")
+    same(keyed(want.fits, one, ["n", "groups", "npar"]), keyed(got.fits, one, ["n", "groups", "npar"]), 0)
+    same(keyed(want.fits, one, ["deviance"]), keyed(got.fits, one, ["deviance"]), 1e-8)
+    same(keyed(want.fixed, (*one, "term"), ["est", "se"]), keyed(got.fixed, (*one, "term"), ["est", "se"]), 5e-4)
+    parts = (*one, "grp", "term", "term2")
+    same(keyed(want.random, parts, ["vcov"]), keyed(got.random, parts, ["vcov"]), 3e-3)
+
+
+def test_nearest_is_the_largest_nested_model():
+    state = {("a", 1): State({"(Intercept)": 1.0}, {("(Intercept)", "(Intercept)"): 0.5}), ("b", 1): State({"(Intercept)": 1.0, "PV": 2.0}, {("(Intercept)", "(Intercept)"): 0.7, ("PV", "(Intercept)"): 0.1, ("PV", "PV"): 0.2})}
+    assert nearest(state, NESTED[3], 1, DESIGN) is state["b", 1] and nearest(state, NESTED[0], 1, DESIGN) is state["a", 1]
+    assert nearest(state, NESTED[3], 2, DESIGN) is None
+    assert state["b", 1].factor(["(Intercept)", "PV", "sexM"]).tolist() == [0.7, 0.1, 0.2, 0.0, 0.0, 0.3]
