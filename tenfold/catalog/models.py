@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tenfold.catalog import base as b
+from tenfold.catalog import tails_sql
 from tenfold.catalog.base import query, rounded
 from tenfold.functions import tails
 from tenfold.functions.recode import significance
@@ -17,7 +18,6 @@ from tenfold.models.moments import cell_draws, cells, gram_sums
 from tenfold.models.ols import ols_tables
 from tenfold.models.spec import Design, ModelSpec
 from tenfold.operators.filters import complete_cases
-from tenfold.session import ship_package
 from tenfold.plans import binding as bind
 from tenfold.plans import jobs
 from tenfold.plans import studies as st
@@ -184,10 +184,34 @@ def md_02_year(spark, sf_dir):
     )
 
 
-@query("md_03_confidence_interval")
+# Both equations with their variances, then the t quantile by bisection on the two-sided tail.
+_EQUATIONS = (
+    _OLS3
+    + """, two AS (SELECT *, s11*s22-s12*s12 AS det2, (t1*s22-t2*s12)/(s11*s22-s12*s12) AS q1, (t2*s11-t1*s12)/(s11*s22-s12*s12) AS q2 FROM h),
+    two2 AS (SELECT *, (tss-q1*t1-q2*t2)/(n-3) AS v2 FROM two),
+    eq AS MATERIALIZED (
+      SELECT 'quadratic' AS spec, '(Intercept)' AS term, b0 AS est, s2*v0 AS var, n-4 AS df FROM h UNION ALL
+      SELECT 'quadratic', 'Schooling', b1, s2*c11/det, n-4 FROM h UNION ALL SELECT 'quadratic', 'Experience', b2, s2*c22/det, n-4 FROM h UNION ALL
+      SELECT 'quadratic', 'I(Experience^2)', b3, s2*c33/det, n-4 FROM h UNION ALL
+      SELECT 'linear', '(Intercept)', ay-q1*a1-q2*a2, v2*((s22*a1*a1+s11*a2*a2-2*s12*a1*a2)/det2+1/n), n-3 FROM two2 UNION ALL
+      SELECT 'linear', 'Schooling', q1, v2*s22/det2, n-3 FROM two2 UNION ALL SELECT 'linear', 'Experience', q2, v2*s11/det2, n-3 FROM two2),
+    tq(df, lo, hi, it) AS (SELECT DISTINCT df, 0e0, 16e0, 0 FROM eq UNION ALL
+      SELECT df, CASE WHEN p > 0.05e0 THEN mid ELSE lo END, CASE WHEN p > 0.05e0 THEN hi ELSE mid END, it + 1 FROM (
+        SELECT df, lo, hi, mid, it, """
+    + tails_sql.t_p("mid", "df")
+    + """ AS p FROM (SELECT df, lo, hi, (lo+hi)/2 AS mid, it FROM tq WHERE it < 60)))"""
+)
+
+
+@query(
+    "md_03_confidence_interval",
+    _EQUATIONS + " SELECT spec, term, round(est-q*sqrt(var), 7) AS low, round(est+q*sqrt(var), 7) AS high, round("
+    + tails_sql.t_p("t", "df") + ", 8) AS p FROM (SELECT eq.*, est/sqrt(var) AS t, (lo+hi)/2 AS q FROM eq JOIN tq ON tq.df = eq.df AND it = 60)",
+    ("study",),
+)
 def md_03_interval(spark, sf_dir):
     coef, _, _ = st.earnings_equations(b.study(spark, sf_dir))
-    return coef.select("spec", "term", "low", "high", "p")
+    return coef.select("spec", "term", F.round("low", 7).alias("low"), F.round("high", 7).alias("high"), F.round("p", 8).alias("p"))
 
 
 @query(
@@ -205,10 +229,15 @@ def md_04(spark, sf_dir):
     )
 
 
-@query("md_04_nested_f_p")
+@query(
+    "md_04_nested_f_p",
+    _EQUATIONS + " SELECT df_large + 1 AS df_small, df_large, 1e0 AS df, round(f, 5) AS f, round("
+    + tails_sql.f_p("f", "1e0", "df_large") + ", 8) AS p FROM (SELECT n-4 AS df_large, (tss-q1*t1-q2*t2-rss)/s2 AS f FROM two)",
+    ("study",),
+)
 def md_04_p(spark, sf_dir):
     _, _, test = st.earnings_equations(b.study(spark, sf_dir))
-    return test
+    return test.select("df_small", "df_large", F.col("df").cast("double").alias("df"), F.round("f", 5).alias("f"), F.round("p", 8).alias("p"))
 
 
 _SLOPES = (
@@ -254,10 +283,31 @@ def md_13(spark, sf_dir):
     )
 
 
-@query("md_13_pooled_report")
+# The report string of the rounded estimate, its spread and the marks of the rounded p.
+_NUMBER = "CASE WHEN {0} IN ('-0', '') THEN '0' ELSE {0} END"
+_REPORT = (
+    "round(theta, 6) AS theta, round(se_new, 6) AS se_new, p_value, "
+    + tails_sql.stars("p_value") + " AS p_sign, " + _NUMBER.format(_TEXT.format("theta")) + " || ' (' || " + _NUMBER.format(_TEXT.format("se_new"))
+    + " || ')' || " + tails_sql.stars("p_value") + " AS reported"
+)
+
+
+def _reported(pooled, stat: str, digits: int):
+    return pooled.select(
+        "term", F.round("theta", 6).alias("theta"), F.round("se_new", 6).alias("se_new"), "p_value", "p_sign", "reported",
+        F.round(stat, digits).alias(stat), *(["df"] if "df" in pooled.columns else []),
+    )
+
+
+@query(
+    "md_13_pooled_report",
+    recursive(_SLOPES) + f" SELECT term, {_REPORT}, round(z_value, 5) AS z_value FROM (SELECT *, round(" + tails_sql.normal_p("z_value")
+    + f", 5) AS p_value FROM (SELECT term, theta, sqrt(v) AS se_new, theta/sqrt(v) AS z_value FROM ({_RUBIN})))",
+    ("study",),
+)
 def md_13_report(spark, sf_dir):
     coef, _ = _score_tables(spark, sf_dir)
-    return pool.pool_fixed(coef.select("spec", "pv", "term", "est", "se"), "z")
+    return _reported(pool.pool_fixed(coef.select("spec", "pv", "term", "est", "se"), "z"), "z_value", 5)
 
 
 @query(
@@ -390,14 +440,42 @@ def md_14(spark, sf_dir):
     )
 
 
-@query("md_14_pooled_report")
+# Approximate degrees of freedom: derivatives of the variances and of the deviance by the
+# factor (the root of the ratio) and by the residual deviation, in closed form.
+_DF = (
+    _BISECT
+    + """, ds AS (SELECT pv, sum(w1*n*n) AS k11, sum(w1*n*sx) AS k12, sum(w1*sx*sx) AS k22, sum(w1*n*e) AS q1, sum(w1*sx*e) AS q2,
+      sum(w1*e*e) AS r1, sum(w2*e*e) AS r2, sum(l2) AS l2 FROM (
+        SELECT gs.pv, n, sx, sy-b0*n-b1*sx AS e, 2*sqrt(lam)/(1+lam*n)**2 AS w1, 2/(1+lam*n)**2-8*lam*n/(1+lam*n)**3 AS w2,
+          2*n/(1+lam*n)-4*lam*n*n/(1+lam*n)**2 AS l2 FROM gs JOIN opt USING (pv)) GROUP BY pv),
+    dh AS (SELECT o.pv, a22/det AS i11, -a12/det AS i12, a11/det AS i22, s2, sqrt(s2) AS sg, nn, k11, k12, k22, q1, q2, d.r1 AS r1, d.r2 AS r2, l2
+      FROM opt o JOIN ds d ON d.pv = o.pv),
+    dv AS (SELECT *, l2+(-r2-2*(i11*q1*q1+2*i12*q1*q2+i22*q2*q2))/s2 AS g11, 2*r1/(s2*sg) AS g12, 4*nn/s2 AS g22,
+      s2*(i11*i11*k11+2*i11*i12*k12+i12*i12*k22) AS j1, s2*(i12*i12*k11+2*i12*i22*k12+i22*i22*k22) AS j2 FROM dh),
+    df AS MATERIALIZED (SELECT pv, '(Intercept)' AS term, 2*(s2*i11)**2 / (2*(g22*j1*j1-2*g12*j1*(2*sg*i11)+g11*(2*sg*i11)**2)/(g11*g22-g12*g12)) AS df FROM dv
+      UNION ALL SELECT pv, 'PV', 2*(s2*i22)**2 / (2*(g22*j2*j2-2*g12*j2*(2*sg*i22)+g11*(2*sg*i22)**2)/(g11*g22-g12*g12)) FROM dv)"""
+)
+
+
+@query(
+    "md_14_pooled_report",
+    recursive(_DF) + f" SELECT term, {_REPORT}, round(t_value, 4) AS t_value, df FROM (SELECT *, round(" + tails_sql.t_p("t_value", "df")
+    + ", 5) AS p_value FROM (SELECT term, theta, sqrt(v) AS se_new, theta/sqrt(v) AS t_value, df FROM "
+    f"({_RUBIN}) JOIN (SELECT term, round_even(avg(df), 0) AS df FROM df GROUP BY term) USING (term)))",
+    ("study",),
+)
 def md_14_report(spark, sf_dir):
-    return pool.pool_fixed(_intercept_models(spark, sf_dir).fixed, "t")
+    return _reported(pool.pool_fixed(_intercept_models(spark, sf_dir).fixed, "t"), "t_value", 4)
 
 
-@query("md_08_approximate_df")
+@query(
+    "md_08_approximate_df",
+    recursive(_DF) + " SELECT pv, term, round(est, 6) AS est, round(se, 6) AS se, round(df, 1) AS df FROM est JOIN df USING (pv, term)",
+    ("study",),
+)
 def md_08(spark, sf_dir):
-    return _intercept_models(spark, sf_dir).fixed
+    r = _intercept_models(spark, sf_dir).fixed
+    return rounded(r.select("pv", "term", "est", "se", F.round("df", 1).alias("df")), 6)
 
 
 @query(
@@ -652,17 +730,32 @@ def md_21_logistic(spark, sf_dir):
 
 
 def _tail_inputs(spark, sf_dir):
-    ship_package(spark)
     return b.clean(spark, sf_dir).groupBy("Country").agg(
         (F.avg("PVLIT1") / 100).alias("t"), F.count(F.lit(1)).cast("double").alias("df")
     )
 
 
-@query("sc_11_normal_tail")
+_TAIL_SQL = "(SELECT Country, avg(PVLIT1) / 100 AS t, count(*)::DOUBLE AS df FROM clean GROUP BY Country)"
+
+
+@query("sc_11_normal_tail", f"SELECT Country, round(t, 8) AS t, round({tails_sql.normal_p('t')}, 9) AS p FROM {_TAIL_SQL}", ("clean",))
 def sc_11(spark, sf_dir):
-    return _tail_inputs(spark, sf_dir).select("Country", "t", tails.normal_p("t").alias("p"))
+    return _tail_inputs(spark, sf_dir).select("Country", F.round("t", 8).alias("t"), F.round(tails.normal_p("t"), 9).alias("p"))
 
 
-@query("sc_12_student_tail")
+@query("sc_12_student_tail", f"SELECT Country, round(t, 8) AS t, df, round({tails_sql.t_p('t', 'df')}, 9) AS p FROM {_TAIL_SQL}", ("clean",))
 def sc_12(spark, sf_dir):
-    return _tail_inputs(spark, sf_dir).select("Country", "t", "df", tails.t_p("t", "df").alias("p"))
+    return _tail_inputs(spark, sf_dir).select("Country", F.round("t", 8).alias("t"), "df", F.round(tails.t_p("t", "df"), 9).alias("p"))
+
+
+@query(
+    "sc_12_small_df_tail",
+    "SELECT Country, df, round(f, 6) AS f, round(" + tails_sql.t_p("t", "df") + ", 9) AS p_t, round(" + tails_sql.f_p("f", "3e0", "df")
+    + ", 9) AS p_f, round(" + tails_sql.chi2_p("f", "df") + ", 9) AS p_chi2 FROM (SELECT Country, t, t * t AS f, 1 + df % 9 AS df FROM " + _TAIL_SQL + ")",
+    ("clean",),
+)
+def sc_12_small(spark, sf_dir):
+    """Few degrees of freedom, and the tails of the other two distributions."""
+    x = _tail_inputs(spark, sf_dir).select("Country", "t", (F.col("t") * F.col("t")).alias("f"), (1 + F.col("df") % 9).alias("df"))
+    nine = [F.round(p, 9).alias(n) for n, p in (("p_t", tails.t_p("t", "df")), ("p_f", tails.f_p("f", F.lit(3.0), "df")), ("p_chi2", tails.chi2_p("f", "df")))]
+    return x.select("Country", "df", F.round("f", 6).alias("f"), *nine)

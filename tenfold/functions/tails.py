@@ -1,16 +1,15 @@
 """Tail probabilities of the normal, t, F and chi-square distributions.
 
-Continued-fraction forms of the incomplete beta and gamma functions, applied
-to pooled result frames of a few hundred rows; wrapped as pandas UDFs.
+Continued-fraction forms of the incomplete beta and gamma functions: plain
+functions for the tasks that solve models, column expressions for result frames.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
 
@@ -110,31 +109,97 @@ def t_quantile(p: float, df: float) -> float:
     return 0.5 * (lo + hi)
 
 
-def _each(fn, *series: pd.Series) -> pd.Series:
-    values = []
-    for args in zip(*series):
-        missing = any(v is None or (isinstance(v, float) and math.isnan(v)) for v in args)
-        values.append(None if missing else fn(*(float(v) for v in args)))
-    return pd.Series(values, dtype="float64")
+# ------------------------------------------------------------ as columns
+#
+# The same functions as expressions.  Fractions and series have a length that is
+# known beforehand and are summed from their far end, which needs one number at a
+# time: a fold over a sequence.
 
 
-@F.pandas_udf(DoubleType())
-def normal_p(z: pd.Series) -> pd.Series:
-    return _each(normal_two_sided, z)
+def _column(x: Column | str | float) -> Column:
+    return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(float(x))
 
 
-@F.pandas_udf(DoubleType())
-def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
+def _fold(steps: Column, start: Column, step) -> Column:
+    """``step(value, k)`` for k = steps, ..., 1."""
+    return F.aggregate(F.sequence(steps, F.lit(1), F.lit(-1)), start, lambda acc, k: step(acc, k.cast("double")))
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function of numbers not below zero."""
+    x2 = x * x
+    series = x * _fold(F.lit(80), F.lit(1.0), lambda acc, k: 1 + 2 * x2 / (2 * k + 1) * acc)
+    fraction = _fold(F.lit(120), x, lambda acc, k: x + k / 2 / acc)
+    near = 1 - 2 / math.sqrt(math.pi) * F.exp(-x2) * series
+    return F.when(x.isNull(), F.lit(None)).when(x < 2, near).otherwise(F.exp(-x2) / math.sqrt(math.pi) / fraction)
+
+
+def _stirling_rest(z: Column) -> Column:
+    return 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+
+
+_LIFT = 16  # where the asymptotic series is exact to rounding
+
+
+def log_gamma(z: Column) -> Column:
+    far, product = z + _LIFT, z
+    for i in range(1, _LIFT):
+        product = product * (z + i)
+    return (far - 0.5) * F.log(far) - far + 0.5 * math.log(2 * math.pi) + _stirling_rest(far) - F.log(product)
+
+
+def log_beta(a: Column, b: Column) -> Column:
+    """By differences in the larger argument, which keep their digits however large it is."""
+    a, b = F.greatest(a, b), F.least(a, b)
+    far = a + _LIFT
+    grown = (far - 0.5) * F.log1p(b / far) + b * F.log(far + b) - b + _stirling_rest(far + b) - _stirling_rest(far)
+    for i in range(_LIFT):
+        grown = grown - F.log1p(b / (a + i))
+    return log_gamma(b) - grown
+
+
+def _beta_fraction(a: Column, b: Column, x: Column, front: Column) -> Column:
+    def step(acc, k):
+        m = F.floor(k / 2)
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        return 1 + F.when(k % 2 == 1, odd).otherwise(even) / acc
+
+    steps = (300 + 8 * F.sqrt(a + b)).cast("int")
+    return F.exp(front) / a / _fold(steps, F.lit(1.0), step)
+
+
+def beta_tail(a: Column, b: Column, x: Column, rest: Column) -> Column:
+    """Regularised incomplete beta function; ``rest`` is 1 - x, given apart so that it keeps its digits."""
+    front = a * F.log(x) + b * F.log(rest) - log_beta(a, b)
+    low, high = _beta_fraction(a, b, x, front), 1 - _beta_fraction(b, a, rest, front)
+    known = F.when(x <= 0, F.lit(0.0)).when(rest <= 0, F.lit(1.0))
+    return F.when((a + b + x).isNull(), F.lit(None)).otherwise(known.when(x <= (a + 1) / (a + b + 2), low).otherwise(high))
+
+
+def normal_p(z: Column | str) -> Column:
+    """Two-sided normal p."""
+    return erfc(F.abs(_column(z)) / math.sqrt(2))
+
+
+def t_p(t: Column | str, df: Column | str) -> Column:
     """Two-sided Student p; the normal tail where df is missing."""
-    with_df = _each(t_two_sided, t, df)
-    return with_df.fillna(_each(normal_two_sided, t))
+    t, df = _column(t), _column(df).cast("double")
+    all_ = df + t * t
+    return F.when(df.isNull() | F.isnan(df), normal_p(t)).otherwise(beta_tail(df / 2, F.lit(0.5), df / all_, t * t / all_))
 
 
-@F.pandas_udf(DoubleType())
-def f_p(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    return _each(f_upper, f, df1, df2)
+def f_p(f: Column | str, df1: Column | str, df2: Column | str) -> Column:
+    """Upper tail of the F distribution."""
+    f, df1, df2 = _column(f), _column(df1).cast("double"), _column(df2).cast("double")
+    all_ = df2 + df1 * f
+    return F.when(f <= 0, F.lit(1.0)).otherwise(beta_tail(df2 / 2, df1 / 2, df2 / all_, df1 * f / all_))
 
 
-@F.pandas_udf(DoubleType())
-def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
-    return _each(chi2_upper, x, df)
+def chi2_p(x: Column | str, df: Column | str) -> Column:
+    """Upper tail of the chi-square distribution."""
+    a, x = _column(df).cast("double") / 2, _column(x) / 2
+    front = a * F.log(x) - x - log_gamma(a)
+    series = 1 - F.exp(front) / a * _fold(F.lit(200), F.lit(1.0), lambda acc, k: 1 + x / (a + k) * acc)
+    fraction = _fold(F.lit(300), x + 601 - a, lambda acc, k: x + 2 * k - 1 - a - k * (k - a) / acc)
+    return F.when(x <= 0, F.lit(1.0)).when(x < a + 1, series).otherwise(F.exp(front) / fraction)

@@ -94,4 +94,4 @@ def nested_f(fits: DataFrame, small: str, large: str) -> DataFrame:
         "pv", "df_small", "rss_small", "df_large", "rss_large", df.alias("df"), same.alias("sum_sq"),
         ((same / df) / (F.col("rss_large") / F.col("df_large"))).alias("f"),
     )
-    return out.withColumn("p", f_p("f", F.col("df").cast("double"), "df_large"))
+    return out.withColumn("p", f_p("f", F.col("df"), "df_large"))
