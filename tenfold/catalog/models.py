@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from tenfold.catalog import base as b
@@ -647,13 +645,7 @@ def md_19_trial(spark, sf_dir):
 
 @query("md_07_other_draw_in_random_part")
 def md_07_other(spark, sf_dir):
-    # Fixed part with each draw in turn, random slope on the seventh draw.
-    df = st.earnings_frame(b.study(spark, sf_dir))
-    base = st.study_design(df, "LogEarnings", "psm")
-    design = replace(base, continuous=(*base.continuous, "PVPSL7_s"))
-    full = st.PERSON_TERMS + tuple(jobs.COUNTRY_COVARIATES)
-    r = fit_linear(df, design, [ModelSpec("trial", full, ("PVPSL7_s", "Gender"))], tests=True)
-    return r.tests
+    return st.other_draw_model(b.study(spark, sf_dir)).tests
 
 
 @query("md_20_deletion_tests")
@@ -664,15 +656,12 @@ def md_20_full(spark, sf_dir):
 
 @query("job_10_earnings_models")
 def job_10(spark, sf_dir):
-    r = st.earnings_models(b.study(spark, sf_dir), "psm")
-    return pool.pool_fixed(r.fixed, "t")
+    return st.earnings_study(b.study(spark, sf_dir))
 
 
 @query("job_11_effect_frames")
 def job_11(spark, sf_dir):
-    spec = [s for s in st.linear_specs("lnm") if s.name == "lnm6_ref"]
-    r = st.earnings_models(b.study(spark, sf_dir), "lnm", spec, modes=True)
-    return pool.caterpillar_frame(r.modes.where("pv = 1"), st.MODE_LABELS["lnm"])
+    return st.effect_frames(b.clean(spark, sf_dir), b.study(spark, sf_dir))
 
 
 # ----------------------------------------------------------- logistic models
@@ -714,9 +703,7 @@ def md_18_logistic(spark, sf_dir):
 
 @query("job_09_employment_models")
 def job_09(spark, sf_dir):
-    specs = [s for s in st.logistic_specs("psm") if s.name in ("psm1", "psm5", "psm5_ref")]
-    r = st.employment_models(b.clean(spark, sf_dir), "psm", specs)
-    return pool.interval_frame(pool.pool_fixed(r.fixed, "z"), st.term_labels(spark, "psm"))
+    return st.employment_study(b.clean(spark, sf_dir))
 
 
 @query("md_21_logistic_modes")

@@ -165,9 +165,10 @@ def fit_linear(
         return result_frame(linear_rows(pdf, design, by_name[pdf["spec"].iloc[0]], tests, modes, shift))
 
     dealt = table.withColumn("spec", F.explode(F.array(*[F.lit(s.name) for s in specs])))
-    for name, pv in skip:
-        dealt = dealt.where((F.col("spec") != name) | (F.col("pv") != pv))
-    fits = max(1, len(specs) * max(1, len(design.pv)))
+    if skip:
+        left_out = F.array(*[F.lit(f"{pv} {name}") for name, pv in sorted(skip)])
+        dealt = dealt.where(~F.array_contains(left_out, F.concat_ws(" ", "pv", "spec")))
+    fits = max(1, len(specs) * max(1, len(design.pv)) - len(skip))
     # An explicit count keeps adaptive execution from merging the small partitions into one task.
     results = dealt.repartition(fits, "spec", "pv").groupBy("spec", "pv").applyInPandas(solve, RESULT_SCHEMA)
     results.write.parquet(path)
