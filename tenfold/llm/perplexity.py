@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
-from tenfold.llm import common
+from tenfold.llm import common, tokens
 
 ORDER = 4
 #: A code point is kept in two parts, these low bits in ``gram`` and the others in ``high``.
@@ -187,12 +187,12 @@ def _to_keys(batches):
         known = dict(zip(set(langs), language_codes(list(set(langs))), strict=True))
         codes = np.array([known[x] for x in langs], np.uint64)
         ids, high = (batch.column(c).to_numpy().view(np.uint64) for c in ("gram", "high"))
-        yield pa.RecordBatch.from_arrays([pa.array(common.signed(keys_of(codes, ids, high))), batch.column("logp").cast(pa.float32())], ["key", "logp"])
+        yield pa.RecordBatch.from_arrays([pa.array(common.signed(keys_of(codes, ids, high))), batch.column("logp")], ["key", "logp"])
 
 
 def sorted_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all n-grams in ascending order and their log probabilities."""
-    table = common.map_arrow(model, _to_keys, "key long, logp float").toArrow()  # at most MAX_SHARED rows
+    table = common.map_arrow(model, _to_keys, "key long, logp double").toArrow()  # at most MAX_SHARED rows
     key, logp = table.column("key").to_numpy().view(np.uint64), table.column("logp").to_numpy()
     order = np.argsort(key)
     return key[order], logp[order]
@@ -217,7 +217,7 @@ def lookup(shared: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> np.ndar
         late = late[keys[place[late]] < wanted[late]]
     if not np.array_equal(keys[place], wanted):
         raise KeyError("an n-gram of the texts is not in the model")
-    return logp[place].astype(np.float64)
+    return logp[place]
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -245,6 +245,14 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 def _score(batches, shared: Broadcast | None, order: int):
     """Counts and entropy of each text; without a shared model its n-grams instead of the entropy."""
+    tokens.forget()
+    try:
+        yield from _scored(batches, shared, order)
+    finally:
+        _INDEX.clear()  # workers outlive the task
+
+
+def _scored(batches, shared: Broadcast | None, order: int):
     for batch in common.blocks(batches, "_text"):
         texts, langs = batch.column("_text").to_pylist(), batch.column("_lang").to_pylist()
         ids, high, owner = whole_grams(texts, order)
@@ -308,6 +316,8 @@ def judge(docs: DataFrame, carry: Sequence[str], order: int = ORDER, reach: floa
     schema = StructType([*rows.schema.fields[:-1], *[StructField(c, LongType()) for c in COUNTS], StructField("base_failed", BooleanType()), last])
     scored = common.map_arrow(rows, partial(_score, shared=shared, order=order), schema)
     scored = common.written(scored if shared else scored.withColumn("_doc", F.monotonically_increasing_id()), "scored")
+    if shared:
+        shared.destroy()  # the scored rows are a table now
     if not shared:
         every = scored.select("_doc", F.col("_lang").alias("lang"), F.inline("_grams").alias("gram", "high", "times"))
         summed = every.join(model.drop("n"), ["lang", "gram", "high"]).groupBy("_doc").agg(F.sum(F.col("times") * F.col("logp")).alias("_sum"))

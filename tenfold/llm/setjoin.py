@@ -12,9 +12,10 @@ class.  The join runs in four steps.
    partner has one of them); large sets enter the inverted lists of their rarest
    shingles.  Sets near the boundary do both.  The boundary is the one of least cost.
 3. Links.  In rounds, each set is compared with one partner of another group, the
-   one it shares most keys with, which joins most of each group.  Then only sets of
-   groups still different that share a key are compared, so a large group does not
-   meet itself pair by pair.
+   one it shares most keys with or any that leads one of its keys, which joins most
+   of each group.  Then only sets of groups still different that share a key are
+   compared, by outlines first, which rule out a pair only if it is not similar; so a
+   large group does not meet itself pair by pair.
 4. Groups are the connected components; every link between different groups has
    been tested exactly on whole sets.
 
@@ -49,6 +50,10 @@ RANGE_ROWS = 1_000_000
 BROADCAST_IDS = 1_000_000
 #: Sets that share a key, looked at together with as many others.
 MEMBERS = 1024
+#: Bits of a set's outline.
+BITS = 2048
+#: Sets that lead a key in a round of stars.
+LEADS = 3
 _NOWHERE = 0xFFFF
 
 
@@ -274,20 +279,45 @@ def _may_link(n, left, m, left2, least, percent):
     return sized & (percent * (n + m) <= (100 + percent) * least(left, left2))
 
 
+def _outlines(batches):
+    """BITS bits of each set: a bit is set if a shingle falls on it."""
+    for batch in batches:
+        out = []
+        for s in batch.column("shingles"):
+            bits = np.zeros(BITS, np.uint8)
+            bits[common.mix64(s.values.to_numpy().view(np.uint64)) % np.uint64(BITS)] = 1
+            out.append(np.packbits(bits).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(out, pa.binary())], ["class", "bits"])
+
+
+def _alike(x, y, i, j, percent: int) -> np.ndarray:
+    """Which of the pairs may be similar by their outlines: each bit that only one set has is a shingle that only one set has."""
+    out = np.zeros(len(i), bool)
+    for lo in range(0, len(i), 1 << 16):
+        a, b = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+        apart = np.bitwise_count(x["bits"][a] ^ y["bits"][b]).sum(1, dtype=np.int64)
+        out[lo : lo + len(a)] = apart * (100 + percent) <= (100 - percent) * (x["n"][a] + y["n"][b])
+    return out
+
+
 def _across(batches, percent: int):
     """Pairs of sets of different groups that share a key and may be similar."""
     for batch in batches:
         a, b = [], []
         for row in zip(*[batch.column(c) for c in ("part", "part2", "m", "m2")], strict=True):
             x, y = ({k: row[i].values.field(k).to_numpy() for k in ("class", "n", "left", "root")} for i in (2, 3))
+            for i, held in ((2, x), (3, y)):
+                held["bits"] = np.frombuffer(b"".join(row[i].values.field("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
             may = _may_link(x["n"][:, None], x["left"][:, None], y["n"], y["left"], np.minimum, percent) & (x["root"][:, None] != y["root"])
             if row[0].as_py() == row[1].as_py():
                 may &= x["class"][:, None] < y["class"]
             i, j = np.nonzero(may)
-            a.append(x["class"][i])
-            b.append(y["class"][j])
+            keep = _alike(x, y, i, j, percent)
+            a.append(x["class"][i[keep]])
+            b.append(y["class"][j[keep]])
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
 def _named(keyed: DataFrame, near: DataFrame) -> DataFrame:
@@ -298,38 +328,48 @@ def _named(keyed: DataFrame, near: DataFrame) -> DataFrame:
     return common.written(named.join(mixed, "key"), "mixed-keys")
 
 
-def _stars(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of each set to one partner of another group: of those that lead a key, the one it shares most keys with."""
-    lead = F.struct("root", "class", "n", "left")
-    ends = named.groupBy("key").agg(F.min(lead).alias("low"), F.max(lead).alias("high"))
-    both = named.join(ends, "key").withColumn("to", F.when(F.col("low.root") != F.col("root"), F.col("low")).otherwise(F.col("high")))
-    may = _may_link(F.col("n"), F.col("left"), F.col("to.n"), F.col("to.left"), F.least, percent)
+def _stars(named: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Links of each set to one partner of another group that leads one of its keys: at first the one it shares most keys with, then any.
+
+    The leads of a key are drawn anew each turn.  Sets that are linked to
+    many others soon draw one of these, whichever sets their keys hold besides.
+    """
+    draws = [F.min(F.struct(F.xxhash64("class", "key", F.lit(LEADS * turn + j)).alias("draw"), "root", "class", "n", "left")) for j in range(LEADS)]
+    ends = named.groupBy("key").agg(F.array(*draws).alias("leads"))
+    both = named.join(ends, "key").select("class", "root", "n", "left", F.explode(F.array_distinct("leads")).alias("to"))
+    may = (F.col("to.root") != F.col("root")) & _may_link(F.col("n"), F.col("left"), F.col("to.n"), F.col("to.left"), F.least, percent)
     star = both.where(may).groupBy(F.col("class").alias("a"), F.col("to.class").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    best = star.groupBy("a").agg(F.max(F.struct("c", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    drawn = F.xxhash64("a", "b", F.lit(turn))
+    order = [F.col("c"), drawn] if turn == 0 else [drawn, F.col("c")]
+    best = star.groupBy("a").agg(F.max(F.struct(*order, "b")).alias("x")).select("a", F.col("x.b").alias("b"))
     return links(best, sets, percent)
 
 
 def groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Steps 2 to 4: class, root (the smallest class of its group) of all sets with a partner.
 
-    Rounds of stars join groups while they find many links; a key's star is a
-    map-side-combined minimum, so it stays small for any number of sets.  What
-    the last round leaves is compared pair by pair, across groups only.
+    Rounds of stars join groups while they find links for a twentieth of the sets
+    that are still open; a key's star is a map-side-combined minimum, so it stays
+    small for any number of sets.  What the last round leaves is compared pair by
+    pair, across groups only.
     """
     keyed = keys(sets, percent)
     near = common.written(sets.limit(0).select(F.col("class").alias("a"), F.col("class").alias("b")), "links")
-    total = sets.count()
+    turn, named = 0, _named(keyed, near)
     while True:
-        named = _named(keyed, near)
-        found = common.written(_stars(named, sets, percent), "links")
-        n = found.count()
+        found = common.written(_stars(named, sets, percent, turn), "links")
+        n, turn, still = found.count(), turn + 1, named.select("class").distinct().count()
         near = near.unionByName(found)
-        if 50 * n <= total:
+        if n:
+            named = _named(keyed, near)
+        if 20 * n <= still:
             break
-    named = _named(keyed, near)
     full = named.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
     part = F.pmod(F.xxhash64("class"), F.col("parts")).alias("part")
-    cells = named.join(full, "key").groupBy("key", part).agg(F.collect_list(F.struct("class", "n", "left", "root")).alias("m"))
+    open_ = named.select("class").distinct()
+    outlines = common.map_arrow(sets.join(open_, "class", "left_semi").select("class", "shingles"), _outlines, "class long, bits binary")
+    cells = named.join(common.written(outlines, "outlines"), "class").join(full, "key")
+    cells = cells.groupBy("key", part).agg(F.collect_list(F.struct("class", "n", "left", "root", "bits")).alias("m"))
     cells = common.written(cells, "key-groups")
     other = cells.select("key", F.col("part").alias("part2"), F.col("m").alias("m2"))
     met = cells.join(other, "key").where("part <= part2").select("part", "part2", "m", "m2")

@@ -26,6 +26,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget() -> None:
+    """Drop what the worker remembers: for tasks of other operators that need the memory."""
+    encoder.cache_clear()
+
+
 class Encoder:
     """``encode(text)`` gives the ids as little-endian bytes of ``width`` each."""
 
