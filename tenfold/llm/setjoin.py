@@ -52,8 +52,8 @@ BROADCAST_IDS = 1_000_000
 MEMBERS = 1024
 #: Bits of a set's outline.
 BITS = 2048
-#: Sets that lead a key in a round of stars.
-LEADS = 3
+#: Sets that lead a key in a round of stars, and leads that a set is compared with after the first round.
+LEADS, PARTNERS = 3, 4
 _NOWHERE = 0xFFFF
 
 
@@ -329,7 +329,7 @@ def _named(keyed: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def _stars(named: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Links of each set to one partner of another group that leads one of its keys: at first the one it shares most keys with, then any.
+    """Links of each set to partners of other groups that lead its keys: at first the one it shares most keys with, then any few.
 
     The leads of a key are drawn anew each turn.  Sets that are linked to
     many others soon draw one of these, whichever sets their keys hold besides.
@@ -341,14 +341,15 @@ def _stars(named: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFr
     star = both.where(may).groupBy(F.col("class").alias("a"), F.col("to.class").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     drawn = F.xxhash64("a", "b", F.lit(turn))
     order = [F.col("c"), drawn] if turn == 0 else [drawn, F.col("c")]
-    best = star.groupBy("a").agg(F.max(F.struct(*order, "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct(*order, "b")), asc=False), 1, 1 if turn == 0 else PARTNERS)  # a set has few leads
+    best = star.groupBy("a").agg(best.alias("x")).select("a", F.explode("x.b").alias("b"))
     return links(best, sets, percent)
 
 
 def groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Steps 2 to 4: class, root (the smallest class of its group) of all sets with a partner.
 
-    Rounds of stars join groups while they find links for a twentieth of the sets
+    Rounds of stars join groups while they find links for a tenth of the sets
     that are still open; a key's star is a map-side-combined minimum, so it stays
     small for any number of sets.  What the last round leaves is compared pair by
     pair, across groups only.
@@ -362,7 +363,7 @@ def groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         near = near.unionByName(found)
         if n:
             named = _named(keyed, near)
-        if 20 * n <= still:
+        if 10 * n <= still:
             break
     full = named.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
     part = F.pmod(F.xxhash64("class"), F.col("parts")).alias("part")
