@@ -4,9 +4,18 @@ A number or date that passes its validation (check digits, octets, the calendar)
 is replaced by another of the same format, by a keyed permutation of all values
 of that format.  Equal values get equal pseudonyms in every document and in every
 spelling, different values different ones, no value itself; the holder of the key
-can go back.  What fails validation stays as it is.
-
-Defined cases: a missing text stays missing; empty texts and texts without a
+can go back.  What fails validation stays as it is.  Where a longer reading fails,
+the others at the same place and the rest behind it are tried.
+
+Dates with a day up to 12 and later days are permuted apart, so that a date keeps
+its reading: 04/07/2011 is read day first before and after, 07/14/2011 month
+first.  Phones keep their country code, all further digits move together, with or
+without separators.  Account numbers have their country's length; what follows
+them is not part of them.  The way back is exact but for one case: where something
+that looks like an account number with wrong check digits holds another valid
+value, its replacement makes the check digits right once in 97 times.
+
+Defined cases: very long texts are searched in one pass with bounded patterns; a missing text stays missing; empty texts and texts without a
 valid value stay as they are, byte for byte; repeated rows are replaced alike;
 all other columns are carried; ``n_replaced`` replaces a column of that name.
 """
@@ -16,6 +25,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache, partial
 
 import pyarrow as pa
@@ -120,13 +130,40 @@ def _card(key, spelled, back):
     return _respell(spelled, body + _luhn_digit(body))
 
 
+# ---- fixed values: length of an account number by country, two-digit calling codes ----
+ACCOUNT_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18,
+    "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31,
+    "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29,
+    "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+TWO_DIGIT_CODES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+# ----------------------------------------------------------------------------------------
+
+
+def _cuts(spelled: str) -> list[str]:
+    """What may be the account number: the country's length; for other countries any whole groups, the most first."""
+    length = ACCOUNT_LENGTHS.get(spelled[:2])
+    ends = [i for i in range(len(spelled), 14, -1) if spelled[i - 1] != " " and (i == len(spelled) or spelled[i] == " ")]
+    found = [(spelled[:i], i - spelled.count(" ", 0, i)) for i in ends]
+    return [cut for cut, n in found if (n == length if length else 15 <= n <= 34)]
+
+
 def _account(key, spelled, back):
-    plain = re.sub(r"[ -]", "", spelled)
-    if not 15 <= len(plain) <= 34 or _mod97(plain[4:] + plain[:4]) != 1:
-        return None
-    body = _respell(plain[4:], _move_digits(key, "account", _only_digits(plain[4:]), back)) if _only_digits(plain[4:]) else plain[4:]
-    fresh = iter(f"{98 - _mod97(body + plain[:2] + '00'):02d}" + _only_digits(body))
-    return re.sub(r"[0-9]", lambda m: next(fresh), spelled)
+    """The pseudonym of the account number that the spelling begins with, as long as that is."""
+    for cut in _cuts(spelled):
+        plain = cut.replace(" ", "")
+        if _mod97(plain[4:] + plain[:4]) != 1 or not 2 <= int(plain[2:4]) <= 98:
+            continue
+        body = _respell(plain[4:], _move_digits(key, "account", _only_digits(plain[4:]), back)) if _only_digits(plain[4:]) else plain[4:]
+        return _respell(cut, f"{98 - _mod97(body + plain[:2] + '00'):02d}" + _only_digits(body))
+    return None
 
 
 def _address(key, spelled, back):
@@ -150,15 +187,23 @@ def _insured(key, spelled, back):
 
 
 def _phone(key, spelled, back):
-    country, rest = re.match(r"(\+[0-9]{1,3}(?![0-9])|\+[0-9]{1,3})?(.*)", spelled, re.S).groups()
-    digits = _only_digits(rest)
-    if not 7 <= len(digits) <= 14:
+    digits = _only_digits(spelled)
+    code = 0
+    if spelled[0] == "+":
+        code = 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
+    if digits[0] == "0" and code or not 6 <= len(digits) - code <= 14:
         return None
-    return (country or "") + _respell(rest, _move_digits(key, "phone", digits, back))
+    return _respell(spelled, digits[:code] + _move_digits(key, "phone", digits[code:], back))
 
 
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
-DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
+LAST_DAY = datetime.date(2099, 12, 31).toordinal()
+
+
+@lru_cache(maxsize=2)
+def _days(early: bool) -> list[int]:
+    """All days of 1900 to 2099 up to the 12th of a month, or all others."""
+    return [d for d in range(FIRST_DAY, LAST_DAY + 1) if (datetime.date.fromordinal(d).day <= 12) == early]
 
 
 def _date(key, spelled, back):
@@ -169,13 +214,15 @@ def _date(key, spelled, back):
     for order in orders:
         at = {k: int(v) for k, v in zip(order, parts, strict=True)}
         try:
-            day = datetime.date(at["y"], at["m"], at["d"]).toordinal() - FIRST_DAY
+            day = datetime.date(at["y"], at["m"], at["d"]).toordinal()
         except ValueError:
             continue
-        if not 0 <= day < DAYS:
+        if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        f = feistel(key, "date", DAYS)
-        moved = datetime.date.fromordinal(FIRST_DAY + (f.restore if back else f.permute)(day))
+        early = at["d"] <= 12
+        days = _days(early)
+        f = feistel(key, "early" if early else "late", len(days))
+        moved = datetime.date.fromordinal(days[(f.restore if back else f.permute)(bisect_left(days, day))])
         text = {"y": f"{moved.year:04d}", "m": f"{moved.month:02d}", "d": f"{moved.day:02d}"}
         return separator.join(text[k] for k in order)
     return None
@@ -213,6 +260,7 @@ KINDS = {
         _phone,
     ),
 }
+EACH = {k: re.compile(p) for k, (p, _) in KINDS.items()}
 NUMBERS = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items()))
 MAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _DIGIT = re.compile(r"[0-9]")
@@ -224,21 +272,37 @@ def pseudonym(key: bytes, kind: str, spelled: str, back: bool = False) -> str |
     return (_mail if kind == "mail" else KINDS[kind][1])(key, spelled, back)
 
 
+def _numbers(text: str, start: int, stop: int, key: bytes, back: bool, out: list[str]) -> int:
+    """Append text[start:stop] to ``out`` with its numbers and dates replaced; how many were."""
+    done, at, count = start, start, 0
+    if not _DIGIT.search(text, start, stop):
+        at = stop
+    while m := NUMBERS.search(text, at, stop):
+        at = m.start()
+        for kind, pattern in EACH.items():
+            hit = pattern.match(text, at, stop)
+            made = hit and pseudonym(key, kind, hit[0], back)
+            if made:
+                out += [text[done:at], made]
+                done = at = at + (len(made) if kind == "account" else len(hit[0]))
+                count += 1
+                break
+        else:
+            at += 1
+    out.append(text[done:stop])
+    return count
+
+
 def replace(text: str, key: bytes, back: bool = False) -> tuple[str, int]:
     """The text with every valid value replaced, and their number."""
-    count = 0
-
-    def one(kind, m):
-        nonlocal count
-        made = pseudonym(key, kind, m[0], back)
-        count += made is not None
-        return m[0] if made is None else made
-
-    if "@" in text:
-        text = MAIL.sub(partial(one, "mail"), text)
-    if _DIGIT.search(text):
-        text = NUMBERS.sub(lambda m: one(m.lastgroup, m), text)
-    return text, count
+    out, count, done = [], 0, 0
+    mails = [m.span() for m in MAIL.finditer(text)] if "@" in text else []
+    for start, stop in mails:
+        count += 1 + _numbers(text, done, start, key, back, out)
+        out.append(pseudonym(key, "mail", text[start:stop], back))
+        done = stop
+    count += _numbers(text, done, len(text), key, back, out)
+    return "".join(out), count
 
 
 def _replace(batches, key: bytes, column: str):

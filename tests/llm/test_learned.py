@@ -1,6 +1,7 @@
 """Mixing, pseudonyms, perplexity bands, toxicity and the pipeline."""
 
 import collections
+import datetime
 import math
 import random
 import re
@@ -106,6 +107,44 @@ def test_spellings_stay_linked():
     assert pii.replace("ANNA.1@x.org", KEY)[0].lower() == pii.replace("anna.1@x.org", KEY)[0]
 
 
+def test_dates_keep_their_reading():
+    """Every date of some years in every spelling: one pseudonym per date, the same in all of them, and a way back."""
+    first = datetime.date(2018, 1, 1)
+    seen = {}
+    for n in range(0, 1200):
+        day = first + datetime.timedelta(n)
+        for form in ("%Y-%m-%d", "%d.%m.%Y", *(["%m/%d/%Y"] if day.day > 12 else [])):
+            made, count = pii.replace(day.strftime(form), KEY)
+            assert count == 1 and pii.replace(made, KEY, back=True)[0] == day.strftime(form)
+            moved = datetime.datetime.strptime(made, form).date()
+            assert seen.setdefault(day, moved) == moved != day
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_phones_in_any_spelling():
+    for spellings in (["+1 (017) 555-7713", "+10175557713", "+1 017 555 7713"], ["+49301234567", "+49 30 123 4567"], ["+351 21 123 4567", "+351211234567"]):
+        made = {re.sub(r"[^+0-9]", "", pii.replace(v, KEY)[0]) for v in spellings}
+        assert len(made) == 1 and made != {re.sub(r"[^+0-9]", "", spellings[0])}
+        assert all(pii.replace(pii.replace(v, KEY)[0], KEY, back=True)[0] == v for v in spellings)
+    assert pii.replace("+49301234567", KEY)[0].startswith("+49")
+
+
+@pytest.mark.parametrize("tail", ["", " EUR", " 2024", " A1 B2", " TOTALS", ", 17", "\nX9"])
+def test_account_numbers_end_where_their_country_says(tail):
+    for number in ("BE68 5390 0754 7034", "ES9121000418450200051332", "DE89 3704 0044 0532 0130 00", "NO9386011117947"):
+        made, count = pii.replace(number + tail, KEY)
+        assert count == 1 and made.endswith(tail) and number not in made and made[:2] == number[:2]
+        assert pii.replace(number.replace(" ", ""), KEY)[0] == made.removesuffix(tail).replace(" ", "")
+        assert pii.replace(made, KEY, back=True)[0] == number + tail
+
+
+def test_values_behind_a_failed_reading():
+    text = "AB12 4111 1111 1111 1111 and 4111111111111111@x.org, 4111111111111111"
+    made, count = pii.replace(text, KEY)
+    assert count == 3 and "4111111111111111" not in made and "4111 1111 1111 1111" not in made
+    assert pii.replace(made, KEY, back=True)[0] == text
+
+
 @pytest.mark.parametrize("n", [2, 3, 10, 26, 1000, 73049])
 def test_feistel_permutes_without_fixed_points(n):
     f = pii.Feistel(KEY, "t", n)
