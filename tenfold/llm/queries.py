@@ -121,7 +121,7 @@ def op2_packing(spark, sf_dir):
 @query("op3_length_histogram")
 def op3_length_histogram(spark, sf_dir):
     hist = lengths.histogram(common.table(spark, sf_dir, "documents"), tokens.word_bpe_path(), by=["lang"])
-    return lengths.suffix_sums(hist, by=["lang"])
+    return lengths.suffix_sums(common.written(hist, "lengths"), by=["lang"])  # two readers, one encoding
 
 
 # ------------------------------------------------------------ 4 personal data
@@ -163,14 +163,16 @@ def op8_perplexity_bands(spark, sf_dir):
 def op9_sharding(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
     text = common.text_column()
-    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
+    size = (F.octet_length(text) + 1).cast("long")
     path = scratch_path(spark, "llm-shards")
-    sharding.write_shards(sharding.dealt(docs.withColumn("_size", size), ["doc_id", "text"], "_size", shards=16).drop("_size"), path)
-    whole = StructType([*[f for f in docs.schema.fields if f.name not in ("shard", "slot")], StructField("slot", LongType()), StructField("shard", IntegerType())])
+    sharding.write_shards(sharding.dealt(docs, ["doc_id", "text"], size, shards=16), path)
+    whole = StructType([StructField("row", docs.schema), StructField("slot", LongType()), StructField("shard", IntegerType())])
     arrived = spark.read.schema(whole).parquet(path)
+    text = common.text_column("row.text")
     return arrived.select(
-        "doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+        F.col("row.doc_id").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 # ------------------------------------------------------------ 10 nearest neighbours

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tenfold.llm import graph, lengths, neighbours, packing, setjoin, sharding, substrings, tokens
@@ -93,10 +94,12 @@ def test_length_histogram(spark, tokenizer):
 
 
 def test_shards(spark):
-    docs = fx.clashing(fx.documents(spark), "shard", "slot", "bucket")
-    found = [sharding.dealt(docs, ["doc_id", "text"], "n_chars", 7, bucket_bytes=4000).collect() for _ in range(2)]
+    docs = fx.clashing(fx.documents(spark), "shard", "Slot", "slot", "bucket", "_order", "_rows", "_size", "row", "order", "place")
+    n = F.col("n_chars")
+    found = [sharding.dealt(docs, ["doc_id", "text"], n, 7, bucket_bytes=4000).select("row.doc_id", "row.text", "row.order", "shard", "slot").collect() for _ in range(2)]
     rows = found[0]
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in rows))) == sorted(map(repr, (r[:2] for r in fx.rows())))
+    assert {r["order"] for r in rows} == {"own"}
     slots = collections.defaultdict(list)
     for r in rows:
         slots[r["shard"]].append(r["slot"])
@@ -104,7 +107,15 @@ def test_shards(spark):
     assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
     key = lambda r: (r["shard"], r["slot"], r["doc_id"] or -1)
     assert sorted(map(key, found[0])) == sorted(map(key, found[1]))
-    assert sharding.dealt(fx.empty(spark), ["doc_id"], "n_chars").count() == 0
+    assert sharding.dealt(fx.empty(spark), ["doc_id"], n).count() == 0
+
+
+def test_shards_with_more_buckets_than_the_smallest_number_of_slices(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FINE_BITS", 2)
+    docs = fx.documents(spark, [(i, "a" * 50, "en", "s", 50) for i in range(600)])
+    table = sharding.permuted(docs, ["doc_id", "text"], F.col("n_chars"), bucket_bytes=100)
+    per = [r["count"] for r in table.groupBy("bucket").count().collect()]
+    assert sum(per) == 600 and max(per) <= 12 and len(per) > 200
 
 
 def test_sharding_query_writes_whole_documents(spark, monkeypatch):
@@ -117,7 +128,7 @@ def test_sharding_query_writes_whole_documents(spark, monkeypatch):
     monkeypatch.setattr(sharding, "write_shards", lambda rows, path: (paths.append(path), write(rows, path)))
     found = queries.QUERIES["op9_sharding"](spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    shards = spark.read.parquet(paths[0])
+    shards = spark.read.parquet(paths[0]).select("row.*", "shard", "slot")
     content = lambda df: sorted(map(tuple, df.select(*docs.columns).collect()), key=repr)
     assert content(shards) == content(docs)
     row = lambda r: (r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"])
@@ -128,7 +139,7 @@ def test_sharding_query_writes_whole_documents(spark, monkeypatch):
 
 def test_shards_of_repeated_rows(spark):
     same = [(1, "a" * 90, "en", "s", 90)] * 400
-    rows = sharding.dealt(fx.documents(spark, same), ["doc_id", "text"], "n_chars", 4, bucket_bytes=3000).collect()
+    rows = sharding.dealt(fx.documents(spark, same), ["doc_id", "text"], F.col("n_chars"), 4, bucket_bytes=3000).collect()
     assert collections.Counter(r["shard"] for r in rows) == {s: 100 for s in range(4)}
 
 
