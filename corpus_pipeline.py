@@ -16,6 +16,9 @@ from tenfold.llm import common, mixing, packing, perplexity, pii, queries, setjo
 #: The mixture takes nine tenths of the tokens that reach it, with no source read more than twice.
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.9, 2, 29
 
+#: The setting with the secret key of the pseudonyms; without it a public key is used, which anyone can reverse.
+KEY_SETTING = "spark.tenfold.pseudonyms.key"
+
 
 def _row(docs: DataFrame, *named: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *named)
@@ -46,8 +49,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pseudonyms for personal numbers, dates and addresses."""
-    rows = pii.pseudonymise(_row(docs, "text"), queries.PUBLIC_KEY)
+    """Pseudonyms for personal numbers, dates and addresses, under the key of the session."""
+    key = spark.conf.get(KEY_SETTING, None)
+    rows = pii.pseudonymise(_row(docs, "text"), key.encode() if key else queries.PUBLIC_KEY)
     return _with_text(docs, rows, F.col("n_replaced") > 0)
 
 
