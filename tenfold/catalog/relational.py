@@ -14,7 +14,7 @@ from tenfold.functions.text import estimate_text, short_number
 from tenfold.operators import columns as cols
 from tenfold.operators import joins
 from tenfold.operators.filters import complete_cases, drop_all_missing, present
-from tenfold.operators.reshape import lengthen, order_within, pv_rows, widen, year_by_round, z_scores
+from tenfold.operators.reshape import lengthen, nearest_year, order_within, pv_rows, widen, year_by_round, z_scores
 from tenfold.plans import binding as bind
 from tenfold.plans import jobs
 from tenfold.session import scratch_path
@@ -378,21 +378,44 @@ def rsh_03(spark, sf_dir):
     return pv_rows(b.respondents(spark, sf_dir), ["resp_id"], {"lit": "PVLIT", "num": "PVNUM", "psl": "PVPSL"})
 
 
+def _indicators_with_round(spark, sf_dir):
+    wide = joins.keep_listed(bind.yearly_indicators(spark, sf_dir), "IndicatorCode", b.selected_series(spark), "SeriesCode")
+    index = bind.country_index(spark, sf_dir).select(F.col("CountryCode").alias("code"), "DataCollected")
+    return joins.lookup_join(wide, index, "CountryCode", "code")
+
+
 @query(
     "rsh_05_year_by_round",
     "SELECT CountryCode, Indicator, DataCollected, Value1 FROM yearval",
     ("yearval",),
 )
 def rsh_05(spark, sf_dir):
-    wide = joins.keep_listed(bind.yearly_indicators(spark, sf_dir), "IndicatorCode", b.selected_series(spark), "SeriesCode")
-    index = bind.country_index(spark, sf_dir).select(F.col("CountryCode").alias("code"), "DataCollected")
-    joined = joins.lookup_join(wide, index, "CountryCode", "code")
-    return joined.select(
+    return _indicators_with_round(spark, sf_dir).select(
         "CountryCode", F.col("IndicatorCode").alias("Indicator"), "DataCollected",
         year_by_round(F.col("DataCollected"), bind.ROUND_YEARS).alias("Value1"),
     )
 
 
+_TARGETS = {label: int(column[1:]) for label, column in bind.ROUND_YEARS.items()}
+
+
+@query(
+    "rsh_05_nearest_year",
+    'SELECT CountryCode, Indicator, DataCollected, arg_min(v, k) FILTER (v IS NOT NULL) AS "Value1", '
+    'CAST(arg_min(y, k) FILTER (v IS NOT NULL) AS INTEGER) AS "Year" FROM (SELECT *, 2 * abs(y - target) + CAST(y > target AS INTEGER) AS k '
+    "FROM (SELECT CountryCode, Indicator, DataCollected, CASE DataCollected "
+    + " ".join(f"WHEN '{label}' THEN {year}" for label, year in _TARGETS.items())
+    + f" END AS target, unnest([{', '.join(f'X{y}' for y in bind.YEARS)}]) AS v, unnest([{', '.join(map(str, bind.YEARS))}]) AS y "
+    "FROM yearval)) GROUP BY ALL",
+    ("yearval",),
+)
+def rsh_05_nearest(spark, sf_dir):
+    near = nearest_year(F.col("DataCollected"), _TARGETS, {y: f"X{y}" for y in bind.YEARS})
+    return _indicators_with_round(spark, sf_dir).select(
+        "CountryCode", F.col("IndicatorCode").alias("Indicator"), "DataCollected", near["value"].alias("Value1"), near["year"].alias("Year"),
+    )
+
+
 @query(
     "win_01_order_within_facet",
     "SELECT Education, Country, round(m, 8) AS m, row_number() OVER (PARTITION BY Education ORDER BY m NULLS LAST, Country) "

@@ -47,6 +47,22 @@ def year_by_round(label: Column, years: Mapping[str, str]) -> Column:
     return out
 
 
+def nearest_year(label: Column, years: Mapping[str, int], columns: Mapping[int, str]) -> dict[str, Column]:
+    """``value`` and ``year`` of the present year column closest to a collection round's year.
+
+    ``columns`` maps years to their columns.  Of two years equally close the earlier
+    is taken; without any present year, or with an unknown round, both are missing.
+    Each round becomes one ``coalesce`` over its columns, so no row is moved.
+    """
+    value, year = F.lit(None), F.lit(None).cast("int")
+    for text, target in years.items():
+        order = sorted(columns, key=lambda y: (abs(y - target), y))
+        value = F.when(label == text, F.coalesce(*[F.col(columns[y]) for y in order])).otherwise(value)
+        chosen = F.coalesce(*[F.when(F.col(columns[y]).isNotNull(), F.lit(y)) for y in order])
+        year = F.when(label == text, chosen).otherwise(year)
+    return {"value": value, "year": year}
+
+
 def z_scores(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Add ``{out: source}`` standard scores over all rows, ignoring missing values.
 

@@ -155,3 +155,31 @@ def test_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+def test_sketches_merge_within_their_rank_error(spark):
+    """Sketches of parts, kept as a table and merged, give quantiles whose ranks are off by less than 0.5%."""
+    rng = random.Random(5)
+    data = [(i % 7, rng.lognormvariate(0, 2) if i % 3 else 1.0, None if i % 2 else float(i)) for i in range(60_000)]
+    df = spark.createDataFrame(data, "part int, x double, y double").withColumn("z", F.lit(None).cast("double"))
+    path = scratch_path(spark, "sketches")
+    d.quantile_sketches(df, ["x", "y", "z"], by=["part"]).write.parquet(path)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {(r["name"], r["p"]): r["value"] for r in d.sketched_quantiles(spark.read.parquet(path), probs).collect()}
+    exact = {(r["name"], r["p"]): r["value"] for r in d.exact_quantiles(df, ["x", "y"], probs).collect()}
+    assert got.keys() == exact.keys()
+    for at, name in ((1, "x"), (2, "y")):
+        values = np.sort([r[at] for r in data if r[at] is not None])
+        for p in probs:
+            low, high = np.searchsorted(values, got[name, p], "left") / len(values), np.searchsorted(values, got[name, p], "right") / len(values)
+            assert low - 0.005 <= p <= high + 0.005
+    rows = {r["name"]: r for r in d.six_numbers(df, ["x", "z"], sketch_size=200).collect()}
+    assert rows["x"]["q1"] <= rows["x"]["median"] <= rows["x"]["q3"] and rows["z"]["median"] is None and rows["z"]["missing"] == 60_000
+
+
+def test_nearest_year(spark):
+    rows = [("a", 1.0, None, 3.0), ("a", None, None, 3.0), ("a", None, None, None), ("b", 1.0, 2.0, None), ("?", 1.0, 2.0, 3.0), (None, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "round string, X1 double, X2 double, X3 double")
+    near = rs.nearest_year(F.col("round"), {"a": 2, "b": 3}, {1: "X1", 2: "X2", 3: "X3"})
+    got = [tuple(r) for r in df.select(near["value"], near["year"]).collect()]
+    assert got == [(1.0, 1), (3.0, 3), (None, None), (2.0, 2), (None, None), (None, None)]
