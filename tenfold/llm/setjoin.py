@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -265,12 +265,12 @@ def keys(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar."""
+    """Those of the pairs (a, b and any further columns) whose whole sets are similar."""
     a = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     found = pairs.join(a, "a").join(b, "b").withColumn("both", both)
-    return found.where(F.col("both") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+    return found.where(F.col("both") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select(*pairs.columns)
 
 
 def _may_link(n, left, m, left2, least, percent):
@@ -320,14 +320,24 @@ def _across(batches, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
-def _named(keyed: DataFrame, near: DataFrame) -> DataFrame:
-    """Keys whose sets are in more than one group so far, with each set's group; only these can still link anything."""
-    roots = graph.components(near).withColumnRenamed("vertex", "class")
-    named = common.written(keyed.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), "named-keys")
+def _mixed(named: DataFrame) -> DataFrame:
+    """Keys whose sets are in more than one group so far; only these can still link anything."""
     mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
     return common.written(named.join(mixed, "key"), "mixed-keys")
 
 
+def _renamed(named: DataFrame, found: DataFrame) -> DataFrame:
+    """Mixed keys after the found links (ra, rb between groups) have joined groups.
+
+    Only the graph of groups is solved, which shrinks from round to round; a key
+    that is no longer mixed has left for good.
+    """
+    roots = graph.components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    roots = roots.select(F.col("vertex").alias("root"), F.col("root").alias("_root"))
+    named = named.join(roots, "root", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root")
+    return _mixed(common.written(named, "named-keys"))
+
+
 def _stars(named: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
     """Links of each set to partners of other groups that lead its keys: at first the one it shares most keys with, then any few.
 
@@ -338,32 +348,33 @@ def _stars(named: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFr
     ends = named.groupBy("key").agg(F.array(*draws).alias("leads"))
     both = named.join(ends, "key").select("class", "root", "n", "left", F.explode(F.array_distinct("leads")).alias("to"))
     may = (F.col("to.root") != F.col("root")) & _may_link(F.col("n"), F.col("left"), F.col("to.n"), F.col("to.left"), F.least, percent)
-    star = both.where(may).groupBy(F.col("class").alias("a"), F.col("to.class").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    ends = [F.col("class").alias("a"), F.col("to.class").alias("b"), F.col("root").alias("ra"), F.col("to.root").alias("rb")]
+    star = both.where(may).groupBy(*ends).agg(F.count(F.lit(1)).alias("c"))
     drawn = F.xxhash64("a", "b", F.lit(turn))
     order = [F.col("c"), drawn] if turn == 0 else [drawn, F.col("c")]
-    best = F.slice(F.sort_array(F.collect_list(F.struct(*order, "b")), asc=False), 1, 1 if turn == 0 else PARTNERS)  # a set has few leads
-    best = star.groupBy("a").agg(best.alias("x")).select("a", F.explode("x.b").alias("b"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct(*order, "b", "rb")), asc=False), 1, 1 if turn == 0 else PARTNERS)  # a set has few leads
+    best = star.groupBy("a", "ra").agg(best.alias("x"))
+    best = best.select("a", "ra", F.explode("x").alias("x")).select("a", "x.b", "ra", "x.rb")
     return links(best, sets, percent)
 
 
 def groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Steps 2 to 4: class, root (the smallest class of its group) of all sets with a partner.
 
-    Rounds of stars join groups while they find links for a tenth of the sets
+    Rounds of stars join groups while they find links for a fiftieth of the sets
     that are still open; a key's star is a map-side-combined minimum, so it stays
     small for any number of sets.  What the last round leaves is compared pair by
     pair, across groups only.
     """
-    keyed = keys(sets, percent)
-    near = common.written(sets.limit(0).select(F.col("class").alias("a"), F.col("class").alias("b")), "links")
-    turn, named = 0, _named(keyed, near)
+    named = _mixed(keys(sets, percent).withColumn("root", F.col("class")))
+    near, turn = [], 0
     while True:
         found = common.written(_stars(named, sets, percent, turn), "links")
         n, turn, still = found.count(), turn + 1, named.select("class").distinct().count()
-        near = near.unionByName(found)
         if n:
-            named = _named(keyed, near)
-        if 10 * n <= still:
+            near.append(found.select("a", "b"))
+            named = _renamed(named, found)
+        if 50 * n <= still:
             break
     full = named.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
     part = F.pmod(F.xxhash64("class"), F.col("parts")).alias("part")
@@ -376,7 +387,7 @@ def groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     met = cells.join(other, "key").where("part <= part2").select("part", "part2", "m", "m2")
     met = common.map_arrow(met, partial(_across, percent=percent), "a long, b long").distinct()
     across = links(met, sets, percent)
-    return graph.components(near.unionByName(across)).withColumnRenamed("vertex", "class")
+    return graph.components(reduce(DataFrame.unionByName, near, across)).withColumnRenamed("vertex", "class")
 
 
 def _joined(docs: DataFrame, words: int, percent: int) -> DataFrame:
