@@ -3,15 +3,20 @@
 A document's terms are its distinct words, hashed.  Besides a weight per term
 the model has a short vector per term, and the products of these vectors weigh
 pairs: an insult together with the mention of a group scores higher than the two
-weights alone.  Spark counts terms against labels and keeps the telling ones;
-the machine is trained on them from a bounded sample of labelled rows.
-
-Defined cases: a missing or empty text has no terms and scores the base rate;
-repeated rows score alike; labels that are missing or neither 0 nor 1, or whose
-doc_id is missing, are not learned from; of contradicting labels of one doc_id
-the higher counts; without any label, or with one class only, every score is the
-base rate; further columns are carried by ``score``, where ``score`` and
-``predicted`` replace columns of those names.
+weights alone.  Every term of the labelled rows takes part in training; none is
+chosen beforehand by count or by what it tells alone.  Shrinkage decides instead:
+a weight stays 0 unless the rows pull at it more than chance does (``LASSO``), and
+vectors are held back by ``SHRINK`` (see ``fit``).  The labelled rows are the only
+bound.  The model has at most 2**HASH_BITS terms.
+
+Defined cases: a missing or empty text has no terms and scores as a text of
+unknown words; a very long text has at most 2**HASH_BITS terms; repeated rows
+score alike; labels that are missing or neither 0 nor 1, or whose doc_id is
+missing, are not learned from; of contradicting labels of one doc_id the higher
+counts, and of labelled rows beyond the bound those of the smallest hash, ties by
+doc_id, are learned from; without any label, or with one class only, every score
+is the base rate; an empty table gives no rows; further columns are carried by
+``score``, where ``score`` and ``predicted`` replace columns of those names.
 """
 
 from __future__ import annotations
@@ -31,11 +36,15 @@ from tenfold.session import local_table
 
 HASH_BITS = 20
 #: Labelled rows to learn from at most, taken by a seeded hash of doc_id.
-MAX_LABELLED = 100_000
-#: Terms the machine knows at most, the most telling ones.
-MAX_TERMS = 2048
-#: Likelihood ratio (G squared) from which on a term is telling; chance passes it for one term in 9,000.
-TELLING = 15.0
+MAX_LABELLED = 40_000
+#: Pull at a weight, in standard deviations of what chance makes, from which on it leaves 0.
+#: A word seen once, in a toxic row, passes where less than half of the rows are toxic.
+LASSO = 1.0
+RIDGE = 0.1
+#: Pull on a vector towards 0, times the mean number of terms of a row.
+SHRINK = 4.0
+#: (row, term) cells worked on at once.
+CELLS = 1 << 20
 FACTORS = 8
 THRESHOLD = 0.3
 
@@ -97,41 +106,127 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(labels: np.ndarray, owner: np.ndarray, place: np.ndarray, vocabulary: np.ndarray, epochs: int = 30, batch: int = 512, rate: float = 0.02, shrink: float = 1e-3, seed: int = 17) -> Machine:
-    """Adam on the logistic loss; ``owner`` is sorted, ``place`` indexes the vocabulary."""
-    rng = np.random.default_rng(seed)
-    n, m = len(labels), len(vocabulary)
-    share = (labels.sum() + 0.5) / (n + 1.0)
-    machine = Machine(float(np.log(share / (1 - share))), vocabulary, np.zeros(m), rng.normal(0, 0.01, (m, FACTORS)))
-    if not m or labels.min() == labels.max():
-        machine.factors[:] = 0
-        return machine
-    bounds = np.searchsorted(owner, np.arange(n + 1))
-    state = {k: [0.0, 0.0] for k in "bwv"}
-    step = 0
+class Rows:
+    """Terms of the labelled rows: those of row i are ``place[bounds[i] : bounds[i + 1]]``."""
+
+    def __init__(self, place: np.ndarray, bounds: np.ndarray):
+        self.place, self.bounds, self.count = place, bounds, len(bounds) - 1
+
+    def pieces(self):
+        """(first row, end, row of each cell counted from the first, place of each cell) for stretches of rows."""
+        lo = 0
+        while lo < self.count:
+            hi = max(lo + 1, int(np.searchsorted(self.bounds, self.bounds[lo] + CELLS, side="right")) - 1)
+            own = np.repeat(np.arange(hi - lo), np.diff(self.bounds[lo : hi + 1]))
+            yield lo, hi, own, self.place[self.bounds[lo] : self.bounds[hi]]
+            lo = hi
 
-    def adam(key, gradient):
-        mean, square = state[key]
-        state[key] = [0.9 * mean + 0.1 * gradient, 0.999 * square + 0.001 * gradient * gradient]
-        return rate * (state[key][0] / (1 - 0.9**step)) / (np.sqrt(state[key][1] / (1 - 0.999**step)) + 1e-8)
+    def drawn(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of some rows: position in ``rows`` and place."""
+        sizes = self.bounds[rows + 1] - self.bounds[rows]
+        own = np.repeat(np.arange(len(rows)), sizes)
+        return own, self.place[np.repeat(self.bounds[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(own))]
 
+
+def _fit_weights(rows: Rows, labels: np.ndarray, pairs: np.ndarray, machine: Machine, steps: int = 100) -> None:
+    """Bias and all weights by accelerated proximal steps, beside what the pairs give each row.
+
+    A step is the gradient over a bound of the curvature, so the loss plus
+    penalties (``lasso`` for the size, RIDGE for the square of a weight) settles.
+    """
+    m, size = len(machine.weights), np.diff(rows.bounds) + 1.0
+    share = labels.mean()
+    lasso = LASSO * np.sqrt(np.bincount(rows.place, minlength=m) * share * (1 - share))
+    bound = np.full(m, RIDGE)
+    for lo, hi, own, at in rows.pieces():
+        bound += np.bincount(at, weights=0.25 * size[lo:hi][own], minlength=m)
+    w, b, pace = machine.weights, machine.bias, 1.0
+    ahead, ahead_b = w, b
+    for _ in range(steps):
+        pull, total = RIDGE * ahead, 0.0
+        for lo, hi, own, at in rows.pieces():
+            error = sigmoid(ahead_b + pairs[lo:hi] + np.bincount(own, weights=ahead[at], minlength=hi - lo)) - labels[lo:hi]
+            pull = pull + np.bincount(at, weights=error[own], minlength=m)
+            total += error.sum()
+        x = ahead - pull / bound
+        new = np.sign(x) * np.maximum(np.abs(x) - lasso / bound, 0.0)
+        new_b = ahead_b - total / (0.25 * size.sum())
+        if ((ahead - new) * (new - w) * bound).sum() > 0:
+            pace = 1.0  # overshot: the pace starts anew
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, ahead_b = new + (pace - 1) / faster * (new - w), new_b + (pace - 1) / faster * (new_b - b)
+        moved = max(np.abs(new - w).max(), abs(new_b - b))
+        w, b, pace = new, new_b, faster
+        if moved < 1e-4:
+            break
+    machine.weights, machine.bias = w, float(b)
+
+
+def _fit_vectors(rows: Rows, labels: np.ndarray, fixed: np.ndarray, factors: np.ndarray, hold: float, rng, epochs: int, batch: int = 256, rate: float = 0.02) -> None:
+    """Adam on the vectors, beside what bias and weights give each row."""
+    n, m = rows.count, len(factors)
+    mean, square, step = np.zeros_like(factors), np.zeros_like(factors), 0
     for _ in range(epochs):
         order = rng.permutation(n)
         for i in range(0, n, batch):
-            rows = order[i : i + batch]
-            sizes = bounds[rows + 1] - bounds[rows]
-            own = np.repeat(np.arange(len(rows)), sizes)
-            at = place[np.repeat(bounds[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(own))]
-            v = machine.factors[at]
-            sums = np.stack([np.bincount(own, weights=c, minlength=len(rows)) for c in v.T], 1) if len(own) else np.zeros((len(rows), FACTORS))
-            error = (sigmoid(machine.logits(own, at, len(rows))) - labels[rows]) / len(rows)
-            weights = np.bincount(at, weights=error[own], minlength=m) + shrink * machine.weights / n * batch
-            pulls = error[own][:, None] * (sums[own] - v)
-            factors = np.stack([np.bincount(at, weights=c, minlength=m) for c in pulls.T], 1) + shrink * machine.factors
+            drawn = order[i : i + batch]
+            own, at = rows.drawn(drawn)
+            sums = np.stack([np.bincount(own, weights=c[at], minlength=len(drawn)) for c in factors.T], 1)
+            squares = np.bincount(own, weights=(factors * factors).sum(1)[at], minlength=len(drawn))
+            error = (sigmoid(fixed[drawn] + 0.5 * ((sums * sums).sum(1) - squares)) - labels[drawn]) / len(drawn)
+            each = np.bincount(at, weights=error[own], minlength=m)
+            pull = np.stack([np.bincount(at, weights=(error * c)[own], minlength=m) for c in sums.T], 1) - each[:, None] * factors
+            pull += hold / n * factors
             step += 1
-            machine.bias -= float(adam("b", error.sum()))
-            machine.weights -= adam("w", weights)
-            machine.factors -= adam("v", factors)
+            mean, square = 0.9 * mean + 0.1 * pull, 0.999 * square + 0.001 * pull * pull
+            factors -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-6)
+
+
+def _linear(rows: Rows, weights: np.ndarray) -> np.ndarray:
+    """What the weights of its terms give each row."""
+    return np.concatenate([np.bincount(own, weights=weights[at], minlength=hi - lo) for lo, hi, own, at in rows.pieces()])
+
+
+def _pairs(rows: Rows, factors: np.ndarray) -> np.ndarray:
+    """What the pairs of its terms give each row."""
+    out = np.zeros(rows.count)
+    for lo, hi, own, at in rows.pieces():
+        for f in factors.T:
+            sums = np.bincount(own, weights=f[at], minlength=hi - lo)
+            out[lo:hi] += 0.5 * (sums * sums - np.bincount(own, weights=(f * f)[at], minlength=hi - lo))
+    return out
+
+
+def fit(labels: np.ndarray, owner: np.ndarray, place: np.ndarray, vocabulary: np.ndarray, turns: int = 2, epochs: int = 5, seed: int = 17) -> Machine:
+    """Weights of all terms, then in turns the vectors beside them and the weights beside the pairs.
+
+    ``owner`` is sorted, ``place`` indexes the vocabulary.  Vectors are pulled
+    to 0 by SHRINK times the mean number of terms of a row: less would let the
+    terms of one row learn that row by heart.  A pair in fewer rows than that
+    stays at 0, so terms of fewer rows have no vector.
+    """
+    rng = np.random.default_rng(seed)
+    n, m = len(labels), len(vocabulary)
+    share = (labels.sum() + 0.5) / (n + 1.0)
+    machine = Machine(float(np.log(share / (1 - share))), vocabulary, np.zeros(m), np.zeros((m, FACTORS)))
+    if not m or labels.min() == labels.max():
+        return machine
+    rows = Rows(place, np.searchsorted(owner, np.arange(n + 1)))
+    hold = SHRINK * len(place) / n
+    often = np.flatnonzero(np.bincount(place, minlength=m) >= hold)
+    known = np.full(m, -1, np.int32)
+    known[often] = np.arange(len(often), dtype=np.int32)
+    kept = known[place] >= 0
+    few = Rows(known[place[kept]], np.searchsorted(owner[kept], np.arange(n + 1)))
+    vectors = rng.normal(0, 0.01, (len(often), FACTORS))
+    pairs = np.zeros(n)
+    _fit_weights(rows, labels, pairs, machine)
+    for _ in range(turns if len(often) else 0):
+        _fit_vectors(few, labels, machine.bias + _linear(rows, machine.weights), vectors, hold, rng, epochs)
+        pairs = _pairs(few, vectors)
+        _fit_weights(rows, labels, pairs, machine)
+    if len(often):
+        machine.factors[often] = vectors
     return machine
 
 
@@ -143,12 +238,11 @@ def _gather(batches):
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), lists], ["toxic", "terms"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Machine:
     """The machine learned from rows that are not held out.
 
     At most ``max_labelled`` labels are drawn, so their table is small enough to
-    be broadcast to the texts.  Terms are ranked by the likelihood ratio of their
-    presence against the label.
+    be broadcast to the texts, and the terms of their rows to be fitted in one place.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -160,26 +254,16 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     rows = rows.join(F.broadcast(small), "doc_id").select("text", "toxic")
     seen = common.written(common.map_arrow(rows, _gather, "toxic int, terms array<int>"), "labelled-terms")
 
-    total, bad = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    counts = seen.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("a"))
-
-    def part(found, with_term, in_class):
-        expected = with_term * in_class / F.lit(float(max(total, 1)))
-        return F.when(found > 0, found * F.log(found / expected)).otherwise(F.lit(0.0))
-
-    n, a, good = F.col("n").cast("double"), F.col("a").cast("double"), F.lit(float(total - bad))
-    every, poor = F.lit(float(total)), F.lit(float(bad))
-    telling = 2 * (part(a, n, poor) + part(n - a, n, good) + part(poor - a, every - n, poor) + part(good - n + a, every - n, good))
-    chosen = counts.where("n >= 3").where(telling >= TELLING).orderBy(telling.desc(), "term").limit(max_terms).select("term").toArrow()
-    vocabulary = np.sort(chosen.column(0).to_numpy().astype(np.int64)) if chosen.num_rows else np.empty(0, np.int64)
-
-    listed = F.array(*[F.lit(int(t)) for t in vocabulary]) if len(vocabulary) else F.array().cast("array<int>")
-    lists = seen.select("toxic", F.array_intersect("terms", listed).alias("terms")).toArrow().combine_chunks()
-    held = lists.column("terms").combine_chunks()
-    values = held.flatten().to_numpy() if len(held) else np.empty(0, np.int32)
-    owner = np.repeat(np.arange(len(held)), held.value_lengths().to_numpy()) if len(held) else np.empty(0, np.int64)
-    target = lists.column("toxic").to_numpy().astype(np.float64)
-    return fit(target, owner, np.searchsorted(vocabulary, values), vocabulary)
+    held = seen.toArrow().combine_chunks()  # bounded by max_labelled
+    if not held.num_rows:
+        return fit(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64))
+    lists = held.column("terms").combine_chunks()
+    known_terms = lists.flatten().to_numpy()
+    vocabulary = np.flatnonzero(np.bincount(known_terms, minlength=1 << HASH_BITS))
+    lookup = np.zeros(1 << HASH_BITS, np.int32)
+    lookup[vocabulary] = np.arange(len(vocabulary), dtype=np.int32)
+    owner = np.repeat(np.arange(held.num_rows, dtype=np.int32), lists.value_lengths().to_numpy())
+    return fit(held.column("toxic").to_numpy().astype(np.float64), owner, lookup[known_terms], vocabulary)
 
 
 def _score(batches, shared: Broadcast):
@@ -198,7 +282,7 @@ def _score(batches, shared: Broadcast):
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """All documents with ``score`` (0 to 1) and ``predicted`` (1 from the threshold on).  No row moves."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # bounded by max_terms
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most 2**HASH_BITS terms, 76 MB
     rows = docs.drop("score", "predicted").withColumn("_text", common.text_column())
     schema = StructType([*rows.schema.fields[:-1], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     return common.map_arrow(rows, partial(_score, shared=shared), schema)

@@ -311,6 +311,49 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["score"] for r in toxicity.score(docs, bare).collect()} == {0.5}
 
 
+def learned(spark, make, n):
+    """Precision and recall on held-out rows; ``make(i)`` gives a text and whether it is toxic.
+
+    Recall is over toxic rows of which every word occurs in a row that is learned from.
+    """
+    made = [make(i) for i in range(n)]
+    docs = fx.documents(spark, [(i, text, "en", "s", 0) for i, (text, _) in enumerate(made)])
+    table = spark.createDataFrame([(i, int(bad)) for i, (_, bad) in enumerate(made)], "doc_id long, toxic int")
+    machine = toxicity.train(docs, table)
+    rows = toxicity.score(docs.withColumn("held", toxicity.held_out(F.col("doc_id"))), machine).where("held").collect()
+    flagged = {r["doc_id"] for r in rows if r["predicted"]}
+    known = {w for i in set(range(n)) - {r["doc_id"] for r in rows} for w in made[i][0].split()}
+    bad = {r["doc_id"] for r in rows if made[r["doc_id"]][1]}
+    precision = len(flagged & bad) / max(len(flagged), 1)
+    bad = {i for i in bad if known.issuperset(made[i][0].split())}
+    return precision, len(flagged & bad) / len(bad)
+
+
+def test_machine_learns_terms_that_tell_only_together(spark):
+    """Toxic with just one of two words, harmless with both or neither: each word alone tells nothing."""
+    rng = random.Random(21)
+
+    def make(_):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        return " ".join([f"w{rng.choice('abcdefghij') * rng.randint(1, 30)}" for _ in range(25)] + ["alpha"] * one + ["beta"] * two), one != two
+
+    precision, recall = learned(spark, make, 4000)
+    assert precision > 0.9 and recall > 0.9
+
+
+def test_machine_learns_rare_words(spark):
+    """250 insults, each in one or two of the labelled rows; those seen there are known again."""
+    rng = random.Random(22)
+    word = lambda k, i: k + "".join(chr(97 + int(c)) for c in str(i))
+
+    def make(_):
+        bad = rng.random() < 0.11
+        return " ".join([word("w", rng.randrange(1000)) for _ in range(40)] + [word("insult", rng.randrange(250))] * bad), bad
+
+    precision, recall = learned(spark, make, 5000)
+    assert precision > 0.95 and recall > 0.95
+
+
 # ------------------------------------------------------------ pipeline
 
 
