@@ -42,7 +42,7 @@ MAX_LABELLED = 40_000
 LASSO = 1.0
 RIDGE = 0.1
 #: Pull on a vector towards 0, times the mean number of terms of a row.
-SHRINK = 4.0
+SHRINK = 2.5
 #: (row, term) cells worked on at once.
 CELLS = 1 << 20
 FACTORS = 8
@@ -197,7 +197,7 @@ def _pairs(rows: Rows, factors: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(labels: np.ndarray, owner: np.ndarray, place: np.ndarray, vocabulary: np.ndarray, turns: int = 2, epochs: int = 5, seed: int = 17) -> Machine:
+def fit(labels: np.ndarray, owner: np.ndarray, place: np.ndarray, vocabulary: np.ndarray, turns: int = 3, epochs: int = 5, seed: int = 17) -> Machine:
     """Weights of all terms, then in turns the vectors beside them and the weights beside the pairs.
 
     ``owner`` is sorted, ``place`` indexes the vocabulary.  Vectors are pulled
