@@ -43,6 +43,8 @@ LASSO = 1.0
 RIDGE = 0.1
 #: Pull on a vector towards 0, times the mean number of terms of a row.
 SHRINK = 2.5
+#: Steps over the weights, first and last, and between the turns of the vectors.
+STEPS, REFIT = 100, 30
 #: (row, term) cells worked on at once.
 CELLS = 1 << 20
 FACTORS = 8
@@ -128,7 +130,7 @@ class Rows:
         return own, self.place[np.repeat(self.bounds[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(own))]
 
 
-def _fit_weights(rows: Rows, labels: np.ndarray, pairs: np.ndarray, machine: Machine, steps: int = 100) -> None:
+def _fit_weights(rows: Rows, labels: np.ndarray, pairs: np.ndarray, machine: Machine, steps: int) -> None:
     """Bias and all weights by accelerated proximal steps, beside what the pairs give each row.
 
     A step is the gradient over a bound of the curvature, so the loss plus
@@ -220,11 +222,11 @@ def fit(labels: np.ndarray, owner: np.ndarray, place: np.ndarray, vocabulary: np
     few = Rows(known[place[kept]], np.searchsorted(owner[kept], np.arange(n + 1)))
     vectors = rng.normal(0, 0.01, (len(often), FACTORS))
     pairs = np.zeros(n)
-    _fit_weights(rows, labels, pairs, machine)
-    for _ in range(turns if len(often) else 0):
+    _fit_weights(rows, labels, pairs, machine, STEPS)
+    for turn in range(turns if len(often) else 0):
         _fit_vectors(few, labels, machine.bias + _linear(rows, machine.weights), vectors, hold, rng, epochs)
         pairs = _pairs(few, vectors)
-        _fit_weights(rows, labels, pairs, machine)
+        _fit_weights(rows, labels, pairs, machine, STEPS if turn == turns - 1 else REFIT)
     if len(often):
         machine.factors[often] = vectors
     return machine
