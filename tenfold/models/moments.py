@@ -11,6 +11,7 @@ nothing extra.  All plausible values ride along in the same pass.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenfold.models.lmm import independent_columns
 from tenfold.models.spec import INTERCEPT, PV, Design
 from tenfold.operators.filters import complete_cases
 from tenfold.session import ship_package
@@ -61,6 +63,40 @@ def centres(df: DataFrame, design: Design) -> dict[str, float]:
     return out
 
 
+def centred_residuals(df: DataFrame, design: Design, shift: Mapping[str, float]) -> tuple[DataFrame, Design, np.ndarray]:
+    """The continuous columns, each around its mean and less its regression on those before it.
+
+    Columns that nearly depend on each other keep no digits in a sum of products.  The
+    regressions need not be exact: what the columns are is kept in the unit triangular
+    matrix returned, ``column - shift = matrix @ residuals``.  A column that depends on
+    earlier ones altogether stays as it is.
+    """
+    names = design.continuous
+    turn = np.eye(len(names))
+    if len(names) < 2:
+        return df, design, turn
+    pairs = list(combinations_with_replacement(range(len(names)), 2))
+    number = [F.col(f"`{c}`").cast("double") - F.lit(shift[c]) for c in names]
+    row = design_rows(df, design).agg(*[F.covar_pop(number[a], number[b]).alias(f"v{i}") for i, (a, b) in enumerate(pairs)]).first()
+    cov = np.zeros((len(names), len(names)))
+    for v, (a, b) in zip(row, pairs):
+        cov[a, b] = cov[b, a] = 0.0 if v is None or not np.isfinite(v) else v
+    held = independent_columns(cov)
+    for j in held:
+        before = [i for i in held if i < j]
+        if before:
+            # Coefficients on the earlier columns, then on their residuals, which span the same.
+            weights = np.linalg.solve(cov[np.ix_(before, before)], cov[before, j])
+            turn[j, before] = weights @ turn[np.ix_(before, before)]
+    renamed = [f"__residual{j}" for j in range(len(names))]
+    for j, c in enumerate(renamed):
+        value = number[j]
+        for i in np.flatnonzero(turn[j, :j]):
+            value = value - F.lit(float(turn[j, i])) * F.col(renamed[i])
+        df = df.withColumn(c, value)
+    return df, replace(design, continuous=tuple(renamed)), turn
+
+
 def from_centred(columns: Sequence[str], shift: Mapping[str, float]) -> np.ndarray:
     """Coefficients of the columns as they are, from those of the columns around ``shift``."""
     out = np.eye(len(columns))

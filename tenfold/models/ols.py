@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tenfold.functions.tails import f_p, f_upper, t_quantile, t_two_sided
 from tenfold.models.lmm import independent_columns
-from tenfold.models.moments import centres, from_centred, grams, stacked_grams
+from tenfold.models.moments import centred_residuals, centres, from_centred, grams, stacked_grams
 from tenfold.models.spec import INTERCEPT, Design, ModelSpec
 
 OLS_SCHEMA = "spec string, pv int, term string, est double, se double, t double, p double, low double, high double, exp_est double"
@@ -21,39 +21,49 @@ OLS_FIT_SCHEMA = (
 )
 
 
-def _solve(pdf: pd.DataFrame, design: Design, spec: ModelSpec, shift: dict[str, float]):
+def _solve(pdf: pd.DataFrame, design: Design, spec: ModelSpec, shift: dict[str, float], turn: np.ndarray):
     _, n, full, names = stacked_grams(pdf, design, spec.group_level(design))
     cols = spec.fixed_columns(design)
     at = [names.index(c) for c in cols]
     total, y = full.sum(0), len(names) - 1
-    keep = independent_columns(total[np.ix_(at, at)])
+    back_turn = np.eye(len(names))
+    own = [names.index(c) for c in design.continuous]
+    back_turn[np.ix_(own, own)] = turn
+    plain = back_turn @ total @ back_turn.T
+    keep = independent_columns(plain[np.ix_(at, at)])
     cols, at = [cols[i] for i in keep], [at[i] for i in keep]
-    xx, xy, yy, rows = total[np.ix_(at, at)], total[at, y], total[y, y], float(n.sum())
-    scale = np.sqrt(np.diag(xx))
-    inv = np.linalg.inv(xx / np.outer(scale, scale)) / np.outer(scale, scale)
+    used = np.flatnonzero(back_turn[at].any(0))
+    if len(independent_columns(total[np.ix_(used, used)])) < len(used):
+        total, back_turn, used = plain, np.eye(len(names)), np.array(at)
+    # The columns are an orthonormal basis times this matrix; no product of it is formed, so close columns keep their digits.
+    scale = np.sqrt(np.diag(total)[used])
+    factor = np.linalg.cholesky(total[np.ix_(used, used)] / np.outer(scale, scale))
+    basis, upper = np.linalg.qr(factor.T @ (scale[:, None] * back_turn[np.ix_(at, used)].T))
+    along = basis.T @ np.linalg.solve(factor, total[used, y] / scale)
+    beta, root = np.linalg.solve(upper, along), np.linalg.inv(upper)
     # By the triangular factor: the residual sum is what is left of y'y, not a difference of large products.
-    factor = np.linalg.cholesky(xx / np.outer(scale, scale))
-    along = np.linalg.solve(factor, xy / scale)
-    beta = np.linalg.solve(factor.T, along) / scale
+    yy, rows = total[y, y], float(n.sum())
     rss = max(0.0, float(yy - along @ along))
     back = from_centred(cols, shift)
-    beta, inv = back @ beta, back @ inv @ back.T
+    beta, root = back @ beta, back @ root
     beta[cols.index(INTERCEPT)] += shift["y"]
-    return cols, beta, inv, rss, float(yy - total[0, y] ** 2 / rows), rows
+    return cols, beta, root @ root.T, rss, float(yy - total[0, y] ** 2 / rows), rows
 
 
 def ols_tables(df: DataFrame, design: Design, specs: list[ModelSpec]) -> tuple[DataFrame, DataFrame]:
-    """Coefficient table and fit table of each model and draw: one pass for the means, one for the sums around them.
+    """Coefficient table and fit table of each model and draw: passes for the means, for the
+    regressions among several continuous columns, and for the sums around both.
 
     A column that depends on earlier ones is left out; ``left_out`` of the fit table counts them.
     """
     by_name = {s.name: s for s in specs}
     shift = centres(df, design)
-    g = grams(df, design, shift).withColumn("spec", F.explode(F.array(*[F.lit(s.name) for s in specs])))
+    residuals, moved, turn = centred_residuals(df, design, shift)
+    g = grams(residuals, moved, shift).withColumn("spec", F.explode(F.array(*[F.lit(s.name) for s in specs])))
 
     def coefficients(pdf: pd.DataFrame) -> pd.DataFrame:
         name, pv = pdf["spec"].iloc[0], int(pdf["pv"].iloc[0])
-        cols, beta, inv, rss, _, n = _solve(pdf, design, by_name[name], shift)
+        cols, beta, inv, rss, _, n = _solve(pdf, design, by_name[name], shift, turn)
         dof = n - len(cols)
         se = np.sqrt(np.diag(inv) * rss / dof)
         q = t_quantile(0.975, dof)
@@ -67,7 +77,7 @@ def ols_tables(df: DataFrame, design: Design, specs: list[ModelSpec]) -> tuple[D
 
     def fits(pdf: pd.DataFrame) -> pd.DataFrame:
         name, pv = pdf["spec"].iloc[0], int(pdf["pv"].iloc[0])
-        cols, _, _, rss, tss, n = _solve(pdf, design, by_name[name], shift)
+        cols, _, _, rss, tss, n = _solve(pdf, design, by_name[name], shift, turn)
         k, dof = len(cols) - 1, n - len(cols)
         f = (tss - rss) / k / (rss / dof) if k else float("nan")
         aic = n * (math.log(2 * math.pi * rss / n) + 1) + 2 * (k + 2)

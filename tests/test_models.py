@@ -314,3 +314,25 @@ def test_a_value_that_is_no_level_is_missing(spark):
     df = spark.createDataFrame(rows, "sex string, y double")
     _, fits = ols_tables(df, Design("y", None, categories={"sex": ("F", "M")}), [ModelSpec("a", ("sex",))])
     assert fits.first()["n"] == 4
+
+
+def test_weak_trend_over_a_year_and_its_square_keeps_its_digits(spark):
+    """Sums around the means alone leave five digits of the square here."""
+    rows = spark.range(60_000).selectExpr("cast(1992 + id % 7 as double) as yr", "cast((id * 48611) % 100003 as double) as y")
+    rows = rows.withColumn("yr2", F.col("yr") * F.col("yr"))
+    coef, fits = ols_tables(rows, Design("y", None, continuous=("yr", "yr2")), [ModelSpec("a", ("yr", "yr2")), ModelSpec("b", ("yr2",))])
+    got = {(r["spec"], r["term"]): r for r in coef.collect()}
+    k = np.arange(60_000)
+    t, y = (k % 7 - 3).astype(np.longdouble), ((k * 48611) % 100003).astype(np.longdouble)
+    a, c = t - t.mean(), t * t - (t * t).mean()
+    lean = (a @ c) / (a @ a)
+    c -= a * lean
+    square = float((c @ y) / (c @ c))
+    rss = float(((y - y.mean()) ** 2).sum() - (a @ y) ** 2 / (a @ a) - (c @ y) ** 2 / (c @ c))
+    assert got["a", "yr2"]["est"] == pytest.approx(square, rel=1e-8)
+    assert got["a", "yr2"]["se"] == pytest.approx(math.sqrt(rss / (60_000 - 3) / float(c @ c)), rel=1e-8)
+    assert got["a", "yr"]["est"] == pytest.approx(float((a @ y) / (a @ a) - lean * square) - 2 * 1995 * square, rel=1e-8)
+    w = (t + 1995) ** 2
+    w -= w.mean()
+    assert got["b", "yr2"]["est"] == pytest.approx(float((w @ y) / (w @ w)), rel=1e-8)
+    assert {r["left_out"] for r in fits.collect()} == {0}
