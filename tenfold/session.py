@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -53,6 +54,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: The JVM compiles no longer method; whole-stage code beyond it is interpreted, many times slower.
+LONGEST_COMPILED_METHOD = "8000"
+
+
+@contextmanager
+def compiled_in_parts(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside give up whole-stage code where its methods are too long to be compiled.
+
+    Wide rows of long expressions are such a case; Spark then evaluates them in
+    many short methods.  The session's setting is put back.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, LONGEST_COMPILED_METHOD)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _SHIPPED: set[str] = set()
 
 

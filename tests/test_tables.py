@@ -10,6 +10,7 @@ from tenfold.functions.text import estimate_text, short_number
 from tenfold.operators import columns as cols
 from tenfold.operators import describe as d
 from tenfold.operators import reshape as rs
+from tenfold.plans import binding as bind
 from tenfold.session import scratch_path
 from tenfold.sources import files
 
@@ -183,3 +184,33 @@ def test_nearest_year(spark):
     near = rs.nearest_year(F.col("round"), {"a": 2, "b": 3}, {1: "X1", 2: "X2", 3: "X3"})
     got = [tuple(r) for r in df.select(near["value"], near["year"]).collect()]
     assert got == [(1.0, 1), (3.0, 3), (None, None), (2.0, 2), (None, None), (None, None)]
+
+
+def test_derived_tables_are_written_in_short_methods(spark, tmp_path):
+    """Whole-stage code too long for the JVM to compile was interpreted."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before, seen = spark.conf.get(name), []
+
+    def build(session, sf_dir):
+        seen.append(session.conf.get(name))
+        return session.range(3).toDF("k")
+
+    assert bind.snapshot(spark, str(tmp_path), "short methods", build).count() == 3
+    assert int(seen[0]) <= 8000 and spark.conf.get(name) == before
+
+
+def test_tasks_of_the_derivation_grow_with_the_orders(spark, monkeypatch):
+    sf_dir = "/root/testdata/sf0.001"
+    orders = bind.table(spark, sf_dir, "orders").count()
+    monkeypatch.setattr(bind, "ORDERS_PER_TASK", orders // 40)
+    assert bind.derive_respondents(spark, sf_dir).rdd.getNumPartitions() >= 40
+
+
+def test_scores_rounded_by_whole_numbers_are_the_decimal_ones(spark):
+    scores = [c for c in bind.SURVEY if c.startswith("PV")]
+    assert all("rint" in bind.SPARK_SURVEY[c] for c in scores)
+    # Keys of every residue class of each noise, with every country's shift.
+    th = bind.EFFECTS["th"]
+    rows = spark.range(40_000).selectExpr("id * 7919 + id % 25 as k", "cast(id % 25 as int) as n").selectExpr("k", "n", f"{th} as th")
+    wrong = [F.count_if(~F.expr(bind.SURVEY[c]).eqNullSafe(F.expr(bind.SPARK_SURVEY[c]))).alias(c) for c in scores]
+    assert set(rows.agg(*wrong).first()) == {0}
