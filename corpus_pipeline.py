@@ -39,8 +39,9 @@ def _with_text(docs: DataFrame, rows: DataFrame, changed) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's perplexity band."""
-    judged = perplexity.judge(_row(docs, "text", "lang"), carry=["_row"])
-    return judged.where("kept").select("_row.*")
+    others = _row(docs, "text", "lang").withColumn("_row", F.col("_row").dropFields("text"))
+    kept = perplexity.judge(others, carry=["_row"], with_text=True).where("kept")  # a missing text is not kept
+    return kept.select(*[(F.col("_text").cast(docs.schema[c].dataType) if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
 from tenfold.llm import common, tokens
+from tenfold.session import batches_of
 
 ORDER = 4
 #: A code point is kept in two parts, these low bits in ``gram`` and the others in ``high``.
@@ -39,6 +40,13 @@ CELL = 1e-3
 #: Bands reach this many robust deviations from the language's median, the deviation being at least FLOOR.
 REACH = 8.0
 FLOOR = 0.05
+#: Bytes of texts that a task takes apart at once; each takes about a hundred bytes of arrays.
+TASK_BYTES = 256 << 10
+#: Most bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+#: Counts that a task sums up before it gives them out, and the most in one batch.
+HELD = 1 << 19
+GIVEN_OUT = 1 << 16
 SYMBOLS = b"#*$%&|<>"
 _SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -106,17 +114,38 @@ def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return [c[first] for c in columns], np.diff(np.append(first, len(order)))
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of some parts, low and high bits, and the sums of their counts."""
+    ids, high, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((high, ids)) if high.any() else np.argsort(ids, kind="stable")
+    ids, high = ids[order], high[order]
+    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (high[1:] != high[:-1])])) if len(ids) else np.zeros(0, np.int64)
+    return ids[first], high[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
 def _count(batches, order: int):
-    for batch in common.blocks(batches, "text"):
+    tokens.forget()
+    held: dict[str, list] = {}
+    pending = 0
+    for batch in common.blocks(batches, "text", TASK_BYTES):
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         texts = batch.column("text").to_pylist()
-        for lang in sorted(set(langs)):
+        for lang in set(langs):
             ids, high, _ = whole_grams([texts[i] for i in np.flatnonzero(langs == lang)], order)
             (ids, high), counts = _distinct(ids, high)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(ids), pa.string()), pa.array(common.signed(ids)), pa.array(common.signed(high)), pa.array(counts, pa.int64())],
-                ["lang", "gram", "high", "n"],
-            )
+            held.setdefault(lang, []).append((ids, high, counts))
+            pending += len(ids)
+        if pending > HELD:
+            yield from _given_out(held)
+            held, pending = {}, 0
+    yield from _given_out(held)
+
+
+def _given_out(held: dict[str, list]):
+    for lang, parts in held.items():
+        ids, high, counts = _merged(parts)
+        rows = [pa.repeat(pa.scalar(lang, pa.string()), len(ids)), *[pa.array(x, pa.int64()) for x in (common.signed(ids), common.signed(high), counts)]]
+        yield from pa.Table.from_arrays(rows, ["lang", "gram", "high", "n"]).to_batches(max_chunksize=GIVEN_OUT)
 
 
 def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -207,8 +236,11 @@ def lookup(shared: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> np.ndar
     bits = max(8, len(keys).bit_length() + 1)
     shift = np.uint64(64 - bits)
     if _INDEX.get("of") is not shared:
-        first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.int32)
-        _INDEX.update(of=shared, first=np.minimum(first, len(keys) - 1))
+        first = np.empty(1 << bits, np.int32)
+        for at in range(0, 1 << bits, 1 << 16):
+            leads = np.arange(at, min(at + (1 << 16), 1 << bits), dtype=np.uint64) << shift
+            first[at : at + len(leads)] = np.minimum(np.searchsorted(keys, leads), len(keys) - 1)
+        _INDEX.update(of=shared, first=first)
     place = _INDEX["first"][wanted >> shift]
     late = np.flatnonzero(keys[place] < wanted)
     while len(late):
@@ -243,17 +275,18 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 50 or 100 * n_repeat_words > 50 * n_words
 
 
-def _score(batches, shared: Broadcast | None, order: int):
+def _score(batches, shared: Broadcast | None, order: int, with_text: bool = False):
     """Counts and entropy of each text; without a shared model its n-grams instead of the entropy."""
     tokens.forget()
     try:
-        yield from _scored(batches, shared, order)
+        yield from _scored(batches, shared, order, with_text)
     finally:
         _INDEX.clear()  # workers outlive the task
 
 
-def _scored(batches, shared: Broadcast | None, order: int):
-    for batch in common.blocks(batches, "_text"):
+def _scored(batches, shared: Broadcast | None, order: int, with_text: bool):
+    carried = None if with_text else -1  # the text comes last
+    for batch in common.blocks(batches, "_text", TASK_BYTES):
         texts, langs = batch.column("_text").to_pylist(), batch.column("_lang").to_pylist()
         ids, high, owner = whole_grams(texts, order)
         found = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, 5)
@@ -271,11 +304,11 @@ def _scored(batches, shared: Broadcast | None, order: int):
         failed = [base_failed(n, r) for n, r in found[:, [0, 4]].tolist()]
         yield pa.RecordBatch.from_arrays(
             [
-                *batch.columns[:-1],
+                *batch.columns[:carried],
                 *[pa.array(found[:, i]) for i in range(5)],
                 pa.array(failed), last,
             ],
-            [*batch.schema.names[:-1], *COUNTS, "base_failed", "entropy" if shared else "_grams"],
+            [*batch.schema.names[:carried], *COUNTS, "base_failed", "entropy" if shared else "_grams"],
         )
 
 
@@ -298,24 +331,30 @@ def bands(scored: DataFrame, reach: float = REACH, floor: float = FLOOR) -> Data
     return found.select("_lang", (F.col("q2") - spread("q1", "q2")).alias("_low"), (F.col("q2") + spread("q2", "q3")).alias("_high"))
 
 
-def judge(docs: DataFrame, carry: Sequence[str], order: int = ORDER, reach: float = REACH, floor: float = FLOOR, max_shared: int = MAX_SHARED) -> DataFrame:
+def judge(
+    docs: DataFrame, carry: Sequence[str], order: int = ORDER, reach: float = REACH, floor: float = FLOOR, max_shared: int = MAX_SHARED, with_text: bool = False
+) -> DataFrame:
     """The carried columns of every document with its counts, ``base_failed``, ``perplexity``, ``kept``.
 
     Two passes over the texts: counting and scoring.  The scored rows are written
     once; bands come from a histogram of one row per language and cell.  The
-    columns named here replace carried columns of those names.
+    columns named here replace carried columns of those names.  ``with_text`` adds
+    the text as it was judged as ``_text``, so that it need not be carried besides.
     """
     spark = docs.sparkSession
-    model = kneser_ney(common.written(gram_counts(docs, order), "grams"), order)
+    with batches_of(spark, BATCH_BYTES):
+        counts = common.written(gram_counts(docs, order), "grams")
+    model = kneser_ney(counts, order)
     shared = spark.sparkContext.broadcast(sorted_arrays(model)) if model.count() <= max_shared else None
     made = [*COUNTS, "base_failed", "entropy", "perplexity", "kept"]
     carry = [c for c in carry if c not in made]
     rows = docs.select(*carry, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"), common.text_column().alias("_text"))
     counted = ArrayType(StructType([StructField(c, LongType()) for c in ("gram", "high", "n")]))
     last = StructField("entropy", DoubleType()) if shared else StructField("_grams", counted)
-    schema = StructType([*rows.schema.fields[:-1], *[StructField(c, LongType()) for c in COUNTS], StructField("base_failed", BooleanType()), last])
-    scored = common.map_arrow(rows, partial(_score, shared=shared, order=order), schema)
-    scored = common.written(scored if shared else scored.withColumn("_doc", F.monotonically_increasing_id()), "scored")
+    schema = StructType([*rows.schema.fields[: None if with_text else -1], *[StructField(c, LongType()) for c in COUNTS], StructField("base_failed", BooleanType()), last])
+    scored = common.map_arrow(rows, partial(_score, shared=shared, order=order, with_text=with_text), schema)
+    with batches_of(spark, BATCH_BYTES):
+        scored = common.written(scored if shared else scored.withColumn("_doc", F.monotonically_increasing_id()), "scored")
     if shared:
         shared.destroy()  # the scored rows are a table now
     if not shared:
@@ -327,5 +366,5 @@ def judge(docs: DataFrame, carry: Sequence[str], order: int = ORDER, reach: floa
     limits = bands(scored, reach, floor)
     inside = F.coalesce(F.col("entropy").between(F.col("_low"), F.col("_high")), F.lit(False))
     return scored.join(F.broadcast(limits), "_lang", "left").select(
-        *carry, *COUNTS, "base_failed", F.exp("entropy").alias("perplexity"), (~F.col("base_failed") & inside).alias("kept")
+        *carry, *["_text"] * with_text, *COUNTS, "base_failed", F.exp("entropy").alias("perplexity"), (~F.col("base_failed") & inside).alias("kept")
     )

@@ -74,6 +74,22 @@ def compiled_in_parts(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs run inside hand Python workers at most about ``size`` bytes at once, a longer row alone.
+
+    Spark's bound is 64 MB, which the executor holds outside its heap and the
+    worker once more, for every running task.  The session's setting is put back.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _SHIPPED: set[str] = set()
 
 

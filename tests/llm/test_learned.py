@@ -5,6 +5,9 @@ import datetime
 import math
 import random
 import re
+import tracemalloc
+import types
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tenfold.llm import mixing, perplexity, pii, toxicity
+from tenfold.session import batches_of
 from tests.llm import fixtures as fx
 
 LEVELS = {"lang": F.col, "source": F.col}
@@ -262,6 +266,50 @@ def test_joined_model_judges_as_the_shared_one(spark):
         assert a[:7] == b[:7] and a[8] == b[8] and (a[7] == b[7] or abs(a[7] / b[7] - 1) < 1e-4)
 
 
+def _batches(columns, size=10_000):
+    texts = [fx.prose(random.Random(i), 400) for i in range(2500)]  # about 5 MB
+    langs = ["en" if i % 3 else "de" for i in range(len(texts))]
+    return pa.Table.from_arrays([pa.array(langs), pa.array(texts)], columns).to_batches(max_chunksize=size)
+
+
+def test_tasks_hold_little_at_once():
+    """Two tasks of an executor take apart many texts within tens of MB each."""
+    counted = pa.Table.from_batches(perplexity._count(_batches(["lang", "text"]), perplexity.ORDER))
+    codes = dict(zip(["de", "en"], perplexity.language_codes(["de", "en"]), strict=True))
+    ids, high = (counted.column(c).to_numpy().view(np.uint64) for c in ("gram", "high"))
+    keys = np.unique(perplexity.keys_of(np.array([codes[x] for x in counted.column("lang").to_pylist()]), ids, high))
+    model = types.SimpleNamespace(value=(keys, np.zeros(len(keys))))
+    for run, columns in ((partial(perplexity._count, order=4), ["lang", "text"]), (partial(perplexity._score, shared=model, order=4), ["_lang", "_text"])):
+        batches = _batches(columns)
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in run(batches))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows and most < 80e6
+
+
+def test_counts_are_those_of_any_cut(monkeypatch):
+    def counts():
+        found = pa.Table.from_batches(perplexity._count(_batches(["lang", "text"], 300)[:2], 4))
+        return found.group_by(["lang", "gram", "high"]).aggregate([("n", "sum")]).sort_by([("lang", "ascending"), ("gram", "ascending"), ("high", "ascending")])
+
+    want = counts()
+    for name, value in (("TASK_BYTES", 5000), ("HELD", 3000), ("GIVEN_OUT", 700)):
+        monkeypatch.setattr(perplexity, name, value)
+    assert counts().equals(want)
+
+
+def test_workers_get_small_batches(spark):
+    """The bound on batches holds inside, and the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(2000).coalesce(1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long")
+    with batches_of(spark, 100_000):
+        assert max(r.n for r in sizes.collect()) < 200_000
+    assert spark.conf.get(name) == before
+
+
 # ------------------------------------------------------------ toxicity
 
 
@@ -357,6 +405,17 @@ def test_machine_learns_rare_words(spark):
 # ------------------------------------------------------------ pipeline
 
 
+def test_quality_rules_pass_whole_rows(spark):
+    """The text goes beside the row through the workers; every kept row comes back as it was."""
+    rng = random.Random(9)
+    data = [(i, fx.prose(rng, 80) + " é\n文字\t ", None if i % 7 == 0 else "en", None if i % 5 == 0 else "s", i) for i in range(60)]
+    docs = fx.clashing(fx.documents(spark, [*data, data[3], (99, None, "en", "s", None)]), "_text", "_row", "_lang")
+    docs = docs.select("source", "text", *[c for c in docs.columns if c not in ("source", "text")])
+    kept = corpus_pipeline.quality_rules(spark, docs, None)
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    assert sorted(fx.collected(kept), key=repr) == sorted((r for r in fx.collected(docs) if r[1] is not None), key=repr)
+
+
 def test_pipeline_stages(spark):
     rng = random.Random(8)
     data = [(i, fx.prose(rng, 150), "en", f"s{i % 3}", 0) for i in range(120)]
