@@ -332,7 +332,7 @@ def _renamed(named: DataFrame, found: DataFrame) -> DataFrame:
     Only the graph of groups is solved, which shrinks from round to round; a key
     that is no longer mixed has left for good.
     """
-    roots = graph.components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    roots = graph.stars(found.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     roots = roots.select(F.col("vertex").alias("root"), F.col("root").alias("_root"))
     named = named.join(roots, "root", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root")
     return _mixed(common.written(named, "named-keys"))
@@ -370,7 +370,8 @@ def groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     near, turn = [], 0
     while True:
         found = common.written(_stars(named, sets, percent, turn), "links")
-        n, turn, still = found.count(), turn + 1, named.select("class").distinct().count()
+        n, turn = found.count(), turn + 1
+        still = named.agg(F.approx_count_distinct("class")).first()[0]  # when to end is a matter of cost only
         if n:
             near.append(found.select("a", "b"))
             named = _renamed(named, found)

@@ -203,6 +203,26 @@ def test_components(spark):
     assert got == {**{1: 1, 2: 1, 3: 1, 9: 1, 10: 10, 11: 10}, **{100 + i: 100 for i in range(41)}}
 
 
+def test_components_shuffle_seldom(spark, monkeypatch):
+    """The driver keeps what it knows of every task, so rounds must not make more of them than they need."""
+    rounds, written = [], graph.common.written
+    monkeypatch.setattr(graph.common, "written", lambda df, label: rounds.append(label) or written(df, label))
+    context, parts = spark.sparkContext, spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 2000 + i) for i in range(300)] + [(4000, 2200 + i) for i in range(300)]
+    try:
+        context.setJobGroup("components", "rounds of stars")
+        got = dict(fx.collected(graph.components(spark.createDataFrame(edges, "a long, b long"))))
+        tracker = context.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(tracker.getStageInfo(s).numCompletedTasks for s in stages)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", parts)
+    assert got == {**{i: 0 for i in range(61)}, **{1000: 1000, 4000: 1000}, **{2000 + i: 1000 for i in range(500)}}
+    assert tasks < 10 * int(spark.conf.get("spark.sql.shuffle.partitions")) * len(rounds), (tasks, len(rounds))
+
+
 def brute_repeats(data, length):
     seen = collections.Counter()
     raw = [(r[0], (r[1] or "").encode()) for r in data]
