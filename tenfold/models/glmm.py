@@ -23,27 +23,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenfold.models import glmm_groups, lmm
+from tenfold.models import glmm_blocks, glmm_groups, lmm
 from tenfold.models.fitting import RESULT_SCHEMA, Results, _row, fit_rows, result_frame, split_results
 from tenfold.models.moments import centres, design_rows, from_centred
 from tenfold.models.runs import RunTable, State, by_nesting, nearest
 from tenfold.models.spec import PV, Design, ModelSpec
 from tenfold.operators.joins import lookup_join
-from tenfold.session import local_table, scratch_path, ship_package
+from tenfold.session import batches_of, local_table, scratch_path, ship_package
 
 #: Groups whose modes the driver holds; with more, no state per group leaves the tasks (:mod:`glmm_groups`).
 MAX_GROUPS = 20_000
 SUMS_PER_PASS = 40_000_000  # doubles formed per task and pass; more fits go in further waves
 MAX_PASSES = 60
+ROW_GROUP = 16 << 20  # bytes of a group of rows in the packed table
+#: No draw begins with a covariance factor of a smaller singular value; its diagonal is lifted.
+NO_DEVIATION, LIFTED = 1e-3, 0.05
+BATCH = 8 << 20  # bytes of packed rows that a Python worker gets at once
 
 
 # ------------------------------------------------------------ rows on Spark
 
 
 def coded_rows(df: DataFrame, design: Design, shift: dict[str, float]) -> tuple[DataFrame, list[str], np.ndarray]:
-    """A compact table of complete cases, written to the shared folder.
+    """Complete cases by group and draw, packed for the passes and written to the shared folder.
 
-    Returns the table (group index, response, level codes, numbers, draws),
+    Returns the table (group index, draw, rows, packed rows), see :mod:`glmm_blocks`,
     the group labels and their group-level values (NaN where missing).
     """
     spark = df.sparkSession
@@ -77,13 +81,30 @@ def coded_rows(df: DataFrame, design: Design, shift: dict[str, float]) -> tuple[
         *[(F.col(c).cast("double") - F.lit(shift[c])).alias(f"x{j}") for j, c in enumerate([*design.discrete, *design.continuous])],
         *[(F.col(c).cast("double") - F.lit(shift[PV])).alias(f"p{i}") for i, c in enumerate(design.pv)],
     )
-    # Few groups per task keep the partial sums of every later pass few; the
-    # second key lets a hot group spread over many tasks.
+    # Few groups per task keep the partial sums of every later pass few, equal design
+    # rows lie together; the last key lets a hot group spread over many tasks.
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = ["g", "p0"] if design.pv else ["g"]
-    table = table.repartitionByRange(parts, *spread)
+    alike = ["g", *[c for c in table.columns if c[0] in "kx"]]
+    table = table.repartitionByRange(parts, *alike, *(["p0"] if design.pv else [])).sortWithinPartitions(*alike)
     path = scratch_path(spark, "coded")
-    table.sortWithinPartitions("g").write.parquet(path)
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            base, y, gcol = _matrix(pdf, design), pdf["y"].to_numpy(), pdf["g"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, gcol[1:] != gcol[:-1]])
+            out = []
+            for pv in range(1, max(1, len(design.pv)) + 1):
+                score = pdf[f"p{pv - 1}"].to_numpy() if design.pv else np.zeros(len(pdf))
+                ok = ~np.isnan(score)
+                for a, z in zip(starts, np.r_[starts[1:], len(gcol)]):
+                    here = ok[a:z]
+                    if here.any():
+                        block = glmm_blocks.block(base[a:z][here], y[a:z][here], score[a:z][here])
+                        out.append((int(gcol[a]), pv, int(here.sum()), block.pack()))
+            yield pd.DataFrame(out, columns=["g", "pv", "n", "block"])
+
+    # Rows of the table are long: few go into a group of the file.
+    table.mapInPandas(packed, "g int, pv int, n long, block binary").write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.parquet(path), groups, level
 
 
@@ -101,13 +122,10 @@ def pass_sums(table: DataFrame, design: Design, requests: dict):
     """Per fit and group: weighted Gram (upper triangle), score, leverage vector, deviance.
 
     ``requests`` maps a draw to ``(fit ids, coefficients (F, J, k), leverage weights (F, J, pairs))``.
-    Each task forms partial sums per group with matrix products over its
-    batches.  The table is range-partitioned by group, so a fit has about one
-    partial row per group and task.
+    Each task forms partial sums per group.  The table is range-partitioned by
+    group, so a fit has about one partial row per group and task.
     """
-    k = len(design.row_columns()) + 1
-    pairs = list(combinations_with_replacement(range(k), 2))
-    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    columns = len(design.row_columns())
     held = table.sparkSession.sparkContext.broadcast(requests)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,35 +143,17 @@ def pass_sums(table: DataFrame, design: Design, requests: dict):
             return pd.DataFrame({"fit": np.array(ids, dtype=np.int32), "g": np.array(gs, dtype=np.int32), "block": blocks})
 
         for pdf in batches:
-            pdf = pdf.sort_values("g", kind="stable")
-            base, y, gcol = _matrix(pdf, design), pdf["y"].to_numpy(), pdf["g"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, gcol[1:] != gcol[:-1]])
-            ends = np.r_[starts[1:], len(gcol)]
-            for pv, (_, coef, lever) in asked.items():
-                score = pdf[f"p{pv - 1}"].to_numpy() if design.pv else np.zeros(len(pdf))
-                for a, z in zip(starts, ends):
-                    ok = ~np.isnan(score[a:z])
-                    if not ok.any():
-                        continue
-                    g = int(gcol[a])
-                    x = np.concatenate([base[a:z][ok], score[a:z][ok, None]], 1)
-                    yy = y[a:z][ok]
-                    eta = x @ coef[:, g].T
-                    mu = 1.0 / (1.0 + np.exp(-eta))
-                    w = mu * (1.0 - mu)
-                    prod = x[:, left] * x[:, right]
-                    h = prod @ lever[:, g].T
-                    resid = yy[:, None] - mu
-                    # -2 log p, written so that large |eta| stays exact
-                    dev = 2.0 * (np.logaddexp(0.0, eta) - yy[:, None] * eta).sum(0)
-                    block = np.concatenate([w.T @ prod, resid.T @ x, (w * (1 - 2 * mu) * h).T @ x, dev[:, None]], 1)
-                    here = sums.setdefault(g, {})
-                    here[pv] = here[pv] + block if pv in here else block
+            for g, pv, packed in zip(pdf["g"], pdf["pv"], pdf["block"]):
+                _, coef, lever = asked[pv]
+                block = glmm_blocks.block_sums(glmm_blocks.Block.unpack(packed, columns), coef[:, g], lever[:, g])
+                here = sums.setdefault(g, {})
+                here[pv] = here[pv] + block if pv in here else block
             if sum(b.size for d in sums.values() for b in d.values()) > 20_000_000:
                 yield drain()
         yield drain()
 
-    return table.mapInPandas(partial, "fit int, g int, block binary"), held
+    wanted = table.where(F.col("pv").isin(list(requests))).select("g", "pv", "block")
+    return wanted.mapInPandas(partial, "fit int, g int, block binary"), held
 
 
 def advance(table: DataFrame, design: Design, running: dict[int, LogisticFit]) -> dict[int, LogisticFit]:
@@ -177,7 +177,8 @@ def advance(table: DataFrame, design: Design, running: dict[int, LogisticFit]) -
         return pd.DataFrame({"fit": [i], "state": [pickle.dumps(f)]})
 
     tasks = min(len(running), 4 * table.sparkSession.sparkContext.defaultParallelism)
-    moved = sums.repartition(tasks, "fit").groupBy("fit").applyInPandas(step, "fit int, state binary").collect()
+    with batches_of(table.sparkSession, BATCH):
+        moved = sums.repartition(tasks, "fit").groupBy("fit").applyInPandas(step, "fit int, state binary").collect()
     held.unpersist()
     states.unpersist()
     return {r["fit"]: pickle.loads(r["state"]) for r in moved}
@@ -212,6 +213,7 @@ class LogisticFit:
         self.bend = np.zeros((len(self.theta), len(self.theta)))  # secant estimate of the slope's own change
         self.memory: dict = {}
         self.last: tuple[np.ndarray, np.ndarray] | None = None
+        self.near = self.lifted = False  # begun where another draw ended, and off the boundary on which that lay
         k = len(self.base)
         self.pairs = list(combinations_with_replacement(range(k), 2))
 
@@ -221,6 +223,31 @@ class LogisticFit:
             self.theta = state.factor(self.zcols)
             self.beta = np.array([state.beta.get(c, 0.0) for c in self.xcols])
 
+    def follow(self, other: LogisticFit) -> None:
+        """Start where the same model ended on another draw, off the boundary."""
+        if not other.converged:
+            return
+        theta, beta, u, m_inv, bend, memory, self.lifted = other.ended
+        ended = dict(zip(other.xcols, beta))
+        self.beta = np.array([ended.get(c, 0.0) for c in self.xcols])
+        self.theta, self.u, self.m_inv, self.bend, self.memory = theta.copy(), u.copy(), m_inv.copy(), bend.copy(), dict(memory)
+        self.near = True
+
+    def _off_boundary(self, blocks: lmm.Blocks, seen: np.ndarray) -> tuple:
+        """Where a fit that starts from this one begins, and whether its factor was lifted.
+
+        The deviance is level in the direction of a deviation of nothing, so no step would lead from there.
+        """
+        lam = lmm.lower(self.theta, self.q)
+        if np.linalg.svd(lam, compute_uv=False).min() >= NO_DEVIATION:
+            return self.theta, self.beta, self.u, self.m_inv, self.bend, self.memory, False
+        at = np.diag_indices(self.q)
+        lam[at] = np.where(np.abs(lam[at]) < LIFTED, LIFTED, lam[at])
+        s = lmm.evaluate(blocks, lam, sigma=1.0)
+        u, m_inv = np.zeros_like(self.u), self.m_inv.copy()
+        u[seen], m_inv[seen] = s.u, s.m_inv
+        return lam[self.tri], s.beta, u, m_inv, np.zeros_like(self.bend), {}, True
+
     def request(self) -> tuple[np.ndarray, np.ndarray]:
         """Coefficients on the base columns and leverage weights on their pairs, per group."""
         k, j = len(self.base), len(self.level)
@@ -279,8 +306,8 @@ class LogisticFit:
         at = lmm.evaluate(blocks, lam, sigma=1.0)
         self.h, self.m_now = at.h, at.m_inv
         deviance = dev + float((u * u).sum()) + at.logdet
-        slope = self._weight_term(blocks, lam, u, r, lv, at) if self.passes > 1 else np.zeros(len(self.theta))
-        if self.last is not None and self.passes > 3:
+        slope = self._weight_term(blocks, lam, u, r, lv, at) if self.near or self.passes > 1 else np.zeros(len(self.theta))
+        if self.last is not None and (self.near or self.passes > 3):
             d = self.theta - self.last[0]
             miss = slope - self.last[1] - self.bend @ d
             if abs(miss @ d) > 1e-8 * np.linalg.norm(miss) * np.linalg.norm(d) and np.linalg.norm(d) > 1e-9:
@@ -313,8 +340,14 @@ class LogisticFit:
         moved = max(np.abs(s.beta - self.beta).max(), np.abs(new_b - old_b).max(initial=0.0))
         near = abs(deviance - self.deviance) < 1e-7 * max(1.0, abs(deviance))
         # At a boundary the factor may drift where the deviance is flat; settled deviance and effects decide then.
-        if self.passes > 2 and near and moved < 1e-5 and (jump < 1e-5 or self.passes > 25):
+        if (self.near or self.passes > 2) and near and moved < 1e-5 and (jump < 1e-5 or self.passes > 25):
+            ended = self._off_boundary(blocks, seen)
+            if self.near and ended[-1] and not self.lifted:  # a boundary met on the way from another draw may be left again
+                self.theta, self.beta, self.u, self.m_inv, self.bend, self.memory, self.lifted = ended
+                self.last, self.deviance = None, math.inf
+                return
             self.done = self.converged = True
+            self.ended = ended
             self.deviance, self.state_u, self.lam = deviance, u, lmm.fold(lam)
             self.lam_raw = lam
             return
@@ -397,7 +430,7 @@ def fit_logistic(
     if many_groups:
         return _fit_over_groups(df, design, specs, modes, draws, shift, block_rows, run, study)
     table, groups, level = coded_rows(df, design, shift)
-    present = table.groupBy("g").agg(*[F.count(f"p{pv - 1}").alias(f"n{pv}") for pv in draws]).toPandas().set_index("g")
+    present = {(r["g"], r["pv"]): r["n"] for r in table.groupBy("g", "pv").agg(F.sum("n").alias("n")).collect()}
     path = scratch_path(spark, "fits")
 
     def solve(pending: list[tuple[ModelSpec, int]], known: dict) -> tuple[list[tuple], dict]:
@@ -407,15 +440,25 @@ def fit_logistic(
         width = len(fits[0].pairs) + 2 * len(fits[0].base) + 1
         wave = max(1, SUMS_PER_PASS // (max(1, len(groups)) * width))
         finished: dict[int, LogisticFit] = {}
-        for at in range(0, len(fits), wave):
-            running = {f.id: f for f in fits[at : at + wave]}
-            while running:
-                moved = advance(table, design, running)
-                finished |= {i: f for i, f in moved.items() if f.done}
-                running = {i: f for i, f in moved.items() if not f.done}
+
+        def run_all(some: list[LogisticFit]) -> None:
+            for at in range(0, len(some), wave):
+                running = {f.id: f for f in some[at : at + wave]}
+                while running:
+                    moved = advance(table, design, running)
+                    finished.update({i: f for i, f in moved.items() if f.done})
+                    running = {i: f for i, f in moved.items() if not f.done}
+
+        # Draws end close to each other: one of each model is fitted first, the others begin where it ended.
+        first = {f.spec.name: f.id for f in reversed(fits)}
+        run_all([f for f in fits if f.id == first[f.spec.name]])
+        others = [f for f in fits if f.id != first[f.spec.name]]
+        for f in others:
+            f.follow(finished[first[f.spec.name]])
+        run_all(others)
         rows, states = [], {}
         for f in (finished[i] for i in sorted(finished)):
-            n = float(present.loc[[g for g in np.flatnonzero(f.seen) if g in present.index], f"n{f.pv}"].sum())
+            n = float(sum(present.get((g, f.pv), 0) for g in np.flatnonzero(f.seen)))
             states[f.spec.name, f.pv] = State.of(f.xcols, f.beta, f.zcols, f.lam_raw)
             rows += f.rows(groups, n, modes)
         return rows, states
